@@ -20,10 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and still there when executors are lost."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,3 +44,12 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """The words of a text (null: none): runs of characters other than space and U+0009 to U+000D."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+
+
+#: A table of so many rows at most, of a few numbers each, is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
