@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import ctph, licenses, materialise, mixing, pieces, quality, sharding, simhash, templates, toxicity
+from emberlake.llm import ctph, licenses, materialise, mixing, oracles, pieces, quality, sharding, simhash, templates, toxicity
 from emberlake.llm.common import table
 
 
@@ -83,4 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": oracles.line_dedup(),
+    "op6_sharding": oracles.shard_placement(),
+    "op7_quality_rules": oracles.quality_rules(),
+    "op9_license_scan": oracles.license_scan(),
+}
