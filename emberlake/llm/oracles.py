@@ -75,7 +75,8 @@ b AS (SELECT line, n, lead, n_texts, unnest(w) AS token, generate_subscripts(w,
 fx AS (SELECT n, lead, place, token FROM b WHERE place > {depth} AND token <> '<*>' GROUP BY ALL HAVING sum(n_texts) >= {least}),
 g AS (SELECT b.line, b.n_texts, b.n, b.place, b.token, CASE WHEN b.place <= {depth} OR fx.token IS NOT NULL THEN b.token ELSE '<*>' END AS shown
       FROM b LEFT JOIN fx ON b.n = fx.n AND b.lead = fx.lead AND b.place = fx.place AND b.token = fx.token),
-t AS (SELECT line, n_texts, CASE WHEN count(*) FILTER (WHERE shown <> '<*>') >= {similarity} * any_value(n) THEN string_agg(shown, ' ' ORDER BY place) ELSE line END AS template FROM g GROUP BY line, n_texts),
+t AS (SELECT line, n_texts, CASE WHEN count(*) FILTER (WHERE shown <> '<*>') >= {similarity} * any_value(n) THEN string_agg(shown, ' ' ORDER BY place) ELSE line END AS template FROM g GROUP BY line, n_texts
+      HAVING count(*) FILTER (WHERE token <> '<*>') >= {similarity} * any_value(n)),
 r AS (SELECT line FROM t WHERE template IN (SELECT template FROM t GROUP BY template HAVING sum(n_texts) >= {least})),
 z AS (SELECT doc_id, sum(n) AS total, sum(n) FILTER (WHERE line IN (SELECT line FROM r)) AS lost, list(no) FILTER (WHERE line IN (SELECT line FROM r)) AS nos FROM k GROUP BY doc_id),
 q AS (SELECT documents.doc_id, documents.text, string_split(documents.text, chr(10)) AS ls, CASE WHEN z.lost <= {lost} * z.total THEN z.nos END AS nos FROM documents LEFT JOIN z ON documents.doc_id = z.doc_id)

@@ -3,7 +3,8 @@
 A line's tokens that hold a digit are variable fields. The tree has a fixed depth: first the number of tokens, then the
 leading tokens; a leaf is a combination of these. Inside a leaf a further token stays if it recurs at its place over
 many texts, and else becomes a variable field too. A line whose fixed tokens make up enough of it has the template so
-found; any other line is its own template. Lines of templates that recur in many different texts are dropped.
+found; any other line is its own template. Lines of templates that recur in many different texts are dropped. A line that
+is mostly variable fields, such as a row of numbers, has no template and stays.
 
 A tree in a log reader grows line by line; here every step is an aggregation over all lines, so the result doesn't
 depend on their order. Rows of tokens are made only for lines in leaves that recur, once for each different line.
@@ -83,7 +84,8 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MI
     line = line.withColumn("t", F.when(F.size("w") > DEPTH, let(F.col("w"), lambda w: let(places, lambda p: template(w, p)))).otherwise(F.col("w")))
     sure = F.size(F.filter("t", lambda x: x != FIELD))
     own = F.when(sure >= similarity * F.size("w"), F.col("t")).otherwise(F.col("w"))
-    line = written(line.select("line_id", "n", F.array_join(own, " ").alias("template")), "templates")
+    line = line.select("line_id", "n", own.alias("own")).filter(F.size(F.filter("own", lambda x: x != FIELD)) >= similarity * F.size("own"))
+    line = written(line.select("line_id", "n", F.array_join("own", " ").alias("template")), "templates")
     often = line.groupBy("template").agg(F.sum("n").alias("n_texts")).filter(F.col("n_texts") >= min_texts)
     return lines, written(line.join(written(often, "often"), "template").select("line_id", "template", "n_texts"), "recurring")
 
