@@ -75,11 +75,10 @@ def player_rank(board: DataFrame, project_id: str, player_id: str, period: str =
     if not player_id:
         raise ValueError("player_id is empty")
     one = board.filter((F.col("project_id") == project_id) & (F.col("period") == check_period(period)))
-    own = F.max(F.when(F.col("player_id") == player_id, F.col("score")))
-    mine = one.agg(own.alias("own")).filter("own is not null")
-    ahead = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("player_id") > player_id))
-    counted = one.crossJoin(F.broadcast(mine)).groupBy("own").agg((F.count_if(ahead) + 1).alias("rank"))  # mine: one row
-    return counted.select(F.lit(project_id).alias("project_id"), F.lit(period).alias("period"), F.lit(player_id).alias("player_id"), "rank", F.col("own").alias("score"))
+    own = one.agg(F.max(F.when(F.col("player_id") == player_id, F.col("score")))).scalar()  # one value, found before
+    ahead = (F.col("score") > own) | ((F.col("score") == own) & (F.col("player_id") > player_id))
+    counted = one.agg((F.count_if(ahead) + 1).alias("rank"), F.max(F.when(F.col("player_id") == player_id, F.col("score"))).alias("score")).filter("score is not null")
+    return counted.select(F.lit(project_id).alias("project_id"), F.lit(period).alias("period"), F.lit(player_id).alias("player_id"), "rank", "score")
 
 
 def live_daily_boards(board: DataFrame, last_writes: DataFrame, ttl_seconds: int, as_of: Column) -> DataFrame:
