@@ -29,14 +29,25 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def tokens(line: Column) -> Column:
-    """The words of a line, those with a digit replaced by FIELD."""
-    plain = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(line)
-    return words(plain)
+def masked(line: Column) -> Column:
+    """The words of a line with one space between, those with a digit replaced by FIELD; empty without a word.
 
+    Most lines have single spaces and no digit and are left as they are, without an array of words.
+    """
+    spaced = line.startswith(" ") | line.endswith(" ")
+    for run in ("  ", "\t", "\x0b", "\f", "\r"):
+        spaced = spaced | line.contains(run)
+    even = F.when(spaced, F.array_join(words(line), " ")).otherwise(line)
+    return let(even, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(x))
+
+
+def n_tokens(line: Column) -> Column:
+    """The number of words of a masked line that isn't empty."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
 
-def _leaf(w: Column) -> Column:
-    return F.xxhash64(F.size(w), *(F.get(w, k) for k in range(DEPTH)))
+
+def _leaf(line: Column) -> Column:
+    return F.xxhash64(n_tokens(line), F.substring_index(line, " ", DEPTH))
 
 
 def text_lines(text: Column) -> Column:
@@ -48,7 +59,7 @@ def line_keys(docs: DataFrame, text_col: str) -> DataFrame:
     """(text_id, line_no, leaf, line_id, n_words) of every line with a word, once for each different text."""
 
     def keys(line: Column, no: Column) -> Column:
-        return let(tokens(line), lambda w: F.when(F.size(w) > 0, F.struct(no.alias("line_no"), _leaf(w).alias("leaf"), digest(F.array_join(w, " ")).alias("line_id"), F.size(w).alias("n_words"))))
+        return let(masked(line), lambda x: F.when(x != "", F.struct(no.alias("line_no"), _leaf(x).alias("leaf"), digest(x).alias("line_id"), n_tokens(x).alias("n_words"))))
 
     text = F.col(text_col).cast("string")
     found = docs.filter(F.col(text_col).isNotNull()).select(digest(text).alias("text_id"), F.explode(F.filter(F.transform(text_lines(text), keys), lambda x: x.isNotNull())).alias("x"))
@@ -63,8 +74,8 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MI
     leaves = written(counted.groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_texts).select("leaf"), "leaves")
     candidates = counted.join(small(leaves), "leaf")
     # only lines of leaves that recur go on; equal lines meet in the aggregation before it shuffles
-    masked = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.transform(text_lines(F.col(text_col)), lambda x: let(tokens(x), lambda w: F.struct(_leaf(w).alias("leaf"), F.array_join(w, " ").alias("line"))))).alias("x")).select("x.*")
-    spelt = masked.filter("line != ''").join(small(leaves), "leaf", "left_semi").groupBy("line").agg(F.lit(1).alias("one")).select(digest(F.col("line")).alias("line_id"), "line")
+    every = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.transform(text_lines(F.col(text_col)), lambda x: let(masked(x), lambda w: F.struct(_leaf(w).alias("leaf"), w.alias("line"))))).alias("x")).select("x.*")
+    spelt = every.filter("line != ''").join(small(leaves), "leaf", "left_semi").groupBy("line").agg(F.lit(1).alias("one")).select(digest(F.col("line")).alias("line_id"), "line")
     named = written(candidates.join(spelt, "line_id").select("leaf", "line_id", "n", F.split("line", " ").alias("w")), "named")
 
     beyond = named.select("leaf", "line_id", "n", F.posexplode("w").alias("place", "token")).filter(f"place >= {DEPTH}")
@@ -100,6 +111,11 @@ def marked(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS,
     return keyed.join(per_text, F.col("__text_id") == F.col("text_id"), "left").select(*docs.columns, "__drop")
 
 
+def _without(text: Column, drop: Column) -> Column:
+    """A text without the lines of the given numbers."""
+    return let(text_lines(text), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), drop), lambda k: F.get(x, k)), "\n"))
+
+
 def drop_recurring(docs: DataFrame, text_col: str = "text", chars_col: str | None = None, **how) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of the texts; all rows and columns stay.
 
@@ -109,9 +125,7 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", chars_col: str | Non
     ``chars_col`` names a column that holds the length of the text and is set anew.
     """
     rows = marked(docs, text_col, **how)
-    lines = text_lines(F.col(text_col))
-    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda k: F.get(x, k)), "\n"))
-    rows = rows.withColumn(text_col, F.when(F.col("__drop").isNotNull(), left).otherwise(F.col(text_col)))
+    rows = rows.withColumn(text_col, F.when(F.col("__drop").isNotNull(), _without(F.col(text_col), F.col("__drop"))).otherwise(F.col(text_col)))
     if chars_col:
         rows = rows.withColumn(chars_col, F.when(F.col("__drop").isNotNull(), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
     return rows.select(*docs.columns)
@@ -120,6 +134,6 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", chars_col: str | Non
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row for each row of ``docs``: (id, n_lines, n_dropped, text_md5 of the text that is left; null stays null)."""
     rows = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", **how)
-    left = let(text_lines(F.col("text")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop")), lambda k: F.get(x, k)), "\n"))
-    after = F.when(F.col("__drop").isNotNull(), left).otherwise(F.col("text"))
-    return rows.select("id", F.when(F.col("text").isNull(), 0).otherwise(F.size(text_lines(F.col("text")))).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"), F.md5(after.cast("binary")).alias("text_md5"))
+    after = F.when(F.col("__drop").isNotNull(), _without(F.col("text"), F.col("__drop"))).otherwise(F.col("text"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    return rows.select("id", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"), F.md5(after.cast("binary")).alias("text_md5"))
