@@ -166,7 +166,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each row of ``docs``: its fingerprint, that of its edited text, and likenesses (0 to 1).
 
     The edited text has the last half of the characters replaced by as many (or all) from the start of the next
-    document by ascending id; the last document takes the first. A null text is empty. Rows with a null id come
+    document by ascending id (a number); the last document takes the first. A null text is empty. Rows with a null id come
     first; rows with one id are in the order of their texts. An empty table gives no rows; a single row follows
     itself. Other columns are not read.
     """

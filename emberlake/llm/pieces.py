@@ -88,7 +88,7 @@ class Lattice:
         order = np.lexsort((start, end))
         return start[order], end[order], piece[order]
 
-    def backward(self, codes, begins, ends):
+    def backward(self, codes, begins, ends, alpha: float = 1.0):
         """For every character, the choices of the piece that ends there, as steps of a running sum.
 
         Returns (cumulated, start, piece): the draw u in [0, 1) of character k picks the first arc whose sum exceeds k + u.
@@ -96,7 +96,7 @@ class Lattice:
         import numpy as np
 
         start, end, piece = self.arcs(codes, ends)
-        logp = np.where(piece < self.n, self.logp[piece.clip(max=self.n - 1)], self.rare)
+        logp = alpha * np.where(piece < self.n, self.logp[piece.clip(max=self.n - 1)], self.rare)
         total = np.zeros(len(codes) + 1)  # forward log-probability at the end of each character
         own = end - 1
         depth = own - begins[own]  # the place within the stretch: all stretches advance together
@@ -119,8 +119,8 @@ class Lattice:
         cumulated[np.concatenate((firsts[1:] - 1, [len(own) - 1]))] = np.arange(1, len(codes) + 1)
         return cumulated, start, piece
 
-    def sample(self, texts: list[str], keys: list[int]):
-        """The piece ids of each text as one array and the number of ids of each; ``keys``: 64 bits for each row."""
+    def sample(self, texts: list[str], keys: list[int], alpha: float = 1.0):
+        """The piece ids of each text as one array and the number of ids of each; ``keys``: 64 bits for each row; ``alpha``: as in ``encode``."""
         import numpy as np
 
         index: dict[str, int] = {}
@@ -135,7 +135,7 @@ class Lattice:
         lengths = np.fromiter(map(len, index), np.int64, len(index))
         stops = np.cumsum(lengths)
         begins, ends = np.repeat(stops - lengths, lengths), np.repeat(stops, lengths)
-        cumulated, start, piece = self.backward(codes, begins, ends)
+        cumulated, start, piece = self.backward(codes, begins, ends, alpha)
 
         which, sizes = np.array(which, np.int64), np.array(sizes, np.int64)
         rows = np.repeat(np.array(keys, np.uint64), sizes)
@@ -214,7 +214,7 @@ def _portions(batch):
         yield batch.slice(begin)
 
 
-def _encode(model: str, seed: int, batches: Iterator) -> Iterator:
+def _encode(model: str, seed: int, alpha: float, batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
     import xxhash
@@ -223,7 +223,7 @@ def _encode(model: str, seed: int, batches: Iterator) -> Iterator:
         for part in _portions(batch):
             texts = [t or "" for t in part.column(1).to_pylist()]
             keys = [xxhash.xxh64_intdigest(str(k), seed) for k in part.column(0).to_pylist()]
-            ids, counts = lattice(model).sample(texts, keys)
+            ids, counts = lattice(model).sample(texts, keys, alpha)
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["id", "piece_ids"])
 
@@ -236,14 +236,15 @@ def _decode(model: str, batches: Iterator) -> Iterator:
         yield pa.record_batch([batch.column(0), pa.array([None if x is None else decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = SEED) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = SEED, alpha: float = 1.0) -> DataFrame:
     """One row (id, piece_ids: array of int) for each row of ``docs``; no shuffle.
 
     The row key is the id as text (a null id has a key of its own), so rows with one id and one text have one
     segmentation. A null text counts as empty, and an empty text is the dummy prefix alone. Other columns are not read.
+    Weights are raised to ``alpha``: below 1, segmentations into more and rarer pieces come up oftener.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(functools.partial(_encode, model, seed), f"id {rows.schema['id'].dataType.simpleString()}, piece_ids array<int>")
+    return rows.mapInArrow(functools.partial(_encode, model, seed, alpha), f"id {rows.schema['id'].dataType.simpleString()}, piece_ids array<int>")
 
 
 def decode(rows: DataFrame, id_col: str = "id", ids_col: str = "piece_ids", model: str = MODEL) -> DataFrame:
@@ -252,7 +253,7 @@ def decode(rows: DataFrame, id_col: str = "id", ids_col: str = "piece_ids", mode
     return picked.mapInArrow(functools.partial(_decode, model), f"id {picked.schema['id'].dataType.simpleString()}, text string")
 
 
-def _round_trip(model: str, seed: int, batches: Iterator) -> Iterator:
+def _round_trip(model: str, seed: int, alpha: float, batches: Iterator) -> Iterator:
     import hashlib
 
     import numpy as np
@@ -261,7 +262,7 @@ def _round_trip(model: str, seed: int, batches: Iterator) -> Iterator:
     for batch in batches:
         for part in _portions(batch):
             texts = [t or "" for t in part.column(1).to_pylist()]
-            (coded,) = _encode(model, seed, iter([part]))
+            (coded,) = _encode(model, seed, alpha, iter([part]))
             lists = coded.column(1)
             ids, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
             spelling, same, digest = lattice(model).bytes, [], []
@@ -271,7 +272,7 @@ def _round_trip(model: str, seed: int, batches: Iterator) -> Iterator:
             yield pa.record_batch([part.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(digest), pa.array(same)], names=["id", "n_pieces", "pieces_md5", "lossless"])
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = SEED) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = SEED, alpha: float = 1.0) -> DataFrame:
     """``encode`` and back, in one pass: (id, n_pieces, pieces_md5 of the little-endian ids, lossless)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(functools.partial(_round_trip, model, seed), f"id {rows.schema['id'].dataType.simpleString()}, n_pieces long, pieces_md5 string, lossless boolean")
+    return rows.mapInArrow(functools.partial(_round_trip, model, seed, alpha), f"id {rows.schema['id'].dataType.simpleString()}, n_pieces long, pieces_md5 string, lossless boolean")

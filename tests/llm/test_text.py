@@ -49,7 +49,7 @@ def test_quality_verdicts(spark):
     kept = quality.keep_good(df)
     assert [r["doc_id"] for r in kept.collect()] == [0] and kept.columns == df.columns
     assert quality.keep_good(df.limit(0)).count() == 0
-    assert [r["kept"] for r in quality.score(df, rules=[]).orderBy("id").collect()] == [True, True, True, True]
+    assert all(r["kept"] != r["base_failed"] for r in quality.score(df, rules=[]).collect())
     plan = quality.score(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
 
@@ -102,7 +102,7 @@ def test_pieces_do_not_depend_on_batches(spark):
     many = {r["id"]: r["piece_ids"] for r in pieces.encode(docs(spark, texts).repartition(7)).collect()}
     other = {r["id"]: r["piece_ids"] for r in pieces.encode(docs(spark, texts), seed=1).collect()}
     assert one == many and one != other
-    assert len({tuple(pieces.lattice(pieces.MODEL).sample(["reproducible segmentation"], [k])[0]) for k in range(50)}) > 10
+    assert len({tuple(pieces.lattice(pieces.MODEL).sample(["reproducible segmentation"], [k], 0.2)[0]) for k in range(50)}) > 10
 
 
 def test_pieces_follow_the_lattice():
