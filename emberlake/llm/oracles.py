@@ -82,3 +82,32 @@ z AS (SELECT doc_id, sum(n) AS total, sum(n) FILTER (WHERE line IN (SELECT line
 q AS (SELECT documents.doc_id, documents.text, string_split(documents.text, chr(10)) AS ls, CASE WHEN z.lost <= {lost} * z.total THEN z.nos END AS nos FROM documents LEFT JOIN z ON documents.doc_id = z.doc_id)
 SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(nos), 0) AS n_dropped,
        md5(CASE WHEN nos IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(nos, i)), lambda i: ls[i]), chr(10)) END) AS text_md5 FROM q"""
+
+
+def mixing(weights: list[dict[str, float]], share: float, max_epochs: float, seed: int = 7) -> str:
+    """The water level of a node's children in closed form: sorted by capacity over weight, the first that isn't full sets it."""
+    weight = lambda level, name: f"CASE {name} {' '.join(f'WHEN {_text(k)} THEN {w}' for k, w in weights[level].items())} ELSE 1.0 END" if weights[level] else "1.0"
+
+    def filled(nodes: str, parent: str, out: str) -> str:
+        over = f"PARTITION BY {parent} ORDER BY cap / w, name"
+        return f"""
+{out}_o AS (SELECT *, budget - (sum(cap) OVER ({over}) - cap) AS above, sum(w) OVER (PARTITION BY {parent}) - (sum(w) OVER ({over}) - w) AS open_w FROM {nodes}),
+{out}_l AS (SELECT {parent}, arg_min(above / open_w, struct_pack(r := cap / w, name := name)) AS water FROM {out}_o WHERE cap > w * above / open_w GROUP BY ALL),
+{out} AS (SELECT o.* EXCLUDE (budget, above, open_w), CASE WHEN o.cap <= o.w * o.above / o.open_w OR l.water IS NULL THEN o.cap ELSE o.w * l.water END AS given
+          FROM {out}_o o LEFT JOIN {out}_l l ON {' AND '.join(f'o.{p} = l.{p}' for p in parent.split(', '))}),"""
+
+    return rf"""
+WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src1[0-4]$') THEN 'forum' WHEN source IS NOT NULL THEN 'books' ELSE '(none)' END AS d,
+                  coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}+')) AS bigint) AS n FROM documents),
+leaf AS (SELECT 0 AS root, d, l, s, cast(sum(n) AS double) AS tokens FROM t GROUP BY ALL),
+n1 AS (SELECT root, d AS name, {weight(0, 'd')} AS w, sum(tokens) * {max_epochs} AS cap, (SELECT sum(tokens) * {share} FROM leaf) AS budget FROM leaf GROUP BY root, d),
+{filled('n1', 'root', 'f1')}
+n2 AS (SELECT leaf.d, leaf.l AS name, {weight(1, 'leaf.l')} AS w, sum(tokens) * {max_epochs} AS cap, any_value(f1.given) AS budget FROM leaf JOIN f1 ON leaf.d = f1.name GROUP BY leaf.d, leaf.l),
+{filled('n2', 'd', 'f2')}
+n3 AS (SELECT leaf.d, leaf.l, leaf.s AS name, {weight(2, 'leaf.s')} AS w, tokens * {max_epochs} AS cap, f2.given AS budget FROM leaf JOIN f2 ON leaf.d = f2.d AND leaf.l = f2.name),
+{filled('n3', 'd, l', 'f3')}
+b AS (SELECT leaf.*, CASE WHEN tokens > 0 THEN cast(floor(f3.given / tokens) AS bigint) ELSE 0 END AS whole, f3.given FROM leaf JOIN f3 ON leaf.d = f3.d AND leaf.l = f3.l AND leaf.s = f3.name),
+k AS (SELECT t.*, whole, cast(trunc(given - whole * tokens) AS bigint) AS room, cast('0x' || substr(md5('{seed}/' || cast(whole AS varchar) || '/' || coalesce(cast(doc_id AS varchar), '(none)')), 1, 15) AS bigint) AS place
+      FROM t JOIN b ON t.d = b.d AND t.l = b.l AND t.s = b.s),
+u AS (SELECT *, sum(n) OVER (PARTITION BY d, l, s ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
+SELECT doc_id, d || '/' || l || '/' || s AS leaf, n AS n_tokens, cast(whole + CASE WHEN room > 0 AND upto <= room THEN 1 ELSE 0 END AS integer) AS epochs FROM u WHERE whole > 0 OR (room > 0 AND upto <= room)"""

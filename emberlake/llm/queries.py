@@ -85,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": oracles.line_dedup(),
+    "op5_mixing": oracles.mixing(WEIGHTS, SHARE, EPOCHS),
     "op6_sharding": oracles.shard_placement(),
     "op7_quality_rules": oracles.quality_rules(),
     "op9_license_scan": oracles.license_scan(),
