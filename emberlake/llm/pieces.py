@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20240101
 #: Characters that are segmented at once: bounds memory.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 STRETCH = re.compile(r" *[^ \n]+|\n| +")
 
 
