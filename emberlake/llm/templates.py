@@ -66,12 +66,24 @@ def line_keys(docs: DataFrame, text_col: str) -> DataFrame:
     return written(found.select("text_id", "x.*").distinct(), "line-keys")
 
 
+def _in_texts(keyed: DataFrame, keys: list[str], lines: DataFrame, min_texts: int, tag: str) -> DataFrame:
+    """The ``keys`` whose lines are in ``min_texts`` different texts; ``keyed`` has (keys, line_id, n: the texts of the line).
+
+    The greatest n and the sum of n bound the number from both sides; texts are counted only between the two.
+    """
+    bounds = written(keyed.groupBy(*keys).agg(F.max("n").alias("least"), F.sum("n").alias("most")).filter(F.col("most") >= min_texts), f"{tag}-bounds")
+    doubtful = keyed.join(small(bounds.filter(F.col("least") < min_texts).select(*keys)), keys).select(*keys, "line_id").distinct()
+    texts = lines.select("line_id", "text_id").join(small(written(doubtful, f"{tag}-doubtful")), "line_id").select(*keys, "text_id").distinct()
+    counted = texts.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts)
+    return written(bounds.filter(F.col("least") >= min_texts).select(*keys).unionByName(counted.select(*keys)), tag)
+
+
 def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(line_keys, templates): templates has (line_id, template, n_texts) for the different lines of recurring templates."""
+    """(line_keys, templates): templates has (line_id, template) for the different lines of recurring templates."""
     lines = line_keys(docs, text_col)
-    # one row for each different line, with the number of texts it is in; a leaf has the sum of its lines
+    # one row for each different line, with the number of texts it is in
     counted = written(lines.select("leaf", "line_id", "text_id").distinct().groupBy("leaf", "line_id").agg(F.count("*").alias("n")), "counted")
-    leaves = written(counted.groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_texts).select("leaf"), "leaves")
+    leaves = _in_texts(counted, ["leaf"], lines, min_texts, "leaves")
     candidates = counted.join(small(leaves), "leaf")
     # only lines of leaves that recur go on; equal lines meet in the aggregation before it shuffles
     every = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.transform(text_lines(F.col(text_col)), lambda x: let(masked(x), lambda w: F.struct(_leaf(w).alias("leaf"), w.alias("line"))))).alias("x")).select("x.*")
@@ -79,7 +91,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MI
     named = written(candidates.join(spelt, "line_id").select("leaf", "line_id", "n", F.split("line", " ").alias("w")), "named")
 
     beyond = named.select("leaf", "line_id", "n", F.posexplode("w").alias("place", "token")).filter(f"place >= {DEPTH}")
-    fixed = written(beyond.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support")).filter((F.col("support") >= min_texts) & (F.col("token") != FIELD)).select("leaf", "place", "token"), "fixed")
+    fixed = _in_texts(beyond.filter(F.col("token") != FIELD), ["leaf", "place", "token"], lines, min_texts, "fixed")
     kept = beyond.select("leaf", "place", "token", "line_id").join(fixed, ["leaf", "place", "token"]).groupBy("line_id").agg(F.array_sort(F.collect_list("place")).alias("fixed"))
     line = named.join(written(kept, "kept"), "line_id", "left")
 
@@ -97,8 +109,8 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MI
     own = F.when(sure >= similarity * F.size("w"), F.col("t")).otherwise(F.col("w"))
     line = line.select("line_id", "n", own.alias("own")).filter(F.size(F.filter("own", lambda x: x != FIELD)) >= similarity * F.size("own"))
     line = written(line.select("line_id", "n", F.array_join("own", " ").alias("template")), "templates")
-    often = line.groupBy("template").agg(F.sum("n").alias("n_texts")).filter(F.col("n_texts") >= min_texts)
-    return lines, written(line.join(written(often, "often"), "template").select("line_id", "template", "n_texts"), "recurring")
+    often = _in_texts(line, ["template"], lines, min_texts, "often")
+    return lines, written(line.join(often, "template").select("line_id", "template"), "recurring")
 
 
 def marked(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY, most_lost: float = MOST_LOST) -> DataFrame:
@@ -119,8 +131,7 @@ def _without(text: Column, drop: Column) -> Column:
 def drop_recurring(docs: DataFrame, text_col: str = "text", chars_col: str | None = None, **how) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of the texts; all rows and columns stay.
 
-    A template recurs if its lines are in ``min_texts`` different texts or more (a line twice in a text may count twice
-    through its two spellings). A text that would lose over ``most_lost`` of its words stays whole: it is one of a group
+    A template recurs if its lines are in ``min_texts`` different texts or more, however many of them a text has. A text that would lose over ``most_lost`` of its words stays whole: it is one of a group
     of copies, which near-dedup treats. Null texts stay null, empty texts empty; lines without a word are never dropped.
     ``chars_col`` names a column that holds the length of the text and is set anew.
     """
