@@ -4,7 +4,7 @@ A line's tokens that hold a digit are variable fields. The tree has a fixed dept
 leading tokens; a leaf is a combination of these. Inside a leaf a further token stays if it recurs at its place over
 many texts, and else becomes a variable field too. A line whose fixed tokens make up enough of it has the template so
 found; any other line is its own template. Lines of templates that recur in many different texts are dropped. A line that
-is mostly variable fields, such as a row of numbers, has no template and stays.
+is mostly variable fields, such as a row of numbers, is its own template as it stands: it recurs with equal lines only.
 
 A tree in a log reader grows line by line; here every step is an aggregation over all lines, so the result doesn't
 depend on their order. Rows of tokens are made only for lines in leaves that recur, once for each different line.
@@ -55,11 +55,18 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
 
 
-def line_keys(docs: DataFrame, text_col: str) -> DataFrame:
-    """(text_id, line_no, leaf, line_id, n_words) of every line with a word, once for each different text."""
+def line_keys(docs: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(text_id, line_no, leaf, line_id, n_words, raw_id) of every line with a word, once for each different text.
+
+    ``raw_id`` is set for lines of mostly variable fields: it stands for the line's words as they are.
+    """
+
+    def raw_id(line: Column, x: Column) -> Column:
+        fixed = F.size(F.filter(F.split(x, " "), lambda w: w != FIELD))
+        return F.when(x.contains(FIELD), F.when(fixed < similarity * n_tokens(x), digest(F.array_join(words(line), " "))))
 
     def keys(line: Column, no: Column) -> Column:
-        return let(masked(line), lambda x: F.when(x != "", F.struct(no.alias("line_no"), _leaf(x).alias("leaf"), digest(x).alias("line_id"), n_tokens(x).alias("n_words"))))
+        return let(masked(line), lambda x: F.when(x != "", F.struct(no.alias("line_no"), _leaf(x).alias("leaf"), digest(x).alias("line_id"), n_tokens(x).alias("n_words"), raw_id(line, x).alias("raw_id"))))
 
     text = F.col(text_col).cast("string")
     found = docs.filter(F.col(text_col).isNotNull()).select(digest(text).alias("text_id"), F.explode(F.filter(F.transform(text_lines(text), keys), lambda x: x.isNotNull())).alias("x"))
@@ -79,8 +86,11 @@ def _in_texts(keyed: DataFrame, keys: list[str], lines: DataFrame, min_texts: in
 
 
 def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(line_keys, templates): templates has (line_id, template) for the different lines of recurring templates."""
-    lines = line_keys(docs, text_col)
+    """(line_keys, templates): templates has (line_id, template) for the different lines of recurring templates.
+
+    Lines of mostly variable fields that recur as they are have their ``raw_id`` as line_id, and no template.
+    """
+    lines = line_keys(docs, text_col, similarity)
     # one row for each different line, with the number of texts it is in
     counted = written(lines.select("leaf", "line_id", "text_id").distinct().groupBy("leaf", "line_id").agg(F.count("*").alias("n")), "counted")
     leaves = _in_texts(counted, ["leaf"], lines, min_texts, "leaves")
@@ -110,12 +120,15 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MI
     line = line.select("line_id", "n", own.alias("own")).filter(F.size(F.filter("own", lambda x: x != FIELD)) >= similarity * F.size("own"))
     line = written(line.select("line_id", "n", F.array_join("own", " ").alias("template")), "templates")
     often = _in_texts(line, ["template"], lines, min_texts, "often")
-    return lines, written(line.join(often, "template").select("line_id", "template"), "recurring")
+    equal = lines.filter("raw_id is not null").select("raw_id", "text_id").distinct().groupBy("raw_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts)
+    equal = equal.select(F.col("raw_id").alias("line_id"), F.lit(None).cast("string").alias("template"))
+    return lines, written(line.join(often, "template").select("line_id", "template").unionByName(equal), "recurring")
 
 
 def marked(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY, most_lost: float = MOST_LOST) -> DataFrame:
     """The columns of ``docs`` and ``__drop``: the numbers (from 0) of the lines to drop, null if none."""
     lines, recurring = recurring_lines(docs, text_col, min_texts, similarity)
+    lines = lines.withColumn("line_id", F.coalesce("raw_id", "line_id"))
     hits = lines.join(small(recurring.select("line_id", F.lit(1).alias("hit"))), "line_id", "left")
     per_text = hits.groupBy("text_id").agg(F.sum("n_words").alias("all"), F.sum(F.col("n_words") * F.col("hit")).alias("lost"), F.collect_list(F.when(F.col("hit").isNotNull(), F.col("line_no"))).alias("__drop"))
     per_text = written(per_text.filter(F.col("lost") <= most_lost * F.col("all")).select("text_id", "__drop"), "drops")
