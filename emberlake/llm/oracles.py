@@ -98,7 +98,7 @@ def mixing(weights: list[dict[str, float]], share: float, max_epochs: float, see
 
     return rf"""
 WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src1[0-4]$') THEN 'forum' WHEN source IS NOT NULL THEN 'books' ELSE '(none)' END AS d,
-                  coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}+')) AS bigint) AS n FROM documents),
+                  coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}+')) AS bigint) AS n, md5(coalesce(text, '')) AS body FROM documents),
 leaf AS (SELECT 0 AS root, d, l, s, cast(sum(n) AS double) AS tokens FROM t GROUP BY ALL),
 n1 AS (SELECT root, d AS name, {weight(0, 'd')} AS w, sum(tokens) * {max_epochs} AS cap, (SELECT sum(tokens) * {share} FROM leaf) AS budget FROM leaf GROUP BY root, d),
 {filled('n1', 'root', 'f1')}
@@ -106,8 +106,8 @@ n2 AS (SELECT leaf.d, leaf.l AS name, {weight(1, 'leaf.l')} AS w, sum(tokens) *
 {filled('n2', 'd', 'f2')}
 n3 AS (SELECT leaf.d, leaf.l, leaf.s AS name, {weight(2, 'leaf.s')} AS w, tokens * {max_epochs} AS cap, f2.given AS budget FROM leaf JOIN f2 ON leaf.d = f2.d AND leaf.l = f2.name),
 {filled('n3', 'd, l', 'f3')}
-b AS (SELECT leaf.*, CASE WHEN tokens > 0 THEN cast(floor(f3.given / tokens) AS bigint) ELSE 0 END AS whole, f3.given FROM leaf JOIN f3 ON leaf.d = f3.d AND leaf.l = f3.l AND leaf.s = f3.name),
-k AS (SELECT t.*, whole, cast(trunc(given - whole * tokens) AS bigint) AS room, cast('0x' || substr(md5('{seed}/' || cast(whole AS varchar) || '/' || coalesce(cast(doc_id AS varchar), '(none)')), 1, 15) AS bigint) AS place
+b AS (SELECT leaf.*, CASE WHEN tokens > 0 THEN cast(floor(f3.given / tokens + 1e-6) AS bigint) ELSE 0 END AS whole, f3.given FROM leaf JOIN f3 ON leaf.d = f3.d AND leaf.l = f3.l AND leaf.s = f3.name),
+k AS (SELECT t.*, whole, cast(floor(given - whole * tokens + 1e-6) AS bigint) AS room, cast('0x' || substr(md5('{seed}/' || cast(whole AS varchar) || '/' || md5(coalesce(cast(doc_id AS varchar), '(none)') || '/' || body)), 1, 15) AS bigint) AS place
       FROM t JOIN b ON t.d = b.d AND t.l = b.l AND t.s = b.s),
-u AS (SELECT *, sum(n) OVER (PARTITION BY d, l, s ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
+u AS (SELECT *, sum(n) OVER (PARTITION BY d, l, s ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
 SELECT doc_id, d || '/' || l || '/' || s AS leaf, n AS n_tokens, cast(whole + CASE WHEN room > 0 AND upto <= room THEN 1 ELSE 0 END AS integer) AS epochs FROM u WHERE whole > 0 OR (room > 0 AND upto <= room)"""

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -30,26 +30,23 @@ def corpus(spark, n=600, seed=1):
 
 
 def plain_mix(rows, weights, share, max_epochs, seed):
-    """How often each row is taken, by sorting every leaf."""
+    """How often each row is taken, by sorting every leaf; of equal rows as many as fit."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     leaves = defaultdict(list)
     for r in rows:
-        leaves[(r[2] or "(none)", r[3])].append((r[0], len((r[1] or "").split())))
-    totals = {k: float(sum(n for _, n in v)) for k, v in leaves.items()}
+        leaves[(r[2] or "(none)", r[3])].append((r[0], r[1] or ""))
+    totals = {k: float(sum(len(t.split()) for _, t in v)) for k, v in leaves.items()}
     budgets = mixing.leaf_budgets(totals, weights, sum(totals.values()) * share, max_epochs)
     out = Counter()
     for leaf, members in leaves.items():
-        whole = int(budgets[leaf] // totals[leaf]) if totals[leaf] else 0
-        room = int(budgets[leaf] - whole * totals[leaf])
-        key = lambda i: int(hashlib.md5(f"{seed}/{whole}/{'(none)' if i is None else i}".encode()).hexdigest()[:15], 16)  # noqa: E731, B023
-        groups = defaultdict(list)
-        for member in members:
-            groups[key(member[0])].append(member)
+        whole = int(budgets[leaf] / totals[leaf] + 1e-6) if totals[leaf] else 0
+        room = int(budgets[leaf] - whole * totals[leaf] + 1e-6)
+        key = lambda i, t: int(md5(f"{seed}/{whole}/" + md5(f"{'(none)' if i is None else i}/{md5(t)}"))[:15], 16)  # noqa: E731, B023
         used, open_ = 0, room > 0
-        for k in sorted(groups):
-            used += sum(n for _, n in groups[k])
+        for i, t in sorted(members, key=lambda m: key(*m)):
+            used += len(t.split())
             open_ = open_ and used <= room
-            for i, n in groups[k]:
-                out[(i, n, leaf)] += whole + open_
+            out[(i, len(t.split()), leaf)] += whole + open_
     return {k: v for k, v in out.items() if v}
 
 
@@ -81,6 +78,35 @@ def test_shortage_goes_to_siblings_before_ancestors():
     assert got == {("en", "a"): 10.0, ("en", "b"): 15.0, ("de", "a"): 37.5, ("de", "b"): 37.5}
 
 
+def test_rows_without_an_id_fill_the_budget(spark):
+    one = [(None, "w " * (1 + k % 7), "en", "a", 0) for k in range(1000)]
+    same = [(None, "w w w", "de", "a", 0)] * 900 + [(5, "x y", "de", "a", 0)] * 100
+    df = spark.createDataFrame(one + same, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    taken = mixing.choose(df, levels(), [{}, {}], share=0.5)
+    got = {r["lang"]: (r["n"], r["tokens"]) for r in taken.groupBy("lang").agg(F.count("*").alias("n"), F.sum("__tokens").alias("tokens")).collect()}
+    want = plain_mix(one + same, [{}, {}], 0.5, 1.0, 7)
+    assert {k: v[0] for k, v in got.items()} == {lang: sum(n for (_, _, leaf), n in want.items() if leaf[0] == lang) for lang in ("en", "de")}
+    assert 400 < got["en"][0] < 600 and got["de"][1] > 0.45 * 2900
+    assert taken.columns == [*df.columns, "__leaf", "__tokens", "__epochs"]
+
+
+def test_budgets_of_many_leaves(spark):
+    """Sources as fine as host names: budgets are joins, nothing is capped."""
+    leaves = spark.range(200_000).select(F.array(F.concat(F.lit("d"), (F.col("id") % 3).cast("string")), F.col("id").cast("string")).alias("leaf"), (F.col("id") % 97).alias("n"))
+    weights = [{"d0": 0.7, "d1": 0.3, "d2": 0.0}, {"7": 50.0, "1": 0.5}]
+    got = {tuple(r["leaf"]): r["given"] for r in mixing.budgets(leaves, weights, 3_000_000.0, 1.0).collect()}
+    want = mixing.leaf_budgets({tuple(r["leaf"]): float(r["n"]) for r in leaves.collect()}, weights, 3_000_000.0, 1.0)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
+
+
+def test_budgets_refuse_weights_out_of_bounds(spark):
+    leaves = spark.createDataFrame([(["a"], 1)], "leaf array<string>, n long")
+    for w in (-1.0, 1e-12, float("nan")):
+        with pytest.raises(ValueError):
+            mixing.budgets(leaves, [{"a": w}], 1.0, 1.0)
+
+
+@example([(1.0, 1.5), (5e-324, 1.0)], 2.0)
 @given(st.lists(st.tuples(st.floats(0, 5), st.floats(0, 100)), max_size=8), st.floats(0, 500))
 def test_split_budget(children, budget):
     given_ = mixing.split_budget(budget, children)
