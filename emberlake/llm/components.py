@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import written
+from emberlake.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,15 +26,20 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    out = both.join(_nearest(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return written(out.filter("a != b").distinct(), "large")
+    least = _nearest(both)
+    moved = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = written(moved.filter("a != b").distinct(), "large")
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = _nearest(down)
-    out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return written(out.filter("a != b").distinct(), "small")
+    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    out = written(moved.filter("a != b").distinct(), "small")
+    discard(least)
+    return out
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -45,7 +50,10 @@ def component_labels(edges: DataFrame) -> DataFrame:
     now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = _small_star(_large_star(now))
+        large = _large_star(now)
+        after = _small_star(large)
+        discard(large, now)
+        now = after
         if (new := _state(now)) == state:
             break
         state = new

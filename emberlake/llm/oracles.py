@@ -23,10 +23,12 @@ r AS (SELECT doc_id, i, win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id,
 c AS (SELECT doc_id, count(*) FILTER (WHERE covered) AS n_repeat_words FROM (SELECT doc_id, rep OR coalesce(lag(rep, 1) OVER o, false) OR coalesce(lag(rep, 2) OVER o, false) AS covered FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id),
 m AS (SELECT w.doc_id, cast(len(w) AS bigint) AS n_words, cast(length(array_to_string(w, '')) AS bigint) AS word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) AS bigint) AS n_symbols,
              cast(len(ls) - len(list_distinct(ls)) AS bigint) AS n_dup_lines, cast(coalesce(n_repeat_words, 0) AS bigint) AS n_repeat_words,
-             len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper, len(list_intersect(list_distinct(w), [{stop}])) AS n_stop, len(ls) AS n_lines
+             len(regexp_extract_all(text, '\\p{{Lu}}')) AS n_upper, len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop, len(ls) AS n_lines,
+             len(list_filter(ls, lambda x: regexp_matches(x, '{quality.BULLET}'))) AS n_bullet, len(list_filter(ls, lambda x: regexp_matches(x, '{quality.ELLIPSIS}'))) AS n_ellipsis, len(list_filter(ls, lambda x: length(x) < {quality.SHORT})) AS n_short
       FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars / greatest(n_words, 1) AS mean_word, n_symbols / greatest(n_words, 1) AS symbol_ratio,
-             n_upper / greatest(word_chars, 1) AS upper_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio FROM m)
+             n_upper / greatest(word_chars, 1) AS upper_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_stop / greatest(n_words, 1) AS stop_ratio,
+             n_bullet / greatest(n_lines, 1) AS bullet_ratio, n_ellipsis / greatest(n_lines, 1) AS ellipsis_ratio, n_short / greatest(n_lines, 1) AS short_line_ratio FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(bounds)} AS kept FROM v"""
 
 
@@ -35,9 +37,11 @@ def license_scan(least: float = licenses.LEAST) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""
 WITH k(license, size, grams) AS (VALUES {known}),
-u AS (SELECT DISTINCT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[\x20\x09\x0B-\x0D]*\n')), [text])) AS unit FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, text, string_split_regex(text, '{licenses.SENTENCE}') AS s FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '{licenses.PARAGRAPH}'))) AS unit FROM p UNION SELECT doc_id, text FROM p
+      UNION SELECT doc_id, array_to_string(s[i:i + k - 1], ' ') FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM p), range(1, {licenses.SENTENCES + 1}) AS r(k)),
 w AS (SELECT doc_id, unit, regexp_extract_all(translate(unit, '{upper}', '{lower}'), '[a-z0-9]+') AS w FROM u),
-b AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) BETWEEN 2 AND 400),
+b AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) >= 2),
 d AS (SELECT doc_id, unit, license, 2 * len(list_intersect(b, grams)) / (len(b) + size) AS dice FROM b JOIN k ON len(b) BETWEEN size * {least} / (2 - {least}) AND size * (2 - {least}) / {least}),
 h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license DESC, unit DESC) AS place FROM d WHERE dice >= {least}),
 n AS (SELECT doc_id, count(DISTINCT unit) AS n_notices FROM h GROUP BY doc_id)
@@ -62,24 +66,27 @@ d AS (SELECT doc_id, n_chars, {number("coalesce(cast(doc_id AS varchar), '')")}
 SELECT d.doc_id, cast(d.slot AS integer) AS slot, cast(o.shard AS integer) AS shard, d.n_chars FROM d JOIN o ON d.slot = o.slot"""
 
 
-def line_dedup(least: int = templates.MIN_TEXTS, similarity: float = templates.SIMILARITY, lost: float = templates.MOST_LOST, depth: int = templates.DEPTH) -> str:
+def line_dedup(least: int = templates.MIN_TEXTS, similarity: float = templates.SIMILARITY, depth: int = templates.DEPTH) -> str:
     return rf"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FROM s),
-m AS (SELECT doc_id, text, no, list_transform(regexp_extract_all(raw, '{_WORD}+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
-k AS (SELECT doc_id, text, no, w, len(w) AS n, array_to_string(w, ' ') AS line, array_to_string(w[1:{depth}], ' ') AS lead FROM m WHERE len(w) > 0),
-c AS (SELECT line, w, n, lead, count(DISTINCT text) AS n_texts FROM k GROUP BY ALL),
-f AS (SELECT n, lead FROM c GROUP BY ALL HAVING sum(n_texts) >= {least}),
-a AS (SELECT c.* FROM c JOIN f USING (n, lead)),
-b AS (SELECT line, n, lead, n_texts, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM a),
-fx AS (SELECT n, lead, place, token FROM b WHERE place > {depth} AND token <> '<*>' GROUP BY ALL HAVING sum(n_texts) >= {least}),
-g AS (SELECT b.line, b.n_texts, b.n, b.place, b.token, CASE WHEN b.place <= {depth} OR fx.token IS NOT NULL THEN b.token ELSE '<*>' END AS shown
+x AS (SELECT doc_id, text, no, regexp_extract_all(raw, '{_WORD}+') AS rw FROM l),
+m AS (SELECT doc_id, text, no, rw, list_transform(rw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM x WHERE len(rw) > 0),
+k AS (SELECT doc_id, text, no, w, len(w) AS n, array_to_string(rw, ' ') AS spelt, array_to_string(w, ' ') AS line, array_to_string(w[1:{depth}], ' ') AS lead, len(list_filter(w, lambda x: x <> '<*>')) < {similarity} * len(w) AS loose FROM m),
+lt AS (SELECT DISTINCT line, w, n, lead, text FROM k),
+f AS (SELECT n, lead FROM lt GROUP BY ALL HAVING count(DISTINCT text) >= {least}),
+a AS (SELECT DISTINCT lt.line, lt.w, lt.n, lt.lead FROM lt JOIN f USING (n, lead)),
+b AS (SELECT line, n, lead, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM a),
+fx AS (SELECT b.n, b.lead, b.place, b.token FROM b JOIN (SELECT DISTINCT line, text FROM lt) o ON b.line = o.line WHERE place > {depth} AND token <> '<*>' GROUP BY ALL HAVING count(DISTINCT o.text) >= {least}),
+g AS (SELECT b.line, b.n, b.place, b.token, CASE WHEN b.place <= {depth} OR fx.token IS NOT NULL THEN b.token ELSE '<*>' END AS shown
       FROM b LEFT JOIN fx ON b.n = fx.n AND b.lead = fx.lead AND b.place = fx.place AND b.token = fx.token),
-t AS (SELECT line, n_texts, CASE WHEN count(*) FILTER (WHERE shown <> '<*>') >= {similarity} * any_value(n) THEN string_agg(shown, ' ' ORDER BY place) ELSE line END AS template FROM g GROUP BY line, n_texts
+t AS (SELECT line, CASE WHEN count(*) FILTER (WHERE shown <> '<*>') >= {similarity} * any_value(n) THEN string_agg(shown, ' ' ORDER BY place) ELSE line END AS template FROM g GROUP BY line
       HAVING count(*) FILTER (WHERE token <> '<*>') >= {similarity} * any_value(n)),
-r AS (SELECT line FROM t WHERE template IN (SELECT template FROM t GROUP BY template HAVING sum(n_texts) >= {least})),
-z AS (SELECT doc_id, sum(n) AS total, sum(n) FILTER (WHERE line IN (SELECT line FROM r)) AS lost, list(no) FILTER (WHERE line IN (SELECT line FROM r)) AS nos FROM k GROUP BY doc_id),
-q AS (SELECT documents.doc_id, documents.text, string_split(documents.text, chr(10)) AS ls, CASE WHEN z.lost <= {lost} * z.total THEN z.nos END AS nos FROM documents LEFT JOIN z ON documents.doc_id = z.doc_id)
+p AS (SELECT template FROM t JOIN (SELECT DISTINCT line, text FROM lt) o ON t.line = o.line GROUP BY template HAVING count(DISTINCT o.text) >= {least}),
+r AS (SELECT line FROM t WHERE template IN (SELECT template FROM p)),
+e AS (SELECT spelt FROM k WHERE loose GROUP BY spelt HAVING count(DISTINCT text) >= {least}),
+z AS (SELECT doc_id, list(no) AS nos FROM k WHERE (NOT loose AND line IN (SELECT line FROM r)) OR (loose AND spelt IN (SELECT spelt FROM e)) GROUP BY doc_id),
+q AS (SELECT documents.doc_id, documents.text, string_split(documents.text, chr(10)) AS ls, z.nos FROM documents LEFT JOIN z ON documents.doc_id = z.doc_id)
 SELECT doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(nos), 0) AS n_dropped,
        md5(CASE WHEN nos IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(nos, i)), lambda i: ls[i]), chr(10)) END) AS text_md5 FROM q"""
 

@@ -21,8 +21,6 @@ FIELD = "<*>"
 DEPTH = 3
 MIN_TEXTS = 10
 SIMILARITY = 0.6
-#: A text that would lose over this share of its words is a copy of whole documents, not one with boilerplate: it stays.
-MOST_LOST = 0.5
 
 
 def digest(text: Column) -> Column:
@@ -125,15 +123,18 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MI
     return lines, written(line.join(often, "template").select("line_id", "template").unionByName(equal), "recurring")
 
 
-def marked(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY, most_lost: float = MOST_LOST) -> DataFrame:
-    """The columns of ``docs`` and ``__drop``: the numbers (from 0) of the lines to drop, null if none."""
+def marked(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
+    """The columns of ``docs`` and ``__drop``: the numbers (from 0) of the lines to drop, null if none.
+
+    Null and empty texts and an empty table have nothing to drop; repeated rows are marked alike. ``docs`` has no column
+    ``__text``, ``__drop`` or ``__text_id``.
+    """
     lines, recurring = recurring_lines(docs, text_col, min_texts, similarity)
     lines = lines.withColumn("line_id", F.coalesce("raw_id", "line_id"))
-    hits = lines.join(small(recurring.select("line_id", F.lit(1).alias("hit"))), "line_id", "left")
-    per_text = hits.groupBy("text_id").agg(F.sum("n_words").alias("all"), F.sum(F.col("n_words") * F.col("hit")).alias("lost"), F.collect_list(F.when(F.col("hit").isNotNull(), F.col("line_no"))).alias("__drop"))
-    per_text = written(per_text.filter(F.col("lost") <= most_lost * F.col("all")).select("text_id", "__drop"), "drops")
+    hits = lines.join(small(recurring.select("line_id")), "line_id")
+    per_text = written(hits.groupBy(F.col("text_id").alias("__text")).agg(F.collect_list("line_no").alias("__drop")), "drops")
     keyed = docs.withColumn("__text_id", digest(F.col(text_col).cast("string")))
-    return keyed.join(per_text, F.col("__text_id") == F.col("text_id"), "left").select(*docs.columns, "__drop")
+    return keyed.join(per_text, F.col("__text_id") == F.col("__text"), "left").drop("__text", "__text_id")
 
 
 def _without(text: Column, drop: Column) -> Column:
@@ -144,9 +145,11 @@ def _without(text: Column, drop: Column) -> Column:
 def drop_recurring(docs: DataFrame, text_col: str = "text", chars_col: str | None = None, **how) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of the texts; all rows and columns stay.
 
-    A template recurs if its lines are in ``min_texts`` different texts or more, however many of them a text has. A text that would lose over ``most_lost`` of its words stays whole: it is one of a group
-    of copies, which near-dedup treats. Null texts stay null, empty texts empty; lines without a word are never dropped.
-    ``chars_col`` names a column that holds the length of the text and is set anew.
+    A template recurs if its lines are in ``min_texts`` different texts or more, however many of them a text has. Equal
+    texts count once, so exact copies alone drop nothing; a text of nothing but recurring lines is left without a word.
+    Null texts stay null, empty texts empty; lines without a word are never dropped; an empty table stays empty.
+    ``chars_col`` names a column that holds the length of the text and is set anew. ``docs`` may have columns of any name
+    but ``__text``, ``__drop`` and ``__text_id``.
     """
     rows = marked(docs, text_col, **how)
     rows = rows.withColumn(text_col, F.when(F.col("__drop").isNotNull(), _without(F.col(text_col), F.col("__drop"))).otherwise(F.col(text_col)))
@@ -156,7 +159,10 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", chars_col: str | Non
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row for each row of ``docs``: (id, n_lines, n_dropped, text_md5 of the text that is left; null stays null)."""
+    """One row for each row of ``docs``: (id, n_lines, n_dropped, text_md5 of the text that is left; null stays null).
+
+    A null text has no lines, an empty one has one line. Other columns are not read; null and repeated ids keep their rows.
+    """
     rows = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", **how)
     after = F.when(F.col("__drop").isNotNull(), _without(F.col("text"), F.col("__drop"))).otherwise(F.col("text"))
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
