@@ -29,9 +29,14 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
     ("mean_word_length", "mean_word", 2.0, 14.0),
     ("symbols_per_word", "symbol_ratio", None, 0.10),
     ("capitals_share", "upper_ratio", None, 0.40),
-    ("different_stop_words", "n_stop", 2, None),
+    ("stop_words_share", "stop_ratio", 0.06, None),
     ("repeated_lines_share", "dup_line_ratio", None, 0.60),
+    ("bullet_lines_share", "bullet_ratio", None, 0.90),
+    ("ellipsis_lines_share", "ellipsis_ratio", None, 0.30),
+    ("short_lines_share", "short_line_ratio", None, 0.80),
 ]
+#: Lines that begin as a list's item does, that break off, and the characters under which a line is short.
+BULLET, ELLIPSIS, SHORT = r"^[\x20\x09]*[-*•●◦‣]", r"(\.\.\.|…)[\x20\x09-\x0D]*$", 30
 
 
 def _repeat_words(w: Column) -> Column:
@@ -63,31 +68,35 @@ def _repeat_words(w: Column) -> Column:
 def measures(text: Column) -> Column:
     """A struct of counts and ratios over one whole text; a null text has no words, lines or symbols."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    stop = F.array(*(F.lit(x) for x in dict.fromkeys(STOP_WORDS)))
+    stop = list(dict.fromkeys(STOP_WORDS))
+    share = lambda lines, kind: F.size(F.filter(lines, kind))
 
     def counts(t: Column, w: Column) -> Column:
-        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-        return F.struct(
+        return let(F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)), lambda lines: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(t, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             F.size(lines).cast("long").alias("n_lines"),
             _repeat_words(w).alias("n_repeat_words"),
             F.regexp_count(t, F.lit(CAPITAL)).cast("long").alias("n_upper"),
-            # how many different stop words the text has, not how often
-            F.size(F.array_intersect(w, stop)).cast("long").alias("n_stop"),
-        )
+            F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop"),
+            share(lines, lambda x: x.rlike(BULLET)).alias("n_bullet"),
+            share(lines, lambda x: x.rlike(ELLIPSIS)).alias("n_ellipsis"),
+            share(lines, lambda x: F.length(x) < SHORT).alias("n_short"),
+        ))
 
     def ratios(c: Column) -> Column:
         per_word = lambda x: x / F.greatest(c["n_words"], F.lit(1))
+        per_line = lambda x: x / F.greatest(c["n_lines"], F.lit(1))
         kept = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_stop")
         return F.struct(
             *(c[k].alias(k) for k in kept),
             per_word(c["word_chars"]).alias("mean_word"),
             per_word(c["n_symbols"]).alias("symbol_ratio"),
             (c["n_upper"] / F.greatest(c["word_chars"], F.lit(1))).alias("upper_ratio"),
-            (c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1))).alias("dup_line_ratio"),
+            per_word(c["n_stop"]).alias("stop_ratio"),
+            *(per_line(c[n]).alias(ratio) for n, ratio in (("n_dup_lines", "dup_line_ratio"), ("n_bullet", "bullet_ratio"), ("n_ellipsis", "ellipsis_ratio"), ("n_short", "short_line_ratio"))),
         )
 
     return let(let(text, lambda t: let(words(t), lambda w: counts(t, w))), ratios)
@@ -118,6 +127,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules=None) -> DataFrame:
-    """The rows of ``docs`` that pass the base and the table, with all their columns."""
+    """The rows of ``docs`` that pass the base and the table, with all their columns, whatever their names.
+
+    Null and empty texts have no words and go; rows with null or repeated ids are judged one by one; an empty table stays empty.
+    """
     m = measures(F.col(text_col))
     return docs.filter(let(m, lambda x: ~base_failed(x) & verdict(x, rules)))
