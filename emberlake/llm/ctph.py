@@ -8,13 +8,15 @@ edit distance (insert and delete 1, replace 2) between signatures.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import partitions
+from emberlake.llm.common import decoded, partitions
 
 #: A text is cut into about half to all of so many chunks.
 CHUNKS = 64
@@ -80,6 +82,13 @@ def encoded(sig: tuple[int, list[int], list[int]]) -> str:
     return f"{sig[0]}:{shown[0]}:{shown[1]}"
 
 
+def read_back(fingerprint: str) -> tuple[int, list[int], list[int]]:
+    """The signatures that ``encoded`` wrote: stored fingerprints can be compared without their texts."""
+    block, *shown = fingerprint.split(":")
+    symbols = [[ALPHABET.index(c) for c in part] for part in shown]
+    return int(block), *([functools.reduce(lambda x, c: x << 6 | c, part[k : k + SYMBOL], 0) for k in range(0, len(part), SYMBOL)] for part in symbols)
+
+
 def _common(a: list[int], b: list[int]) -> int:
     """The length of the longest common subsequence, in one integer step for each symbol of ``b``."""
     at: dict[int, int] = {}
@@ -103,36 +112,67 @@ def likeness(a: tuple[int, list[int], list[int]], b: tuple[int, list[int], list[
     return max((2 * _common(x, y) / (len(x) + len(y)) for x, y in pairs if x and y), default=0.0)
 
 
-def _bucket(key: Column, cuts: list) -> Column:
-    """How many of the ascending ``cuts`` are at most ``key``; two short searches, each over about sqrt(n) of them."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, round(len(cuts) ** 0.5))
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    lits = lambda xs: F.array(*map(F.lit, xs))
-    full = F.size(F.filter(lits([g[0] for g in groups]), lambda x: x <= key))
-    inside = F.size(F.filter(F.get(F.array(*map(lits, groups)), full - 1), lambda x: x <= key))
-    return F.when(key.isNull() | (full == 0), 0).otherwise((full - 1) * step + inside)
+#: Parts for each shuffle partition, and rows that are looked at to place the cuts of a part.
+PARTS, LOOKED_AT = 4, 10
+
+
+def _part(cuts: list, doc_id, h: int) -> tuple[int, tuple]:
+    """The part of a row, and its place in the order: nulls first, then by id, rows of one id by a hash of the text."""
+    place = (doc_id is not None, doc_id or 0, h)
+    return bisect.bisect_right(cuts, place), place
+
+
+def _heads(cuts: list, batches: Iterator) -> Iterator:
+    """The first row (part, id, h) of each part in each batch."""
+    import pyarrow as pa
+
+    for batch in batches:
+        first: dict[int, tuple] = {}
+        for doc_id, h in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+            part, place = _part(cuts, doc_id, h)
+            if part not in first or place < first[part][0]:
+                first[part] = place, doc_id
+        arrays = [pa.array(list(first), pa.int32()), pa.array([x for _, x in first.values()], batch.schema.field(0).type), pa.array([p[2] for p, _ in first.values()], pa.int64())]
+        yield pa.record_batch(arrays, names=["part", "id", "h"])
+
+
+def _dealt(cuts: list, lends: dict, batches: Iterator) -> Iterator:
+    """Rows with their part; rows equal to the head of a part once more, for the part before. Equal rows of a batch are one."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows: dict[tuple, int] = {}
+        for doc_id, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            part, place = _part(cuts, doc_id, h)
+            row = (part, False, doc_id, h, text.as_py())
+            rows[row] = rows.get(row, 0) + 1
+            if part in lends and lends[part][0] == place:
+                rows[(lends[part][1], True, *row[2:])] = 1
+        kinds = [("part", pa.int32()), ("lent", pa.bool_()), ("id", batch.schema.field(0).type), ("h", pa.int64()), ("text", pa.binary())]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        arrays = [pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)]
+        yield pa.record_batch([*arrays, pa.array(list(rows.values()), pa.int64())], names=[*(n for n, _ in kinds), "copies"])
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, text, part, lent) for a sorted pass: parts are ranges of ids, and the first row of each part is lent
-    to the part before it, so that every row's successor is at hand. The first row of all is lent to the last part.
-    Nulls come first. Only the cuts and the least id of each part, a few for each partition, reach the driver.
+    """Rows (part, lent, id, h, text: bytes, copies) for a sorted pass: parts are ranges, and the first row of each part is
+    lent to the part before it, so that every row's successor is at hand. The first row of all is lent to the last part.
+
+    Cuts lie on (id, hash of the text), so that rows with one id, or none, are split like any others; equal rows are
+    counted before they move. A few numbers for each partition reach the driver and go to the tasks: never a text.
     """
-    spark, n = docs.sparkSession, 4 * partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = rows.select(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n).alias("cuts")).first()["cuts"]
-    rows = rows.withColumn("part", _bucket(F.col("id"), sorted(set(cuts or []))))
-    heads = rows.groupBy("part").agg(F.min("id").alias("head"), F.count_if(F.col("id").isNull()).alias("nulls")).orderBy("part").collect()
-    if not heads:
-        return rows.withColumn("lent", F.lit(False))
-    first = [(h["part"], None if h["nulls"] else h["head"], heads[k - 1]["part"]) for k, h in enumerate(heads)]
-    lend = F.create_map(*(F.lit(x) for part, _, before in first for x in (part, before)))
-    head = F.create_map(*(x for part, value, _ in first for x in (F.lit(part), F.lit(value).cast(rows.schema["id"].dataType))))
-    lent = F.when(F.col("id").eqNullSafe(head[F.col("part")]), F.array(F.struct(F.col("part"), F.lit(False).alias("lent")), F.struct(lend[F.col("part")].alias("part"), F.lit(True).alias("lent"))))
-    out = rows.withColumn("at", F.explode(F.coalesce(lent, F.array(F.struct(F.col("part"), F.lit(False).alias("lent"))))))
-    return out.select("id", "text", "at.part", "at.lent").repartition(partitions(spark), "part").sortWithinPartitions("part", "lent", "id", "text")
+    spark, n = docs.sparkSession, PARTS * partitions(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
+    kind, places = rows.schema["id"].dataType.simpleString(), rows.select("id", "h")
+    total = rows.select("id").count()
+    looked = places.sample(min(1.0, LOOKED_AT * n / max(total, 1)), 1).collect()
+    looked = sorted((r["id"] is not None, r["id"] or 0, r["h"]) for r in looked)
+    cuts = sorted({looked[k * len(looked) // n] for k in range(1, n)}) if looked else []
+    found = places.mapInArrow(functools.partial(_heads, cuts), f"part int, id {kind}, h long")
+    heads = found.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "h")).alias("x")).orderBy("part").collect()
+    lends = {r["part"]: ((r["x"]["known"], r["x"]["id"] or 0, r["x"]["h"]), heads[k - 1]["part"]) for k, r in enumerate(heads)}
+    dealt = rows.mapInArrow(functools.partial(_dealt, cuts, lends), f"part int, lent boolean, id {kind}, h long, text binary, copies long")
+    return dealt.repartition(partitions(spark), "part").sortWithinPartitions("part", "lent", "id", "h", "text")
 
 
 def _pass(batches: Iterator) -> Iterator:
@@ -147,28 +187,30 @@ def _pass(batches: Iterator) -> Iterator:
         return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), encoded(sig), encoded(edited_sig), likeness(sig, edited_sig), likeness(sig, then_sig)
 
     held = part = None
+    more = 0  # copies of the held row beyond one: each is followed by the next
     for batch in batches:
         out = []
-        for doc_id, text, at, lent in zip(*(batch.column(k) for k in range(4)), strict=True):
+        for at, lent, doc_id, _, text, copies in zip(*(batch.column(k) for k in range(6)), strict=True):
             at, lent = at.as_py(), lent.as_py()
             if lent and held is None:
                 continue  # a further lent row with the same id
-            text = text.as_py()
+            text = text.as_py().decode("utf-8", "replace")
             doc = (doc_id.as_py(), text, signature(text))
             if held is not None and at == part:
+                out += [row(held, held)] * more if more else []
                 out.append(row(held, doc))
-            held, part = (None if lent else doc), at
+            held, part, more = (None if lent else doc), at, copies.as_py() - 1
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (batch.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its fingerprint, that of its edited text, and likenesses (0 to 1).
 
     The edited text has the last half of the characters replaced by as many (or all) from the start of the next
-    document by ascending id (a number); the last document takes the first. A null text is empty. Rows with a null id come
-    first; rows with one id are in the order of their texts. An empty table gives no rows; a single row follows
-    itself. Other columns are not read.
+    document by ascending id (a number); the last document takes the first. A null text is empty; bytes that are not UTF-8
+    count as U+FFFD. Rows with a null id come first; rows with one id are in the order of a hash of their texts. An empty
+    table gives no rows; a single row follows itself. Other columns are not read.
     """
     rows = with_next(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
@@ -179,10 +221,24 @@ def _prints(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([encoded(signature(t.as_py() or "")) for t in batch.column(1)], pa.string())], names=["id", "fingerprint"])
+        yield pa.record_batch([batch.column(0), pa.array([encoded(signature(t)) for t in decoded(batch.column(1))], pa.string())], names=["id", "fingerprint"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, fingerprint) for each row of ``docs``; no shuffle. A null text counts as empty."""
+    """One row (id, fingerprint) for each row of ``docs``; no shuffle. A null text counts as empty, null and repeated ids keep their rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_prints, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string")
+
+
+def _compared(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        pairs = zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True)
+        yield pa.record_batch([batch.column(0), pa.array([None if a is None or b is None else likeness(read_back(a), read_back(b)) for a, b in pairs], pa.float64())], names=["id", "likeness"])
+
+
+def compare_stored(pairs: DataFrame, a: str, b: str, id_col: str = "id") -> DataFrame:
+    """One row (id, likeness: 0 to 1) for each row of ``pairs``, whose columns ``a`` and ``b`` hold fingerprints; a null one gives null."""
+    rows = pairs.select(F.col(id_col).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"))
+    return rows.mapInArrow(_compared, f"id {rows.schema['id'].dataType.simpleString()}, likeness double")
