@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import table, written
+from emberlake.llm.common import decoded, discard, table, written
 
 MOST_POSITIVE = 4_000
 MOST_UNLABELLED = 12_000
@@ -79,8 +79,8 @@ def _count(batches: Iterator) -> Iterator:
     made = _Features(None)
     for batch in batches:
         counts = (Counter(), Counter())
-        for text, positive in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            counts[positive].update(made.text(text.as_py()))
+        for text, positive in zip(decoded(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            counts[positive].update(made.text(text))
         for positive, found in enumerate(counts):
             if found:
                 yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array([positive] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["feature", "positive", "n"])
@@ -91,7 +91,7 @@ def _places(features: list[int], batches: Iterator) -> Iterator:
 
     made = _Features({f: k for k, f in enumerate(features)})
     for batch in batches:
-        yield pa.record_batch([batch.column(1), pa.array([sorted(made.text(t.as_py())) for t in batch.column(0)], pa.list_(pa.int32()))], names=["positive", "features"])
+        yield pa.record_batch([batch.column(1), pa.array([sorted(made.text(t)) for t in decoded(batch.column(0))], pa.list_(pa.int32()))], names=["positive", "features"])
 
 
 def _sampled(rows: DataFrame, most: int) -> DataFrame:
@@ -102,30 +102,43 @@ def _sampled(rows: DataFrame, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1_000_000)) < int(1_000_000 * most / n)).limit(2 * most)
 
 
+def sparse(rows: list) -> tuple:
+    """Lists of feature places as (row of each, place of each, number of rows)."""
+    import numpy as np
+
+    sizes = np.array([len(r) for r in rows], np.int64)
+    flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.empty(0, np.int64)
+    return np.repeat(np.arange(len(rows)), sizes), flat, len(rows)
+
+
+def step(theta, p: tuple, u: tuple, prior: float):
+    """The gradient that a step goes down, over weights and bias: that of the corrected risk, prior * R_P(+) + R_U(-) - prior * R_P(-),
+    or, where the part for the unlabelled, R_U(-) - prior * R_P(-), is below zero, the opposite of that part's."""
+    import numpy as np
+
+    n_features = len(theta) - 1
+    logits = lambda m: np.bincount(m[0], weights=theta[m[1]], minlength=m[2]) + theta[-1]
+    sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
+    zp, zu = logits(p), logits(u)
+    if np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0:
+        gp, gu = -prior * (sigmoid(-zp) + sigmoid(zp)) / p[2], sigmoid(zu) / u[2]
+    else:
+        gp, gu = prior * sigmoid(zp) / p[2], -sigmoid(zu) / u[2]
+    by_feature = np.bincount(p[1], weights=gp[p[0]], minlength=n_features) + np.bincount(u[1], weights=gu[u[0]], minlength=n_features)
+    return np.append(by_feature, gp.sum() + gu.sum())
+
+
 def fit(positive: list, unlabelled: list, n_features: int, prior: float) -> tuple[list[float], float]:
     """Weights and bias from lists of feature places, by full-batch Adam steps on the non-negative risk."""
     import numpy as np
 
-    def sparse(rows):
-        sizes = np.array([len(r) for r in rows], np.int64)
-        flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.empty(0, np.int64)
-        return np.repeat(np.arange(len(rows)), sizes), flat, len(rows)
-
     p, u = sparse(positive), sparse(unlabelled)
     theta, first, second = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     theta[-1] = -2.0
     if not p[2] or not u[2]:
         return theta[:-1].tolist(), float(np.log(max(prior, 1e-3)))
-    logits = lambda m: np.bincount(m[0], weights=theta[m[1]], minlength=m[2]) + theta[-1]
-    sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
     for t in range(1, STEPS + 1):
-        zp, zu = logits(p), logits(u)
-        surplus = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if surplus >= 0:
-            gp, gu = -prior * (sigmoid(-zp) + sigmoid(zp)) / p[2], sigmoid(zu) / u[2]
-        else:
-            gp, gu = prior * sigmoid(zp) / p[2], -sigmoid(zu) / u[2]
-        grad = np.append(np.bincount(p[1], weights=gp[p[0]], minlength=n_features) + np.bincount(u[1], weights=gu[u[0]], minlength=n_features) + DECAY * theta[:-1], gp.sum() + gu.sum())
+        grad = step(theta, p, u, prior) + DECAY * np.append(theta[:-1], 0.0)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return theta[:-1].tolist(), float(theta[-1])
@@ -145,8 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     p_ids = _sampled(known.filter("toxic = 1").select("id"), MOST_POSITIVE)
     u_ids = _sampled(rows.select("id"), MOST_UNLABELLED).distinct()
     picked = p_ids.select("id", F.lit(1).alias("positive")).unionByName(u_ids.select("id", F.lit(0).alias("positive")))
-    # both lists of ids are bounded by the samples' sizes
-    sample = written(rows.join(F.broadcast(picked), "id").select("text", "positive"), "toxic-sample")
+    # both lists of ids are bounded by the samples' sizes; an id that repeats gives one of its texts
+    one = rows.join(F.broadcast(picked), "id").groupBy("id", "positive").agg(F.min("text").alias("text"))
+    sample = written(one.select("text", "positive"), "toxic-sample")
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     counts = sample.mapInArrow(_count, "feature long, positive int, n long").groupBy("feature").agg(*(F.sum(F.when(F.col("positive") == k, F.col("n")).otherwise(0)).alias(name) for k, name in enumerate("up")))
@@ -154,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     best = counts.filter((F.col("p") >= max(2, LEAST_SHARE * n_p)) & (rate > LEAST_LIFT * base)).orderBy((rate * F.log(rate / base)).desc(), "feature").limit(MOST_FEATURES)
     features = [r["feature"] for r in best.select("feature").collect()]
     places = sample.mapInArrow(functools.partial(_places, features), "positive int, features array<int>").collect() if features else []
+    discard(sample)
     weights, bias = fit([r["features"] for r in places if r["positive"]], [r["features"] for r in places if not r["positive"]], len(features), prior)
     return {"features": features, "weights": weights, "bias": bias, "prior": prior}
 
@@ -165,12 +180,15 @@ def _score(model: dict, batches: Iterator) -> Iterator:
 
     made, weights, bias = _Features({f: k for k, f in enumerate(model["features"])}), model["weights"], model["bias"]
     for batch in batches:
-        sums = [bias + math.fsum(weights[k] for k in made.text(t.as_py())) for t in batch.column(1)]
+        sums = [bias + math.fsum(weights[k] for k in made.text(t)) for t in decoded(batch.column(1))]
         yield pa.record_batch([batch.column(0), pa.array([0.5 * (1 + math.tanh(z / 2)) for z in sums], pa.float64())], names=["id", "score"])
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row (id, score, predicted) for each row of ``docs``; null and empty texts have the score of no feature."""
+    """One row (id, score, predicted) for each row of ``docs``; null and empty texts have the score of no feature.
+
+    Bytes that are not UTF-8 are no letters; null and repeated ids keep their rows; other columns are not read.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(functools.partial(_score, model), f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
