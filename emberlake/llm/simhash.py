@@ -4,16 +4,18 @@ Two fingerprints that differ in at most two bits share a variant at most one bit
 fingerprint emits itself and its 64 one-bit variants, rows are shuffled on the variant, and the members of a variant
 are linked to the least of them. All members of a variant are within two bits of each other, so these star links
 connect what all pairs would, and a variant has 65 distinct members at most: no bucket can grow with a group of copies.
+A ball of four bits works alike with 2,081 variants.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import written
+from emberlake.llm.common import discard, written
 from emberlake.llm.components import component_labels
 
 BITS = 64
@@ -23,6 +25,20 @@ SEED = 42
 BLOCK = 32768
 
 
+def bit_counts(hashes):
+    """How many of the 64-bit hashes have each bit."""
+    import numpy as np
+
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts, n: int) -> int:
+    """The fingerprint of ``n`` hashes: the bits that over half of them have."""
+    import numpy as np
+
+    return sum(1 << k for k in np.flatnonzero(2 * counts > n).tolist())
+
+
 def fingerprint(text: bytes) -> int:
     """SimHash of one UTF-8 text: bit k is set if over half the hashes of its word shingles have it."""
     import numpy as np
@@ -37,9 +53,8 @@ def fingerprint(text: bytes) -> int:
     for i in range(0, n, BLOCK):
         part = found[i : i + BLOCK + SHINGLE_WORDS - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(SHINGLE_WORDS)), strict=False))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), "<u8", len(part) - SHINGLE_WORDS + 1)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << k for k in np.flatnonzero(2 * counts > n).tolist())
+        counts += bit_counts(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), "<u8", len(part) - SHINGLE_WORDS + 1))
+    return majority(counts, n)
 
 
 def _fingerprints(batches: Iterator) -> Iterator:
@@ -57,14 +72,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
+#: Variants of a fingerprint within so many bits; three would be 43,745.
+VARIANTS = {0: 1, 1: 65, 2: 2081}
+
+
+def _masks(bits: int) -> Column:
+    """All 64-bit masks of at most ``bits`` bits, as one array of constants."""
+    each = [[1 << b for b in c] for k in range(bits + 1) for c in itertools.combinations(range(BITS), k)]
+    return F.lit([(m ^ 1 << 63) - (1 << 63) for m in map(sum, each)]).cast("array<long>")
+
+
 def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) between distinct values of ``fp`` that connect all values within ``radius`` bits of each other."""
-    if radius not in (0, 2):
-        raise ValueError("radius is 0 or 2: every variant lies within half of it")
+    if radius % 2 or radius // 2 not in VARIANTS:
+        raise ValueError("radius is 0, 2 or 4: every variant lies within half of it")
     nodes = prints.select("fp").filter("fp is not null").distinct()
     if not radius:
         return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("a != b")
-    variants = nodes.select("fp", F.expr(f"explode(transform(sequence(0, {BITS}), i -> if(i = {BITS}, fp, fp ^ shiftleft(1L, i))))").alias("variant"))
+    variants = nodes.select("fp", F.explode(F.transform(_masks(radius // 2), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     stars = variants.select("fp", F.expr("min(fp) over (partition by variant)").alias("hub")).filter("fp != hub")
     return stars.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct().filter(f"bit_count(a ^ b) <= {radius}")
 
@@ -83,6 +108,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = written(own.join(labels, own.fp == labels.node, "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label")), "labelled")
     named = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "named")
     by_print = written(labelled.join(named, "label").select("fp", "component_id"), "by_print")
+    discard(own, labelled, named)
     return prints.join(by_print, "fp").select("id", "fp", "component_id")
 
 
