@@ -61,7 +61,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards into a new folder of the shared one and returns a row for each; they are written once, whatever reads the rows."""
-    ordered = materialise.training_order(materialise.sequences(table(spark, sf_dir, "documents")))
+    ordered = materialise.training_order(materialise.token_stream(table(spark, sf_dir, "documents")))
     return written(materialise.write_shards(ordered, f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"), "shards-written")
 
 

@@ -92,10 +92,10 @@ def test_rows_without_an_id_fill_the_budget(spark):
 
 def test_budgets_of_many_leaves(spark):
     """Sources as fine as host names: budgets are joins, nothing is capped."""
-    leaves = spark.range(200_000).select(F.array(F.concat(F.lit("d"), (F.col("id") % 3).cast("string")), F.col("id").cast("string")).alias("leaf"), (F.col("id") % 97).alias("n"))
+    leaves = spark.range(40_000).select(F.array(F.concat(F.lit("d"), (F.col("id") % 3).cast("string")), F.col("id").cast("string")).alias("leaf"), (F.col("id") % 97).alias("n"))
     weights = [{"d0": 0.7, "d1": 0.3, "d2": 0.0}, {"7": 50.0, "1": 0.5}]
-    got = {tuple(r["leaf"]): r["given"] for r in mixing.budgets(leaves, weights, 3_000_000.0, 1.0).collect()}
-    want = mixing.leaf_budgets({tuple(r["leaf"]): float(r["n"]) for r in leaves.collect()}, weights, 3_000_000.0, 1.0)
+    got = {tuple(r["leaf"]): r["given"] for r in mixing.budgets(leaves, weights, 600_000.0, 1.0).collect()}
+    want = mixing.leaf_budgets({tuple(r["leaf"]): float(r["n"]) for r in leaves.collect()}, weights, 600_000.0, 1.0)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9) for k in want)
 
 
@@ -148,24 +148,99 @@ def test_permutation_is_a_bijection(n, key):
     assert sorted(materialise.permuted(np.arange(n), n, key).tolist()) == list(range(n))
 
 
-def test_token_shards_round_trip(spark, tmp_path):
+def plain_slot(number, n, key):
+    """The Feistel network in whole numbers, walked back into range."""
+    half, mask = max(1, ((n - 1).bit_length() + 1) // 2), (1 << 64) - 1
+    keys = [int.from_bytes(hashlib.sha256(f"{key}/{r}".encode()).digest()[:8], "little") for r in range(materialise.ROUNDS)]
+    while True:
+        left, right = number >> half, number & ((1 << half) - 1)
+        for k in keys:
+            x = (right ^ k) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 31) * 0x94D049BB133111EB & mask
+            left, right = right, left ^ (x ^ x >> 29) & ((1 << half) - 1)
+        number = left << half | right
+        if number < n:
+            return number
+
+
+@pytest.fixture(scope="module")
+def token_files(spark, tmp_path_factory):
+    """Documents in several files of many small row groups."""
     rng = random.Random(2)
-    texts = [" ".join(rng.choice(("alpha", "beta", "Grüße", "日本")) for _ in range(rng.randrange(0, 90))) for _ in range(300)] + [None, "", "x " * 4000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("record", F.lit(1)).coalesce(3)
-    length, per_shard = 64, 50
-    made = materialise.sequences(df, length=length)
-    ordered = materialise.training_order(made, shard_records=per_shard)
-    rows = ordered.collect()
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    assert all(len(r["record"]) == 2 * length and r["shard"] == r["slot"] // per_shard for r in rows)
-    # every token of every text is there once: per task the texts follow each other
+    words = ("alpha", "beta", "Grüße", "日本")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 90))) for _ in range(300)] + [None, "", "x " * 4000, "same", "same"]
+    df = spark.createDataFrame([(None if k % 50 == 3 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumns({"record": F.lit(1), "file": F.lit(2), "ids": F.lit(3)})
+    path = str(tmp_path_factory.mktemp("tokens"))
+    df.repartition(3).write.option("parquet.block.size", 4096).option("parquet.page.row.count.limit", 10).mode("overwrite").parquet(path)
+    return path
+
+
+def plain_stream(texts):
     encode = materialise.tokenizer(materialise.VOCABULARY).encode_ordinary
-    want = Counter(t for text in texts for t in [*encode(text or ""), materialise.END])
-    got = Counter(t for r in rows for t in np.frombuffer(r["record"], "<u2")[: r["n_tokens"]].tolist())
-    assert got == want
+    return [t for text in texts for t in [*encode(text or ""), materialise.END]]
+
+
+def plain_records(ids, length):
+    ids = ids + [materialise.END] * (-len(ids) % length)
+    return [ids[k : k + length] for k in range(0, len(ids), length)]
+
+
+LENGTH, PER_SHARD = 64, 50
+
+
+def shards(docs, folder, **how):
+    made = materialise.token_stream(docs, portion=100, **how)
+    return materialise.write_shards(materialise.training_order(made, LENGTH, PER_SHARD), folder, LENGTH, PER_SHARD).orderBy("shard").collect()
+
+
+def test_token_shards_hold_the_permuted_stream(spark, tmp_path, token_files):
+    docs = spark.read.parquet(token_files)
+    in_order = docs.select("text", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()
+    records = plain_records(plain_stream([r["text"] for r in in_order]), LENGTH)
+    want = [None] * len(records)
+    for k, record in enumerate(records):
+        want[plain_slot(k, len(records), materialise.KEY)] = record
     folder = f"file://{tmp_path}/shards"
-    files = materialise.write_shards(ordered, folder).collect()
-    assert sum(f["n_records"] for f in files) == len(rows)
-    by_slot = {r["slot"]: np.frombuffer(r["record"], "<u2").tolist() for r in rows}
-    assert materialise.read_records(folder, 45, 20, length, per_shard) == [by_slot[k] for k in range(45, 65)]
-    assert materialise.training_order(materialise.sequences(df.limit(0), length=length)).count() == 0
+    files = shards(docs, folder)
+    assert [f["shard"] for f in files] == list(range(-(-len(records) // PER_SHARD)))
+    assert all(f["first_slot"] == f["shard"] * PER_SHARD for f in files) and sum(f["n_records"] for f in files) == len(records)
+    for f in files:
+        assert hashlib.sha256(open(f["path"].removeprefix("file://"), "rb").read()).hexdigest() == f["sha256"]
+    assert materialise.read_records(folder, 0, len(records) + 5, LENGTH, PER_SHARD) == want
+    assert materialise.read_records(folder, 45, 20, LENGTH, PER_SHARD) == want[45:65]  # resumed, across two shards
+
+
+def test_token_shards_do_not_depend_on_the_split(spark, tmp_path, token_files):
+    seen = set()
+    for k, (size, n) in enumerate((("128m", "4"), ("20k", "3"), ("6k", "7"))):
+        old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.shuffle.partitions")}
+        try:
+            for c, v in zip(old, (size, "0", n), strict=True):
+                spark.conf.set(c, v)
+            docs = spark.read.parquet(token_files)
+            by_file, by_id = (tuple((f["shard"], f["sha256"]) for f in shards(docs, f"file://{tmp_path}/{k}-{name}", order_by=order)) for name, order in (("file", None), ("id", ["doc_id"])))
+            seen.add((by_file, by_id))
+        finally:
+            for c, v in old.items():
+                spark.conf.set(c, v)
+    assert len(seen) == 1
+    everything = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    md5 = lambda t: "" if t is None else hashlib.md5(t.encode()).hexdigest()
+    ordered = sorted(everything, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, md5(r[1])))
+    n = len(plain_records(plain_stream([t for _, t in ordered]), LENGTH))
+    first = plain_records(plain_stream([t for _, t in ordered]), LENGTH)[0]
+    assert materialise.read_records(f"file://{tmp_path}/2-id", plain_slot(0, n, materialise.KEY), 1, LENGTH, PER_SHARD) == [first]
+
+
+def test_token_shards_of_an_empty_table(spark, tmp_path, token_files):
+    docs = spark.read.parquet(token_files).filter("doc_id < 0")
+    assert shards(docs, f"file://{tmp_path}/none") == [] == shards(docs, f"file://{tmp_path}/none", order_by=["doc_id"])
+
+
+def test_long_texts_are_tokenised_in_parts():
+    rng = random.Random(3)
+    text = "".join(rng.choice(("word", " ", "  ", "\n", "'s", " 12", "é", "!?")) for _ in range(4000))
+    parts = list(materialise._parts(text, 50))
+    encode = materialise.tokenizer(materialise.VOCABULARY).encode_ordinary
+    assert "".join(parts) == text and len(parts) > 50
+    assert [t for p in parts for t in encode(p)] == encode(text)

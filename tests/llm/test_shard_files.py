@@ -9,7 +9,7 @@ from emberlake.llm import materialise, queries
 
 def test_op8_writes_its_shards(spark):
     got = queries.op8_token_shards(spark, "/root/testdata/sf0.001")
-    assert sorted(got.columns) == ["n_records", "path", "sha256", "shard"]
+    assert sorted(got.columns) == ["first_slot", "n_records", "path", "sha256", "shard"]
     rows = sorted(got.collect())
     assert [r["shard"] for r in rows] == list(range(len(rows))) and rows
     for r in rows:
