@@ -17,8 +17,13 @@ def first_seen(events: DataFrame) -> DataFrame:
     return who.groupBy("project_id", F.col("__actor").alias("actor_id"), F.col("type").alias("event_type")).agg(F.min("occurred_at").alias("first_seen_at"))
 
 
+def first_of(states: DataFrame) -> DataFrame:
+    """The earliest time of each actor and type among the rows of several states."""
+    return states.groupBy("project_id", "actor_id", "event_type").agg(F.min("first_seen_at").alias("first_seen_at"))
+
+
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).groupBy("project_id", "actor_id", "event_type").agg(F.min("first_seen_at").alias("first_seen_at"))
+    return first_of(old.unionByName(new))
 
 
 def parse_steps(text: str | Sequence[str]) -> list[str]:

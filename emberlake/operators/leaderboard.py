@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import time
 from emberlake.functions.binding import let
+from emberlake.sources import shared
 
 ALL_TIME = "alltime"
 
@@ -37,10 +38,18 @@ def best_scores(scores: DataFrame) -> DataFrame:
     return scores.select("project_id", periods, "player_id", "score").groupBy("project_id", "period", "player_id").agg(F.max("score").alias("score"))
 
 
+def best_of(boards: DataFrame) -> DataFrame:
+    """The greatest score of each player among the rows of several boards."""
+    return boards.groupBy("project_id", "period", "player_id").agg(F.max("score").alias("score"))
+
+
+def last_of(writes: DataFrame) -> DataFrame:
+    return writes.groupBy("project_id", "period").agg(F.max("last_write_at").alias("last_write_at"))
+
+
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """The greater score of each player: applying a batch twice changes nothing."""
-    return old.unionByName(new).groupBy("project_id", "period", "player_id").agg(F.max("score").alias("score"))
-
+    return best_of(old.unionByName(new))
 
 
 def _best_first() -> list[Column]:
@@ -48,9 +57,20 @@ def _best_first() -> list[Column]:
 
 
 def ranked(board: DataFrame, top: int | None = None) -> DataFrame:
-    """Boards with ``rank``; with ``top``, Spark's group limit keeps only so many rows a board before the shuffle."""
-    out = board.withColumn("rank", F.row_number().over(Window.partitionBy("project_id", "period").orderBy(*_best_first())))
-    return out if top is None else out.filter(F.col("rank") <= top)
+    """Boards with ``rank``; with ``top``, Spark's group limit keeps only so many rows a board before the shuffle.
+
+    Whole boards are dealt by ranges of (board, score, player), so that a board of any size is ranked by many tasks: each
+    numbers its range, and the counts of the ranges before it, one row for each, are added.
+    """
+    if top is not None:
+        return board.withColumn("rank", F.row_number().over(Window.partitionBy("project_id", "period").orderBy(*_best_first()))).filter(F.col("rank") <= top)
+    dealt = board.repartitionByRange("project_id", "period", *_best_first()).withColumn("__range", F.spark_partition_id())
+    placed = shared.written(dealt, "board-ranges")  # the same ranges for the numbers and the counts
+    own = Window.partitionBy("project_id", "period", "__range")
+    counts = placed.groupBy("project_id", "period", "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("project_id", "period").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    numbered = placed.withColumn("__no", F.row_number().over(own.orderBy(*_best_first()))).join(counts.withColumn("__before", before), ["project_id", "period", "__range"])
+    return numbered.select(*board.columns, (F.col("__before") + F.col("__no")).cast("int").alias("rank"))
 
 
 def check_period(period: str) -> str:

@@ -1,17 +1,22 @@
-"""Parquet tables that a micro-batch changes by replacing the partitions it touches."""
+"""Parquet tables that micro-batches add to: a batch writes partitions of its own, and readers combine the batches.
+
+Nothing that was written before is read or rewritten by a batch, so its cost is its own size. From time to time a fold
+puts the rows of several batches together; it replaces them only once it is whole, and readers skip what a fold contains.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from emberlake.sources import shared
 
 
 class Table:
-    """A table under ``root``; its partition columns bound what a batch reads and writes."""
+    """A table under ``root``; only the folders that are asked for are listed and read."""
 
     def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType, partitions: Sequence[str]):
         self.spark, self.root, self.path, self.schema, self.partitions = spark, root, f"{root}/{name}", schema, list(partitions)
@@ -20,19 +25,24 @@ class Table:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def exists(self) -> bool:
+    def values(self) -> list[str]:
+        """The values of the first partition column, by the names of folders."""
         store, path = self._at(self.path)
-        return store.exists(path)
+        names = [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+        return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{self.partitions[0]}="))
+
+    def read(self, values: Sequence[object] | None = None) -> DataFrame:
+        """The whole table, or the partitions of some values of the first partition column."""
+        known = self.values()
+        wanted = known if values is None else sorted({str(v) for v in values} & set(known))
+        if not wanted:
+            return self.spark.createDataFrame([], self.schema)
+        paths = [f"{self.path}/{self.partitions[0]}={v}" for v in wanted]
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*paths).select(*self.schema.names)
 
     def remove(self, value: object) -> None:
         """Takes out one partition of the first partition column."""
-        store, path = self._at(f"{self.path}/{self.partitions[0]}={value}")
-        store.delete(path, True)
-
-    def read(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
+        shared.delete(self.spark, f"{self.path}/{self.partitions[0]}={value}")
 
     def overwrite(self, rows: DataFrame) -> None:
         """Replaces the partitions that ``rows`` has, and no other: writing the same rows again changes nothing."""
@@ -40,17 +50,49 @@ class Table:
         writer = rows.select(*self.schema.names).hint("rebalance", *self.partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*self.partitions).parquet(self.path)
 
-    def merge(self, new: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """``combine(old, new)`` over the touched partitions; staged first, as a job can't overwrite what it reads."""
-        touched = new.select(*self.partitions).distinct()
-        old = self.read().join(touched, self.partitions, "left_semi")
-        staging = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        combine(old, new.select(*self.schema.names)).select(*self.schema.names).write.parquet(staging)
-        self.overwrite(self.spark.read.schema(self.schema).parquet(staging))
-        store, path = self._at(staging)
-        store.delete(path, True)
 
+def span(first: int, last: int) -> str:
+    return f"{first:012d}-{last:012d}"
+
+
+class Batches(Table):
+    """Rows by the batches they came with; ``combine`` makes one state of the rows of many (its last column: the batches).
+
+    The first partition column, ``batches``, is the span of batch numbers that a part stands for.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType, combine: Callable[[DataFrame], DataFrame], partitions: Sequence[str] = ()):
+        self.combine, self.columns = combine, list(schema.names)
+        super().__init__(spark, root, name, StructType([*schema.fields, StructField("batches", StringType())]), ["batches", *partitions])
+
+    def put(self, rows: DataFrame, batch_id: int) -> None:
+        self.overwrite(rows.withColumn("batches", F.lit(span(batch_id, batch_id))))
+
+    def take_out(self, batch_id: int) -> None:
+        self.remove(span(batch_id, batch_id))
+
+    def parts(self) -> list[tuple[int, int]]:
+        """The spans that make up the state: those that no other span contains."""
+        found = sorted((tuple(map(int, v.split("-"))) for v in self.values()), key=lambda s: (s[0], -s[1]))
+        out: list[tuple[int, int]] = []
+        for first, last in found:
+            if not out or last > out[-1][1]:
+                out.append((first, last))
+        return out
+
+    def _of(self, parts: Sequence[tuple[int, int]]) -> DataFrame:
+        return self.combine(self.read([span(*p) for p in parts])).select(*self.columns)
+
+    def state(self) -> DataFrame:
+        return self._of(self.parts())
 
-def actor_part(column: str = "actor_id", parts: int = 64):
-    """A small number of parts of a project's actors, so that a batch rewrites little of a large project."""
-    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+    def fold(self, upto: int, single: bool = False) -> None:
+        """Puts the parts up to a batch together into one; ``single``: only parts of one batch, as older folds are large."""
+        parts = [p for p in self.parts() if p[1] <= upto and (not single or p[0] == p[1])]
+        if len(parts) < 2:
+            return
+        made = span(parts[0][0], parts[-1][1])
+        self.overwrite(self._of(parts).withColumn("batches", F.lit(made)))
+        # contained in the new one from here on, so readers don't miss them
+        for v in {span(*p) for p in parts} - {made}:
+            self.remove(v)

@@ -1,9 +1,9 @@
 """View maintenance: one micro-batch of the log applied to the raw store and the four views.
 
-A batch may be applied again after a failure, so every write replaces what the same batch wrote before: accepted events,
-dead letters and seen ids are partitioned by batch; counts are computed anew from the accepted events of the touched
-days; best scores, first times and active days are merged by max, min and union. Ids are marked as seen last, so a batch
-that failed half-way is not taken for duplicates.
+A batch adds to each table a part of its own, made from its own events, so what it costs doesn't grow with what came
+before; reading a view combines the parts by sum, max, min, union or last write. A batch may be applied again after a
+failure, as each write replaces what the same batch wrote before. Ids are marked as seen last, so a batch that failed
+half-way is not taken for duplicates; they are kept by day for the dedup horizon, then expire.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import logging
 import time as clock
 from collections.abc import Callable, Collection
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from emberlake import schema
-from emberlake.functions import time
 from emberlake.operators import counts, deadletter, dedup, envelope, funnel, leaderboard, rawstore, retention
-from emberlake.streaming.store import Table, actor_part
+from emberlake.streaming.store import Batches, Table
 
 log = logging.getLogger(__name__)
 ATTEMPTS, FIRST_WAIT_MS = 3, 200
+#: As long as raw events are kept.
+HORIZON_DAYS = 30
 
 
 def with_retry(name: str, work: Callable[[], None], attempts: int = ATTEMPTS, wait_ms: int = FIRST_WAIT_MS, sleep: Callable[[float], None] = clock.sleep) -> None:
@@ -38,80 +40,103 @@ def with_retry(name: str, work: Callable[[], None], attempts: int = ATTEMPTS, wa
             sleep(wait_ms * 2 ** (n - 1) / 1000)
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("project_id", "time_bucket", "event_type").agg(F.sum("count").alias("count"))
+
+
+def _last_writes(rows: DataFrame) -> DataFrame:
+    return dedup.last_write(rows, rawstore.KEY, ["batches", "received_at", "payload"])
+
+
 class Views:
     """The tables under one root folder, and how a batch changes them.
 
-    ``only`` names the tables that this reader of the log keeps, such as raw alone, or all but raw.
+    ``only`` names the tables that this reader of the log keeps, such as raw alone, or all but raw. An event that comes
+    again within ``horizon_days`` of its first sight (by the clock of the batch, not of the event) is dropped.
     """
 
-    def __init__(self, spark: SparkSession, root: str, sleep: Callable[[float], None] = clock.sleep, only: Collection[str] | None = None):
-        self.only = only
+    def __init__(self, spark: SparkSession, root: str, sleep: Callable[[float], None] = clock.sleep, only: Collection[str] | None = None, horizon_days: int = HORIZON_DAYS, today: Callable[[], date] = lambda: datetime.now(timezone.utc).date()):
         ddl = schema.struct
-        self.spark, self.sleep = spark, sleep
-        accepted = StructType([*schema.EVENT.fields, *ddl("day string, batch_id long").fields])
-        self.accepted = Table(spark, root, "accepted", accepted, ["batch_id"])
-        self.seen = Table(spark, root, "seen_events", ddl("event_id string, batch_id long"), ["batch_id"])
+        self.spark, self.sleep, self.only, self.horizon_days, self.today = spark, sleep, only, horizon_days, today
+        self.accepted = Table(spark, root, "accepted", StructType([*schema.EVENT.fields, *ddl("batch_id long").fields]), ["batch_id"])
+        self.seen = Table(spark, root, "seen_events", ddl("event_id string, day string, batch_id long"), ["day", "batch_id"])
         self.letters = Table(spark, root, "dead_letters", StructType([*schema.DEAD_LETTER.fields, *ddl("batch_id long, stage string").fields]), ["batch_id", "stage"])
-        self.raw = Table(spark, root, "raw_events", schema.RAW, ["project_id", "time_bucket"])
-        self.by_minute = Table(spark, root, "counts_minute", StructType([*schema.COUNTS.fields, *ddl("day string").fields]), ["project_id", "day"])
-        self.by_hour = Table(spark, root, "counts_hour", StructType([*schema.COUNTS.fields, *ddl("day string").fields]), ["project_id", "day"])
-        self.board = Table(spark, root, "leaderboard", schema.LEADERBOARD, ["project_id", "period"])
-        self.board_writes = Table(spark, root, "leaderboard_writes", ddl("project_id string, period string, last_write_at timestamp"), ["project_id", "period"])
-        self.steps = Table(spark, root, "funnel_actor_steps", StructType([*schema.FUNNEL_STATE.fields, *ddl("part int").fields]), ["project_id", "part"])
-        self.days = Table(spark, root, "retention_actor_activity", StructType([*schema.RETENTION_STATE.fields, *ddl("part int").fields]), ["project_id", "part"])
-
-    def writers(self) -> dict[str, Callable[[DataFrame], None]]:
+        self.raw = Batches(spark, root, "raw_events", schema.RAW, _last_writes, ["time_bucket"])
+        self.by_minute = Batches(spark, root, "counts_minute", schema.COUNTS, _summed)
+        self.by_hour = Batches(spark, root, "counts_hour", schema.COUNTS, _summed)
+        self.board = Batches(spark, root, "leaderboard", schema.LEADERBOARD, leaderboard.best_of)
+        self.board_writes = Batches(spark, root, "leaderboard_writes", ddl("project_id string, period string, last_write_at timestamp"), leaderboard.last_of)
+        self.steps = Batches(spark, root, "funnel_actor_steps", schema.FUNNEL_STATE, funnel.first_of)
+        self.days = Batches(spark, root, "retention_actor_activity", schema.RETENTION_STATE, lambda rows: rows.select(*schema.RETENTION_STATE.names).distinct())
+
+    def writers(self) -> dict[str, Callable[[DataFrame, int], None]]:
         every = {"raw": self._raw, "counts": self._counts, "leaderboard": self._leaderboard, "funnel": self._funnel, "retention": self._retention}
         return {name: write for name, write in every.items() if self.only is None or name in self.only}
 
-    def _raw(self, events: DataFrame) -> None:
-        self.raw.merge(rawstore.raw_rows(events), rawstore.upsert_raw)
+    def _raw(self, events: DataFrame, batch_id: int) -> None:
+        self.raw.put(rawstore.raw_rows(events), batch_id)
 
-    def _counts(self, events: DataFrame) -> None:
-        touched = events.select("project_id", "day").distinct()
-        days = self.accepted.read().join(touched, ["project_id", "day"], "left_semi")
-        for grain, table in (("minute", self.by_minute), ("hour", self.by_hour)):
-            table.overwrite(counts.count_events(days, grain).withColumn("day", F.substring("time_bucket", 1, 10)))
+    def _counts(self, events: DataFrame, batch_id: int) -> None:
+        self.by_minute.put(counts.count_events(events, "minute"), batch_id)
+        self.by_hour.put(counts.count_events(events, "hour"), batch_id)
 
-    def _leaderboard(self, events: DataFrame) -> None:
+    def _leaderboard(self, events: DataFrame, batch_id: int) -> None:
         best = leaderboard.best_scores(leaderboard.score_events(events))
-        self.board.merge(best, leaderboard.merge)
-        self.board_writes.overwrite(best.select("project_id", "period").distinct().withColumn("last_write_at", F.current_timestamp()))
+        self.board.put(best, batch_id)
+        self.board_writes.put(best.select("project_id", "period").distinct().withColumn("last_write_at", F.current_timestamp()), batch_id)
 
-    def _funnel(self, events: DataFrame) -> None:
-        new = funnel.first_seen(events).withColumn("part", actor_part())
-        self.steps.merge(new, lambda a, b: funnel.merge(a.drop("part"), b.drop("part")).withColumn("part", actor_part()))
+    def _funnel(self, events: DataFrame, batch_id: int) -> None:
+        self.steps.put(funnel.first_seen(events), batch_id)
 
-    def _retention(self, events: DataFrame) -> None:
-        new = retention.active_days(events).withColumn("part", actor_part())
-        self.days.merge(new, retention.merge)
+    def _retention(self, events: DataFrame, batch_id: int) -> None:
+        self.days.put(retention.active_days(events), batch_id)
+
+    def _kept(self) -> tuple[Batches, ...]:
+        return self.raw, self.by_minute, self.by_hour, self.board, self.board_writes, self.steps, self.days
+
+    def _seen_before(self, batch_id: int) -> DataFrame:
+        """Ids within the horizon, but those of the batch itself; days beyond the horizon are deleted."""
+        first = (self.today() - timedelta(days=self.horizon_days)).isoformat()
+        days = self.seen.values()
+        for day in days:
+            if day < first:
+                self.seen.remove(day)
+        return self.seen.read([d for d in days if d >= first]).filter(F.col("batch_id") != batch_id)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch of log records. Invalid ones go to the dead letters at once and stop nothing."""
         good, bad = envelope.split(batch)
         stamp = F.current_timestamp()
         self.letters.overwrite(deadletter.of_invalid(bad, stamp).withColumns({"batch_id": F.lit(batch_id), "stage": F.lit("validation")}))
-        before = self.seen.read().filter(F.col("batch_id") != batch_id)
-        fresh = dedup.unseen(dedup.first_sight(good), before)
-        rows = fresh.withColumns({"day": time.day_period(F.col("occurred_at")), "batch_id": F.lit(batch_id)})
+        fresh = dedup.unseen(dedup.first_sight(good), self._seen_before(batch_id))
         source = fresh.select("event_id", "topic", "partition", "offset", "key")
-        self.accepted.overwrite(rows)
-        events = self.accepted.read().filter(F.col("batch_id") == batch_id)
+        self.accepted.overwrite(fresh.withColumn("batch_id", F.lit(batch_id)))
+        events = self.accepted.read([batch_id])
         failed = ""
         for name, write in self.writers().items():
             try:
-                with_retry(name, lambda write=write: write(events), sleep=self.sleep)
+                with_retry(name, lambda write=write: write(events, batch_id), sleep=self.sleep)
             except Exception as e:
                 failed = f"{name}: {e}"[:500]
                 log.exception("%s gave up on batch %d", name, batch_id)
                 break
         if failed:
-            # the events can be replayed: they go to the dead letters whole, and out of the accepted ones
+            # the events can be replayed: they go to the dead letters whole, and out of all that the batch wrote
             letters = deadletter.of_failed(events.join(source, "event_id"), rawstore.envelope(), failed, stamp, ATTEMPTS)
             self.letters.overwrite(letters.withColumns({"batch_id": F.lit(batch_id), "stage": F.lit("persistence")}))
+            for table in self._kept():
+                table.take_out(batch_id)
             self.accepted.remove(batch_id)
         else:
-            self.seen.overwrite(events.select("event_id", "batch_id"))
+            self.seen.overwrite(events.select("event_id", F.lit(self.today().isoformat()).alias("day"), "batch_id"))
+
+    def fold(self, upto: int) -> None:
+        """Fewer, larger parts, for batches up to ``upto`` that won't be applied again; a job of its own, run between batches.
+
+        Views become one part; of raw events only the parts of single batches are put together.
+        """
+        for table in self._kept():
+            table.fold(upto, single=table is self.raw)
 
     def run(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """The log applied batch by batch; offsets are committed after each batch's writes."""

@@ -27,19 +27,24 @@ def dedup_within(events: DataFrame, horizon: str, key: str = "event_id") -> Data
 
 
 def dedup_with_ttl(events: DataFrame, ttl_ms: int, key: str = "event_id") -> DataFrame:
-    """The first delivery of each key within ``ttl_ms`` of processing time from first sight; duplicates don't refresh it."""
+    """The first delivery of each key within ``ttl_ms`` of processing time from first sight; duplicates don't refresh it.
+
+    The time of first sight is kept and compared, as a key's data come before its timeout where a batch has both.
+    """
 
     def first(k: tuple, frames: Iterator, state: GroupState) -> Iterator:
         if state.hasTimedOut:
             state.remove()
             return
+        now = state.getCurrentProcessingTimeMs()
         for frame in frames:
-            if not state.exists and len(frame):
-                state.update((True,))
-                state.setTimeoutDuration(ttl_ms)
+            if len(frame) and (not state.exists or now >= state.get[0] + ttl_ms):
+                state.update((now,))
                 yield frame.head(1)
+        if state.exists:  # a timeout is forgotten whenever data come
+            state.setTimeoutDuration(max(1, state.get[0] + ttl_ms - now))
 
-    return events.groupBy(key).applyInPandasWithState(first, events.schema, "seen boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(first, events.schema, "seen_at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def token_bucket(requests: DataFrame, rate: float = 50, burst: float = 100, key: str = "api_key", received_at: str = "received_at") -> DataFrame:

@@ -35,7 +35,7 @@ def records(spark, texts, start=0):
 
 
 def state(views):
-    return {"hour": views.by_hour.read().drop("day"), "minute": views.by_minute.read().drop("day"), "board": views.board.read(), "steps": views.steps.read().drop("part"), "days": views.days.read().drop("part"), "raw": views.raw.read()}
+    return {"hour": views.by_hour.state(), "minute": views.by_minute.state(), "board": views.board.state(), "steps": views.steps.state(), "days": views.days.state(), "raw": views.raw.state()}
 
 
 def same(a, b):
@@ -69,10 +69,51 @@ def test_a_batch_applied_twice_changes_nothing(spark, tmp_path):
     assert same(state(views), batch_state(spark))
 
 
+def test_folds_change_nothing(spark, tmp_path):
+    views = Views(spark, f"file://{tmp_path}/views")
+    for k in range(4):
+        views.apply(records(spark, TEXTS[2 * k : 2 * k + 2], 2 * k), k)
+    want = batch_state(spark)
+    assert len(views.by_hour.parts()) > 2 and same(state(views), want)
+    views.fold(1)
+    assert same(state(views), want)
+    views.apply(records(spark, TEXTS[6:8], 6), 3)  # a batch after the fold comes again
+    views.fold(3)
+    assert len(views.by_hour.parts()) == 1 and same(state(views), want)
+    views.by_hour.put(views.by_hour.state(), 2)  # what a fold cut short would leave behind: a part that the fold contains
+    assert same(state(views), want)
+
+
+def test_a_batch_reads_its_own_parts_only(spark, tmp_path):
+    views = Views(spark, f"file://{tmp_path}/views")
+    for k in range(3):
+        views.apply(records(spark, TEXTS[2 * k : 2 * k + 2], 2 * k), k)
+    own = views.accepted.read([2])
+    assert {f.split("batch_id=")[1].split("/")[0] for f in own.inputFiles()} == {"2"}
+    hour = views.raw.state().filter("project_id = 'g' and time_bucket = '2026-05-30T15'")
+    text = hour._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(time_bucket" in text  # by the hour's folders
+
+
+def test_dedup_horizon(spark, tmp_path):
+    from datetime import date
+
+    today = [date(2026, 6, 1)]
+    views = Views(spark, f"file://{tmp_path}/views", horizon_days=3, only=["counts"], today=lambda: today[0])
+    n = lambda: views.by_hour.state().agg(F.sum("count")).first()[0]
+    views.apply(records(spark, TEXTS[:1]), 0)
+    today[0] = date(2026, 6, 4)
+    views.apply(records(spark, TEXTS[:2]), 1)  # within the horizon: one of the two is new
+    assert n() == 2
+    today[0] = date(2026, 6, 5)
+    views.apply(records(spark, TEXTS[:2]), 2)  # the first sight of one is beyond it
+    assert n() == 3 and views.seen.values() == ["2026-06-04", "2026-06-05"]
+
+
 def test_failed_batch_is_dead_lettered_and_replayed(spark, tmp_path):
     waits = []
     views = Views(spark, f"file://{tmp_path}/views", sleep=waits.append)
-    real, views._funnel = views._funnel, lambda events: 1 / 0
+    real, views._funnel = views._funnel, lambda events, batch_id: 1 / 0
     views.apply(records(spark, TEXTS), 0)
     assert waits == [0.2, 0.4]
     letters = views.letters.read().filter("error.kind = 'persistence'")
@@ -102,16 +143,19 @@ def stream_of(spark, tmp_path, rows, schema):
     return spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
 
 
-def run(spark, df, tmp_path, mode):
-    """Until the one file is processed, then stopped: processing-time timeouts keep a query busy, so it never comes to rest."""
-    name = f"q{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/cp").start()
+def processed(q):
+    """Waits until the query has read its files, then stops it: processing-time timeouts keep it busy, so it never comes to rest."""
     try:
         until = clock.time() + 120
         while not any(p["numInputRows"] for p in q.recentProgress) and q.isActive and clock.time() < until:
             clock.sleep(0.2)
     finally:
         q.stop()
+
+
+def run(spark, df, tmp_path, mode):
+    name = f"q{uuid.uuid4().hex}"
+    processed(df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/cp").start())
     return spark.table(name)
 
 
@@ -129,6 +173,28 @@ def test_stream_dedup(spark, tmp_path):
     assert sorted(r["event_id"] for r in run(spark, windows.dedup_with_ttl(df, 60_000), tmp_path / "b", "append").collect()) == ["1", "2"]
 
 
+def test_stream_dedup_with_ttl_over_batches(spark, tmp_path):
+    """A duplicate inside the time to live, one after it, and one in a trigger that is longer than it."""
+    schema = "event_id string, no int"
+    source = f"{tmp_path}/in"
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+    put(("a", 0))
+    df = spark.readStream.schema(schema).parquet(source)
+
+    def drain(ttl):
+        q = windows.dedup_with_ttl(df, ttl).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+        processed(q)
+        return sorted(r["no"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert drain(600_000) == [0]
+    put(("a", 1), ("b", 2), ("b", 2))
+    assert drain(600_000) == [0, 2]  # a again within ten minutes
+    clock.sleep(1.5)
+    put(("a", 3), ("b", 4))
+    # a trigger after the time to live (now one second): data and timeout of both keys in one batch
+    assert drain(1_000) == [0, 2, 3, 4]
+
+
 def test_stream_token_bucket(spark, tmp_path):
     rows = [(k, "key", f"2026-05-30 15:00:0{s}") for k, s in enumerate(("0.000", "0.000", "0.000", "0.500", "1.000"))]
     df = stream_of(spark, tmp_path, rows, "no int, api_key string, at string").withColumn("received_at", F.col("at").cast("timestamp"))
