@@ -32,19 +32,33 @@ def issue(bad: Column, field: str, reason: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(reason).alias("reason")))
 
 
-def _text(v: Column, field: str, required: bool) -> tuple[Column, list[Column]]:
-    of, value = kind(v, f"$.{field}"), F.try_variant_get(v, f"$.{field}", "string")
+def _read(v: Column, fields: tuple[str, ...]) -> Column:
+    """Every field's kind and value, looked up once: texts as they are, the version as a number, the payload as JSON."""
+    as_read = {"schemaVersion": lambda f: F.try_variant_get(v, f, "double"), "payload": lambda f: F.to_json(F.try_variant_get(v, f, "variant"))}
+    text = lambda f: F.try_variant_get(v, f, "string")
+    each = lambda name: F.struct(kind(v, f"$.{name}").alias("of"), as_read.get(name, text)(f"$.{name}").alias("value")).alias(name)
+    return F.struct(*map(each, fields))
+
+
+def _text(f: Column, field: str, required: bool) -> tuple[Column, list[Column]]:
+    of, value = f["of"], f["value"]
     found = [issue(of != "STRING", field, "Expected string"), issue((of == "STRING") & (value == ""), field, "String must contain at least 1 character(s)")]
     return F.when(of == "STRING", value), found + [issue(of.isNull(), field, "Required")] * required
 
 
-def _time(v: Column, field: str, required: bool) -> tuple[Column, list[Column]]:
-    of, value = kind(v, f"$.{field}"), time.parse_iso(F.try_variant_get(v, f"$.{field}", "string"))
+def _time(f: Column, field: str, required: bool) -> tuple[Column, list[Column]]:
+    of, value = f["of"], f["at"]
     found = [issue(of != "STRING", field, "Expected string"), issue((of == "STRING") & value.isNull(), field, "Invalid datetime")]
     return F.when(of == "STRING", value), found + [issue(of.isNull(), field, "Required")] * required
 
 
-def _checked(v: Column, client: bool) -> tuple[dict[str, Column], list[Column]]:
+def _with_times(r: Column, fields: tuple[str, ...]) -> Column:
+    """The fields as read, times parsed."""
+    timed = lambda name: F.struct(r[name]["of"].alias("of"), time.parse_iso(r[name]["value"]).alias("at"))
+    return F.struct(*((timed(name) if name in ("receivedAt", "occurredAt") else r[name]).alias(name) for name in fields))
+
+
+def _checked(r: Column, client: bool) -> tuple[dict[str, Column], list[Column]]:
     out, issues = {}, []
 
     def take(name: str, field: tuple[Column, list[Column]]) -> None:
@@ -52,21 +66,21 @@ def _checked(v: Column, client: bool) -> tuple[dict[str, Column], list[Column]]:
         issues.extend(field[1])
 
     if not client:
-        take("event_id", _text(v, "eventId", True))
-        issues.append(issue((kind(v, "$.eventId") == "STRING") & ~out["event_id"].rlike(UUID), "eventId", "Invalid uuid"))
-        take("project_id", _text(v, "projectId", True))
-        of, number = kind(v, "$.schemaVersion"), F.try_variant_get(v, "$.schemaVersion", "double")
+        take("event_id", _text(r["eventId"], "eventId", True))
+        issues.append(issue((r["eventId"]["of"] == "STRING") & ~out["event_id"].rlike(UUID), "eventId", "Invalid uuid"))
+        take("project_id", _text(r["projectId"], "projectId", True))
+        of, number = r["schemaVersion"]["of"], r["schemaVersion"]["value"]
         whole = is_number(of) & (number == F.floor(number)) & (number > 0) & (number < 2**31)
         issues.append(issue(of.isNotNull() & ~F.coalesce(whole, F.lit(False)), "schemaVersion", "Expected positive integer"))
         out["schema_version"] = F.when(of.isNull(), SCHEMA_VERSION).when(whole, number.cast("int"))
-        take("received_at", _time(v, "receivedAt", True))
-    take("type", _text(v, "type", True))
-    take("occurred_at", _time(v, "occurredAt", not client))
-    of = kind(v, "$.payload")
+        take("received_at", _time(r["receivedAt"], "receivedAt", True))
+    take("type", _text(r["type"], "type", True))
+    take("occurred_at", _time(r["occurredAt"], "occurredAt", not client))
+    of = r["payload"]["of"]
     issues.append(issue(~of.startswith("OBJECT"), "payload", "Expected object"))
-    out["payload"] = F.when(of.startswith("OBJECT"), F.to_json(F.try_variant_get(v, "$.payload", "variant"))).when(of.isNull(), "{}")
+    out["payload"] = F.when(of.startswith("OBJECT"), r["payload"]["value"]).when(of.isNull(), "{}")
     for name, field in (("session_id", "sessionId"), ("actor_id", "actorId"), ("source", "source")):
-        take(name, _text(v, field, False))
+        take(name, _text(r[field], field, False))
     return out, issues
 
 
@@ -76,8 +90,10 @@ def parsed(rows: DataFrame, value: str = "value", client: bool = False) -> DataF
     An envelope with unknown keys is invalid; of a client's input (``client``) unknown keys are ignored.
     """
 
-    def checked(v: Column) -> Column:
-        fields, found = _checked(v, client)
+    names = CLIENT_FIELDS if client else FIELDS
+
+    def checked(v: Column, r: Column) -> Column:
+        fields, found = _checked(r, client)
         if not client:
             unknown = F.size(F.array_except(F.json_object_keys(value), F.array(*map(F.lit, FIELDS)))) > 0
             found.append(issue(unknown, "(root)", "Unrecognized key(s) in object"))
@@ -87,7 +103,9 @@ def parsed(rows: DataFrame, value: str = "value", client: bool = False) -> DataF
         event = F.struct(*(c.alias(n) for n, c in fields.items()))
         return let(issues, lambda i: F.struct(i.alias("issues"), F.when(F.size(i) == 0, event).alias("event")))
 
-    out = rows.withColumn("__checked", let(F.try_parse_json(value), checked))
+    # each step is bound once: the parsed text, the fields looked up in it, the times among them
+    bound = let(F.try_parse_json(value), lambda v: let(_read(v, names), lambda r: let(_with_times(r, names), lambda t: checked(v, t))))
+    out = rows.withColumn("__checked", bound)
     return out.withColumns({"issues": F.col("__checked.issues"), "event": F.col("__checked.event")}).drop("__checked")
 
 
