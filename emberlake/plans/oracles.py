@@ -43,12 +43,28 @@ v AS (SELECT *, own IS NOT NULL AND NOT no_type AND NOT bad_time AND type = 'err
 s AS (SELECT *, CASE WHEN own IS NULL THEN 401 WHEN no_type OR bad_time THEN 400 WHEN unregistered THEN 422 WHEN violates THEN 400 ELSE 202 END AS status FROM v)"""
 _LOG = """
 l AS (SELECT *, n * 2 + attempt AS "offset", n % 29 <> 0 AND n % 31 <> 0 AS valid, coalesce(session_id, actor_id) AS own_key FROM d)"""
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+_KEY = "CASE WHEN n % 20 = 3 THEN '' WHEN n % 20 = 5 THEN 'cas_' || project_id || '.wrong' ELSE 'cas_' || project_id || '.s3cret' END"
+
+
+def _bucket(key: str, rate: float, burst: int) -> str:
+    """A token bucket for each key, one request after the other."""
+    refilled = f"least(cast({burst} AS double), b.tokens + greatest(0, q.ms - b.since) * cast('{rate!r}' AS double) / 1000)"
+    return f"""
+q AS (SELECT {key} AS bucket, n, epoch_us(occurred_at) // 1000 AS ms, row_number() OVER (PARTITION BY {key} ORDER BY epoch_us(occurred_at) // 1000, n) AS i FROM a),
+b(bucket, i, n, since, tokens, allowed, retry_after_ms) AS (
+  SELECT bucket, i, n, ms, cast({burst} - 1 AS double), true, cast(0 AS bigint) FROM q WHERE i = 1
+  UNION ALL
+  SELECT bucket, i, n, since, tokens - CASE WHEN tokens >= 1 THEN 1 ELSE 0 END, tokens >= 1, CASE WHEN tokens >= 1 THEN 0 ELSE cast(ceil((1 - tokens) * 1000 / cast('{rate!r}' AS double)) AS bigint) END
+  FROM (SELECT q.bucket, q.i, q.n, greatest(b.since, q.ms) AS since, {refilled} AS tokens FROM b JOIN q ON q.bucket = b.bucket AND q.i = b.i + 1))"""
+
+
 _STREAM_A = """
 sa AS (SELECT * FROM a WHERE n % 29 <> 0 AND n % 31 <> 0)"""
 
 
 def _sql(body: str) -> str:
-    return f"WITH {_ADAPTER.strip()}{',' if body.lstrip().split(' ', 1)[1].startswith('AS (') else ''} {body.strip()}"
+    return f"WITH {'RECURSIVE ' if 'b(bucket' in body else ''}{_ADAPTER.strip()}{',' if body.lstrip().split(' ', 1)[1].startswith('AS (') else ''} {body.strip()}"
 
 
 ORACLES: dict[str, str] = {
@@ -64,6 +80,9 @@ ORACLES: dict[str, str] = {
             r AS (SELECT player_id, min(occurred_at) AS f, max(occurred_at) AS l FROM e GROUP BY player_id)
             SELECT player_id, cast(epoch_ms(l) // 3600000 - epoch_ms(f) // 3600000 + 1 AS bigint) AS n_hours, cast(epoch_ms(l) // 60000 - epoch_ms(f) // 60000 + 1 AS bigint) AS n_minutes,
                    strftime(unnest(generate_series(date_trunc('hour', f), date_trunc('hour', l), interval 1 hour)), '%Y-%m-%dT%H') AS time_bucket FROM r""",
+        "minute_series": """
+            r AS (SELECT player_id, min(occurred_at) AS f FROM e GROUP BY player_id)
+            SELECT player_id, strftime(unnest(generate_series(date_trunc('minute', f), date_trunc('minute', f + interval 45 minute), interval 1 minute)), '%Y-%m-%dT%H:%M') AS time_bucket FROM r""",
         "leaderboard_alltime": f"SELECT *, cast({_RANK} AS integer) AS rank FROM ({_BEST.format(rows='a')}) WHERE period = 'alltime'",
         "leaderboard_daily": f"SELECT * FROM (SELECT *, cast({_RANK} AS integer) AS rank FROM ({_BEST.format(rows='a')}) WHERE period <> 'alltime') WHERE rank <= 10",
         "leaderboard_top_n": f"SELECT * FROM (SELECT *, cast({_RANK} AS integer) AS rank FROM ({_BEST.format(rows='a')}) WHERE period = 'alltime' AND project_id = 'game-1') WHERE rank <= 10",
@@ -82,6 +101,7 @@ ORACLES: dict[str, str] = {
         "raw_upsert": _RAW,
         "raw_window": f"{_RAW_WINDOW} LIMIT 50",
         "raw_window_page2": f"{_RAW_WINDOW} LIMIT 50 OFFSET 50",
+        "raw_window_stored": f"{_RAW_WINDOW} LIMIT 50",
         "raw_envelopes": "SELECT event_id, project_id, 1 AS schema_version, strftime(date_trunc('millisecond', occurred_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS occurred_at, actor_id, cast(json_extract(payload, '$.k') AS bigint) AS k FROM a",
         "raw_unexpired": f"SELECT * FROM ({_RAW}) WHERE occurred_ms >= epoch_ms(timestamp '2024-01-16')",
         "dedup_first_sight": "SELECT event_id, project_id, attempt, epoch_us(occurred_at) AS occurred_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt) AS place FROM d) WHERE place = 1",
@@ -90,12 +110,16 @@ ORACLES: dict[str, str] = {
         "ingest_verdicts": f"""{_VERDICT}
             SELECT n AS event_no, status, own AS project_id,
                    CASE WHEN status <> 400 THEN '' WHEN no_type OR bad_time THEN concat_ws(',', CASE WHEN bad_time THEN 'occurredAt' END, CASE WHEN no_type THEN 'type' END) ELSE 'k' END AS error_fields FROM s""",
+        "quota_verdicts": f"""{_bucket(_KEY, 1 / 600, 3).strip()}, {_VERDICT.strip()}
+            SELECT s.n AS event_no, CASE WHEN b.allowed THEN s.status ELSE 429 END AS status, CASE WHEN NOT b.allowed THEN greatest(1, cast(ceil(b.retry_after_ms / 1000) AS bigint)) END AS retry_after_s FROM s JOIN b ON s.n = b.n""",
+        "token_bucket": f"{_bucket('project_id', 1 / 1800, 4)} SELECT n AS event_no, bucket AS api_key, allowed, retry_after_ms FROM b",
         "ingest_accepted": f"{_VERDICT} SELECT project_id, type, count(*) AS n, count(DISTINCT n) AS n_ids, cast(sum(CASE WHEN n % 2 = 1 OR date_trunc('millisecond', occurred_at) = occurred_at THEN 1 ELSE 0 END) AS bigint) AS n_on_receipt FROM s WHERE status = 202 GROUP BY ALL",
         "payload_violations": "SELECT event_id, 'k' AS field FROM a WHERE type <> 'error' AND cast(json_extract(payload, '$.k') AS bigint) < 10",
         "envelope_validation": f"{_LOG} SELECT \"offset\", valid, CASE WHEN valid THEN '' ELSE '(root)' END AS fields FROM l",
         "dead_letter_triage": f"{_LOG} SELECT CASE WHEN valid THEN 'persistence' ELSE 'validation' END AS kind, count(*) AS n FROM l WHERE NOT valid OR n % 37 = 0 GROUP BY 1",
         "dead_letter_replay": f"{_LOG} SELECT project_id AS key, count(*) AS n, count(*) AS n_valid, count(DISTINCT n) AS n_events FROM l WHERE valid AND n % 37 = 0 GROUP BY 1",
         "registry_latest": "SELECT project_id, type AS event_type, 'k' AS required, epoch_us(max(occurred_at) + interval 1 hour) AS updated_at FROM a WHERE type <> 'error' GROUP BY ALL",
+        "registry_listing": "SELECT DISTINCT project_id, type AS event_type FROM a WHERE type <> 'error' AND project_id = 'game-1'",
         "project_reject": "SELECT DISTINCT 'k-' || project_id AS id, project_id FROM a WHERE project_id = 'game-2'",
         "reconcile_status": """
             x AS (SELECT (SELECT count(*) FROM a) AS accepted, (SELECT count(*) FROM d) AS landed, 'deliveries' AS against
@@ -105,6 +129,17 @@ ORACLES: dict[str, str] = {
         "reconcile_lost": "SELECT event_id FROM a WHERE n % 9 = 0",
         "reconcile_repeated": "SELECT event_id, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1",
         "replay_equals_original": "SELECT unnest(['leaderboard', 'funnel', 'retention']) AS view, cast(0 AS bigint) AS n_different",
+        "keyed_log": "SELECT coalesce(session_id, actor_id, substr(sha256('event|' || n), 1, 8) || '-' || substr(sha256('event|' || n), 9, 4) || '-' || substr(sha256('event|' || n), 13, 4) || '-' || substr(sha256('event|' || n), 17, 4) || '-' || substr(sha256('event|' || n), 21, 12)) AS key, count(*) AS n, cast(1 AS bigint) AS n_files, true AS in_order FROM a GROUP BY 1",
+        "stream_raw": f"""{_STREAM_A}
+            SELECT project_id, strftime(occurred_at, '%Y-%m-%dT%H') AS time_bucket, epoch_us(occurred_at) // 1000 AS occurred_ms, {_UUID} AS event_id, type, cast(json_extract(payload, '$.k') AS bigint) AS k, session_id, actor_id
+            FROM (SELECT *, sha256('event|' || n) AS h FROM sa)""",
+        "stream_leaderboard": f"{_STREAM_A} {_BEST.format(rows='sa')}",
+        "stream_retention": f"{_STREAM_A} {_DAYS.replace('FROM a ', 'FROM sa ')}",
+        "stream_all_views": f"""{_STREAM_A}
+            SELECT unnest(['raw', 'counts_minute', 'counts_hour', 'leaderboard', 'funnel', 'retention', 'dead_letters']) AS view,
+                   unnest([(SELECT count(*) FROM sa), (SELECT count(*) FROM ({_MINUTE.replace('FROM a', 'FROM sa')})), (SELECT count(*) FROM ({_HOUR.replace('FROM a', 'FROM sa')})), (SELECT count(*) FROM ({_BEST.format(rows='sa')})),
+                           (SELECT count(*) FROM ({_STEPS.replace('FROM a ', 'FROM sa ')})), (SELECT count(*) FROM ({_DAYS.replace('FROM a ', 'FROM sa ')})), (SELECT count(*) FROM d WHERE n % 29 = 0 OR n % 31 = 0)]) AS n""",
+        "replay_rebuild": f"{_STREAM_A} {_MINUTE.replace('FROM a', 'FROM sa')}",
         "stream_counts_hour": f"{_STREAM_A} {_HOUR.replace('FROM a', 'FROM sa')}",
         "stream_funnel_conversion": f"{_STREAM_A}, {_FUNNEL.strip().replace('FROM a ', 'FROM sa ').replace('min(occurred_at)', chr(39).join(['min(date_trunc(', 'millisecond', ', occurred_at))']))}",
     }.items()

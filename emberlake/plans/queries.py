@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import functools
 import json
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlake.functions import keys, time
 from emberlake.operators import counts, deadletter, dedup, envelope, funnel, ingest, leaderboard, quota, rawstore, reconcile, registry, retention
-from emberlake.sources import log, tables
+from emberlake.sources import log, shared, tables
+from emberlake.streaming.views import Views, rebuild
 
 PROJECT = "game-1"
 STEPS = "view, click, purchase"
@@ -77,6 +76,13 @@ def counts_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("project_id", F.array_join(F.transform("buckets", lambda b: F.concat_ws(":", b["time_bucket"], b["event_type"], b["count"].cast("string"))), ",").alias("buckets"))
 
 
+@query
+def minute_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every minute from each user's first event to three quarters of an hour later."""
+    first = tables.events(spark, sf_dir).groupBy("player_id").agg(F.min("occurred_at").alias("first"))
+    return first.select("player_id", F.explode(time.bucket_range(F.col("first"), F.col("first") + F.make_interval(mins=F.lit(45)), "minute")).alias("time_bucket"))
+
+
 @query
 def bucket_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hour from each user's first to last event, with the number of hours, from the events table."""
@@ -192,6 +198,14 @@ def raw_window_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw_out(rows if after else rows.limit(0))
 
 
+@query
+def raw_window_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window read from a stored raw table, by the folders of its hours."""
+    views = Views(spark, shared.new_path(spark, "views"), only=("raw",))
+    views.raw.put(rawstore.raw_rows(tables.deliveries(spark, sf_dir)), 0)
+    return _raw_out(rawstore.page_rows(views.raw.state(), PROJECT, *RAW_WINDOW, limit=PAGE))
+
+
 @query
 def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows as event JSON, read back field by field."""
@@ -262,6 +276,14 @@ def ingest_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select(F.col("offset").alias("event_no"), "status", "project_id", fields.alias("error_fields"))
 
 
+@query
+def quota_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts where a key may ask once in ten minutes, three times at once; what is over its quota is told when to come back."""
+    asked = quota.token_bucket(_requests(spark, sf_dir), rate=1 / 600, burst=3, order=("offset",))
+    verdicts = ingest.decided(asked, _api_keys(spark, sf_dir), _schemas(spark, sf_dir), "allowed")
+    return verdicts.select(F.col("offset").alias("event_no"), "status", F.when(F.col("status") == 429, keys.retry_seconds(F.col("retry_after_ms"))).alias("retry_after_s"))
+
+
 @query
 def ingest_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = ingest.ingest(_requests(spark, sf_dir), _api_keys(spark, sf_dir), _schemas(spark, sf_dir))
@@ -274,9 +296,12 @@ def payload_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.filter(F.size("violations") > 0).select("event_id", F.col("violations")[0]["field"].alias("field"))
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deliveries as log records; every 29th isn't JSON, every 31st has a key that an envelope hasn't."""
-    rows = tables.deliveries(spark, sf_dir).withColumn("offset", F.col("event_id").cast("long") * 2 + F.col("attempt"))
+def _log(spark: SparkSession, sf_dir: str, scored: bool = False) -> DataFrame:
+    """The deliveries as log records; every 29th isn't JSON, every 31st has a key that an envelope hasn't. ``scored``: payloads are scores."""
+    rows = tables.deliveries(spark, sf_dir)
+    if scored:
+        rows = rows.withColumn("payload", F.concat(F.lit('{"playerId":"'), "player_id", F.lit('","score":'), F.col("score").cast("string"), F.lit("}")))
+    rows = rows.withColumn("offset", F.col("event_id").cast("long") * 2 + F.col("attempt"))
     n = F.col("event_id").cast("long")
     shown = rows.withColumns({"n": n, "event_id": keys.uuid_of(F.lit("event"), n), "time_bucket": F.lit(None).cast("string"), "key": keys.partition_key(F.col("session_id"), F.col("actor_id"), F.col("event_id"))})
     value = rawstore.envelope()
@@ -315,6 +340,11 @@ def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _schemas(spark, sf_dir).select("project_id", "event_type", F.get_json_object("json_schema", "$.required[0]").alias("required"), _us("updated_at"))
 
 
+@query
+def registry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.listed(_schemas(spark, sf_dir), PROJECT).select("project_id", "event_type")
+
+
 @query
 def project_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of projects that the table of projects (here all but game-2) doesn't know."""
@@ -366,26 +396,67 @@ def replay_equals_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, out)
 
 
-# streams
+@query
+def keyed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written as a log and read again: how many each key has, in how many files, and whether in order of time."""
+    path = shared.new_path(spark, "log")
+    log.write_log(tables.accepted(spark, sf_dir).withColumn("event_id", keys.uuid_of(F.lit("event"), F.col("event_id"))), path, 8)
+    read = spark.read.schema("key string, value string").json(path).select("key", F.get_json_object("value", "$.occurredAt").alias("at"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    late = F.coalesce(F.lag("at").over(Window.partitionBy("key", "file").orderBy("place")) > F.col("at"), F.lit(False))
+    return read.withColumn("late", late).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"), (F.count_if("late") == 0).alias("in_order"))
+
 
+# streams
 
-def _streamed(spark: SparkSession, sf_dir: str, only: tuple[str, ...]):
-    from emberlake.streaming.views import Views
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberlake-")).rstrip("/")
-    root = f"{base}/views-{uuid.uuid4().hex}"
-    log_path = f"{root}/log"
-    _log(spark, sf_dir).write.json(log_path)
+def _streamed(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None, scored: bool = False) -> Views:
+    root = shared.new_path(spark, "views")
+    _log(spark, sf_dir, scored).write.json(f"{root}/log")
     views = Views(spark, root, only=only)
-    views.run(log.stream_files(spark, log_path), f"{root}/checkpoint").awaitTermination()
+    views.run(log.stream_files(spark, f"{root}/log"), f"{root}/checkpoint").awaitTermination()
     return views
 
 
+def _uuid_and_ms(rows: DataFrame) -> DataFrame:
+    return rows.select("project_id", "time_bucket", F.unix_millis("occurred_at").alias("occurred_ms"), "event_id", "type", F.get_json_object("payload", "$.k").cast("long").alias("k"), "session_id", "actor_id")
+
+
 @query
 def stream_counts_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, ("counts",)).by_hour.read().drop("day")
+    return _streamed(spark, sf_dir, ("counts",)).by_hour.state()
 
 
 @query
 def stream_funnel_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel.funnel(_streamed(spark, sf_dir, ("funnel",)).steps.read(), PROJECT, STEPS, *MONTH)
+    return funnel.funnel(_streamed(spark, sf_dir, ("funnel",)).steps.state(), PROJECT, STEPS, *MONTH)
+
+
+@query
+def stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uuid_and_ms(_streamed(spark, sf_dir, ("raw",)).raw.state())
+
+
+@query
+def stream_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, ("leaderboard",), scored=True).board.state()
+
+
+@query
+def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, ("retention",)).days.state()
+
+
+@query
+def stream_all_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reader of the log that keeps the raw store and all four views: how many rows each has, and how many letters are dead."""
+    views = _streamed(spark, sf_dir, None, scored=True)
+    states = {"raw": views.raw.state(), "counts_minute": views.by_minute.state(), "counts_hour": views.by_hour.state(), "leaderboard": views.board.state(), "funnel": views.steps.state(), "retention": views.days.state(), "dead_letters": views.letters.read()}
+    return functools.reduce(DataFrame.unionByName, (rows.agg(F.count("*").alias("n")).withColumn("view", F.lit(name)) for name, rows in states.items()))
+
+
+@query
+def replay_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log replayed into empty views; the counts by minute that come of it."""
+    root = shared.new_path(spark, "views")
+    _log(spark, sf_dir).write.json(f"{root}/log")
+    return rebuild(spark, root, log.replay_files(spark, f"{root}/log")).by_minute.state()
