@@ -2,49 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlake.sources.shared import discard, new_path, shared_dir, written
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="emberlake-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Without one, a local session has a temporary folder of its own; a cluster has none that all would see, so it is refused.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _own_folder()
-
-
-def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and still there when executors are lost."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path, **options)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made and that nothing still to be computed reads."""
-    for t in tables:
-        if (where := getattr(t, "written_to", None)) is not None:
-            spark = t.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["BROADCAST_ROWS", "decoded", "discard", "let", "new_path", "partitions", "shared_dir", "small", "table", "words", "written"]
 
 
 def decoded(column) -> Iterator[str]:

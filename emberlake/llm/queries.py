@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.llm import ctph, licenses, materialise, mixing, oracles, pieces, quality, sharding, simhash, templates, toxicity
-from emberlake.llm.common import shared_dir, table, written
+from emberlake.llm.common import new_path, table, written
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards into a new folder of the shared one and returns a row for each; they are written once, whatever reads the rows."""
     ordered = materialise.training_order(materialise.token_stream(table(spark, sf_dir, "documents")))
-    return written(materialise.write_shards(ordered, f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"), "shards-written")
+    return written(materialise.write_shards(ordered, new_path(spark, "shards")), "shards-written")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,224 @@
+"""Texts that are not UTF-8, very long words and texts, repeated ids, and folders that not all can see."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from emberlake.llm import ctph, licenses, materialise, mixing, nearcopies, pieces, quality, sharding, simhash, templates, toxicity
+from emberlake.sources import shared
+
+#: Bytes that are not UTF-8 at the start, inside and at the end, beside whole texts.
+RAW = [b"\xff\xfe words of the text", "Grüße ".encode() + b"\xc3 and more \xf0\x9f", b"plain text of the day", b"\xed\xa0\x80", None]
+
+
+def broken(spark):
+    """The bytes as a string column, as a Parquet file of another writer may hold them."""
+    rows = spark.createDataFrame([(k, None if b is None else bytearray(b)) for k, b in enumerate(RAW)], "doc_id long, raw binary")
+    return rows.select("doc_id", F.col("raw").cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"))
+
+
+def test_every_operator_reads_bytes_that_are_not_utf8(spark, tmp_path):
+    docs, n = broken(spark), len(RAW)
+    assert simhash.near_duplicates(docs).count() == n
+    assert sorted(r["n_chars"] for r in ctph.compare_with_edits(docs).collect()) == sorted(len((b or b"").decode("utf-8", "replace")) for b in RAW)
+    assert ctph.fingerprints(docs).count() == n
+    assert templates.dropped_lines(docs).count() == n
+    assert all(r["lossless"] for r in pieces.round_trip(docs).collect())
+    back = pieces.decode(pieces.encode(docs)).select("id", F.col("text").cast("binary").alias("raw")).collect()
+    assert {r["id"]: bytes(r["raw"]) for r in back} == {k: b or b"" for k, b in enumerate(RAW)}
+    assert mixing.choose(docs, {"lang": F.col("lang")}, [{}], share=1.0).count() == n
+    assert sharding.assign(docs).count() == quality.score(docs).count() == licenses.scan(docs).count() == n
+    docs.write.parquet(f"{tmp_path}/docs")
+    stream = materialise.token_stream(spark.read.parquet(f"{tmp_path}/docs"))
+    assert materialise.write_shards(materialise.training_order(stream), f"file://{tmp_path}/shards").count() == 1
+    model = toxicity.train(docs, spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, toxic int"), F.lit(True))
+    assert toxicity.score(docs, model).count() == n
+    assert nearcopies.keep_one(docs).count() == n
+
+
+def test_long_words_are_sampled_in_windows(monkeypatch):
+    """The windows give the distribution that the whole stretch has, and every text back."""
+    lat = pieces.lattice(pieces.MODEL)
+    monkeypatch.setattr(pieces, "LONG", 40)
+    word = "antidisestablishmentarianism" * 6 + "é日\udcff"
+    ids = lat.sample_long(" " + word, 7)
+    assert lat.decode(lat.spelt(np.array(ids, np.int64), np.array([len(ids)]))[0]) == word.encode("utf-8", "surrogateescape")
+    long, counts = lat.sample([f"a {word} b"], [5])
+    assert lat.decode(long) == f"a {word} b".encode("utf-8", "surrogateescape") and counts.tolist() == [len(long)]
+    # expected number of pieces: windows against one batch, over many keys
+    n, short = 400, "reproducibility" * 4
+    windows = [len(lat.sample_long(" " + short, k)) for k in range(n)]
+    monkeypatch.setattr(pieces, "LONG", 1 << 16)
+    whole = lat.sample([short] * n, list(range(n)))[1]
+    assert abs(np.mean(windows) - whole.mean()) < 5 * math.sqrt((np.var(windows) + whole.var()) / n) + 1e-9
+
+
+def test_forward_sums_of_windows_are_those_of_the_whole():
+    lat = pieces.lattice(pieces.MODEL)
+    codes = np.frombuffer((" " + "segmentation" * 20).encode("utf-32-le"), np.uint32).astype(np.int64)
+    _, whole = lat._window(codes, 0, len(codes), [0.0], 1.0)
+    before, size = [0.0], lat.longest + 5
+    for a in range(0, len(codes), size):
+        b = min(a + size, len(codes))
+        _, total = lat._window(codes, a, b, before, 1.0)
+        assert all(v == pytest.approx(whole[k], abs=1e-9) for k, v in total.items())
+        before = [total[k] for k in range(max(0, b - lat.longest), b + 1) if k in total]
+
+
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    lat, rng = pieces.lattice(pieces.MODEL), random.Random(4)
+    text = "".join(rng.choice(("word", " ", "  ", "\n", "é", " many", "x" * 50)) for _ in range(3000))
+    parts = list(pieces.parts_of(text, 100))
+    assert "".join(parts) == text and len(parts) > 20
+    stretches = [s for k, p in enumerate(parts) for s in pieces.STRETCH.findall(p if k else " " + p)]
+    assert stretches == pieces.STRETCH.findall(" " + text)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 500)
+    ids, counts = lat.sample_all([text], [3])
+    assert lat.decode(ids) == text.encode() and counts.tolist() == [len(ids)]
+    assert (lat.sample_all([text], [3])[0] == ids).all()
+
+
+def test_many_equal_ids_are_split(spark):
+    """A third of the rows with one id, a third without, some of them equal: each has its successor by (id, hash of the text)."""
+    rng = random.Random(5)
+    rows = [(7, f"text {k} " + "x" * rng.randrange(40)) for k in range(60)] + [(None, f"none {k}") for k in range(40)] + [(None, "same")] * 40 + [(k, f"own {k}") for k in range(100, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    dealt = ctph.with_next(df, "doc_id", "text")
+    assert dealt.groupBy("part").agg(F.sum("copies").alias("n")).agg(F.max("n")).first()[0] < 70
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]], r[1]))
+    want = Counter()
+    for (i, a), (_, b) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        sig = ctph.signature(a)
+        want[(i, ctph.encoded(sig), round(ctph.likeness(sig, ctph.signature(b)), 12))] += 1
+    got = Counter((r["id"], r["fingerprint"], round(r["near_next"], 12)) for r in ctph.compare_with_edits(df).collect())
+    assert got == want
+
+
+def test_stored_fingerprints_can_be_compared(spark):
+    texts = ["", "x", "some words " * 40, "some words " * 39 + "others", "日本" * 300]
+    sigs = [ctph.signature(t) for t in texts]
+    assert [ctph.read_back(ctph.encoded(s)) for s in sigs] == sigs
+    pairs = spark.createDataFrame([(5 * a + b, ctph.encoded(sigs[a]), ctph.encoded(sigs[b])) for a in range(5) for b in range(5)] + [(99, None, "2::")], "id long, a string, b string")
+    got = {r["id"]: r["likeness"] for r in ctph.compare_stored(pairs, "a", "b").collect()}
+    assert got.pop(99) is None and got == {5 * a + b: ctph.likeness(sigs[a], sigs[b]) for a in range(5) for b in range(5)}
+
+
+def test_balls_of_four_bits(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (0, 1, 2, 3, 4, 5, 9)})
+    signed = [(p ^ 1 << 63) - (1 << 63) for p in prints]
+    links = simhash.ball_links(spark.createDataFrame([(s,) for s in signed], "fp long"), 4).collect()
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
+    assert all(near(r["a"], r["b"]) for r in links)
+
+    def groups(pairs):
+        label = {s: s for s in signed}
+        for _ in signed:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert groups([(r["a"], r["b"]) for r in links]) == groups([(a, b) for a in signed for b in signed if near(a, b)])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert shared.shared_dir(Session)
+
+
+def test_done_tables_are_deleted(spark):
+    from pathlib import Path
+
+    t = shared.written(spark.range(3), "gone")
+    assert t.count() == 3
+    shared.discard(t, spark.range(1))
+    assert not Path(t.written_to.removeprefix("file:")).exists()
+
+
+def plain_risk(theta, positive, unlabelled, prior):
+    """Both parts of the risk, text by text."""
+    z = lambda row: sum(theta[k] for k in row) + theta[-1]
+    loss = lambda x: math.log1p(math.exp(-x))
+    own = prior * sum(loss(z(r)) for r in positive) / len(positive)
+    rest = sum(loss(-z(r)) for r in unlabelled) / len(unlabelled) - prior * sum(loss(-z(r)) for r in positive) / len(positive)
+    return own, rest
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_toxicity_gradient_is_that_of_the_risk(prior):
+    rng = random.Random(7)
+    rows = lambda n, p: [[k for k in range(6) if rng.random() < p] for _ in range(n)]
+    positive, unlabelled = rows(12, 0.6), rows(30, 0.3)
+    seen = set()
+    for scale in (0.1, 3.0):
+        theta = np.array([rng.gauss(0, scale) for _ in range(7)])
+        theta[-1] -= scale
+        _, rest = plain_risk(theta, positive, unlabelled, prior)
+        seen.add(rest >= 0)
+        value = (lambda t: sum(plain_risk(t, positive, unlabelled, prior))) if rest >= 0 else (lambda t: -plain_risk(t, positive, unlabelled, prior)[1])
+        got = toxicity.step(theta, toxicity.sparse(positive), toxicity.sparse(unlabelled), prior)
+        for k in range(7):
+            up, down = theta.copy(), theta.copy()
+            up[k] += 1e-6
+            down[k] -= 1e-6
+            assert got[k] == pytest.approx((value(up) - value(down)) / 2e-6, abs=1e-5)
+    assert seen
+
+
+def test_toxicity_features_and_scores_against_plain_counts(spark):
+    """Chosen features, their order and every score, recomputed text by text from the model's weights."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("wort", "haus", "Blau", "nasty", "vile") for b in ("", "er", "ung", "7", ",")]
+    texts = [" ".join(rng.choice(words[:15]) for _ in range(20)) + (" " + rng.choice(words[15:]) * (k % 4 == 0)) for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(0, 200, 2)], "doc_id long, toxic int"), F.lit(True))
+
+    def features(text):
+        out = set()
+        for token in text.lower().split():
+            w = "".join(c for c in token if c.isalpha())
+            out |= {f"={w}", *(f"^{w[:k]}" for k in range(3, 9) if k <= len(w))} if w else set()
+        return out
+
+    import xxhash
+
+    number = lambda f: xxhash.xxh64_intdigest(f) >> 1
+    positive, every = [features(t) for t in texts[::4]], [features(t) for t in texts]
+    p, u = Counter(f for s in positive for f in s), Counter(f for s in every for f in s)
+    rate, base = {f: p[f] / len(positive) for f in p}, {f: (u[f] + 1) / (len(every) + 1) for f in p}
+    able = [f for f in p if p[f] >= max(2, toxicity.LEAST_SHARE * len(positive)) and rate[f] > toxicity.LEAST_LIFT * base[f]]
+    assert set(model["features"]) == set(map(number, able)) and model["prior"] == 0.5
+    value = {number(f): rate[f] * math.log(rate[f] / base[f]) for f in able}
+    assert all(value[a] >= value[b] - 1e-12 for a, b in zip(model["features"], model["features"][1:]))
+    weight = dict(zip(model["features"], model["weights"], strict=True))
+    for r in toxicity.score(docs, model).collect():
+        z = model["bias"] + sum(weight.get(number(f), 0.0) for f in every[r["id"]])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
+def test_toxicity_sample_has_one_text_of_an_id(spark, monkeypatch):
+    """An id with a third of all rows doesn't swell the sample."""
+    seen = []
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, n, prior: seen.append((len(p), len(u))) or real(p, u, n, prior))
+    docs = spark.createDataFrame([(1, f"nasty text {k}") for k in range(300)] + [(k, f"text {k % 7} nasty" if k % 5 == 0 else f"text {k % 7}") for k in range(2, 600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1 or k % 5 == 0)) for k in range(1, 600)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, F.lit(True))
+    assert seen == [(120, 599)]
