@@ -261,10 +261,10 @@ def validated(events: DataFrame, schemas: DataFrame, plan_schemas: int = PLAN_SC
     joined = events.join(keyed.drop("json_schema"), (F.col("project_id") == F.col("__project")) & (F.col("type") == F.col("__type")), "left")
     different = keyed.select("__schema", "json_schema").distinct()
     out = lambda rows, texts: rows.withColumns({"registered": F.col("__schema").isNotNull(), "violations": _compiled_case(F.col("__schema"), texts, F.col("payload"))})
+    some = different.limit(plan_schemas + 1).collect()
+    if len(some) <= plan_schemas:
+        return out(joined, sorted((r["__schema"], r["json_schema"]) for r in some)).drop("__project", "__type", "__schema")
     parts = -(-different.count() // plan_schemas)
-    if parts <= 1:
-        texts = [(r["__schema"], r["json_schema"]) for r in different.orderBy("__schema").collect()]
-        return out(joined, texts).drop("__project", "__type", "__schema")
     # more schemas than a plan should hold: events are written by parts of schemas, and each part has its own plan
     part = lambda key: F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
     path = shared.new_path(events.sparkSession, "by-schema")

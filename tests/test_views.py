@@ -68,6 +68,23 @@ def test_leaderboard_ties_have_different_ranks(spark):
             leaderboard.top_n(board, "p", limit=limit)
 
 
+def test_ranks_over_many_ranges(spark):
+    """A board of any size is ranked by several tasks, with a score that a third of all players have."""
+    import random
+
+    rng = random.Random(4)
+    data = [(f"g{k % 2}", "alltime", f"p{k:05d}", 7.0 if k % 3 == 0 else float(rng.randrange(500))) for k in range(3000)]
+    df = spark.createDataFrame(data, "project_id string, period string, player_id string, score double").repartition(5)
+    got = leaderboard.ranked(df)
+    assert got.columns == [*df.columns, "rank"]
+    want = {}
+    for project in ("g0", "g1"):
+        board = sorted((r for r in data if r[0] == project), key=lambda r: (r[3], r[2]), reverse=True)
+        want |= {r[2]: k for k, r in enumerate(board, 1)}
+    assert {r["player_id"]: r["rank"] for r in got.collect()} == want
+    assert leaderboard.ranked(df.limit(0)).count() == 0
+
+
 STEPS = ["game_start", "level_complete", "purchase"]
 
 
