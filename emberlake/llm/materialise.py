@@ -31,7 +31,7 @@ PARTITION_SHARDS = 32
 KEY = 0x5EED
 ROUNDS = 6
 #: Ids of a stored portion of the stream, and characters that are tokenised at once: both bound memory.
-PORTION = 1 << 16
+PORTION = 1 << 18
 TEXT_CHARS = 1 << 20
 #: A text may be cut before a single space between two words: no token of the pattern reaches across.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -59,18 +59,17 @@ def _parts(text: str, most: int = TEXT_CHARS) -> Iterator[str]:
 
 
 def packed(ids, level: int = 3) -> bytes:
-    """Ids as compressed bytes: all low bytes, then all high ones, as the high ones repeat."""
     import numpy as np
     import zstandard
 
-    return zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=False).compress(np.ascontiguousarray(ids, "<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
+    return zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=False).compress(np.ascontiguousarray(ids, "<u2").tobytes())
 
 
 def unpacked(data: bytes):
     import numpy as np
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, -1).T.copy().view("<u2").reshape(-1)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u2")
 
 
 def _stream(vocabulary: str, portion: int, batches: Iterator) -> Iterator:
@@ -82,7 +81,7 @@ def _stream(vocabulary: str, portion: int, batches: Iterator) -> Iterator:
 
     def out():
         flat = np.concatenate(held)
-        arrays = [pa.array([run[0]], pa.string()), pa.array([run[1]], pa.int64()), pa.array([at], pa.int64()), pa.array([len(flat)], pa.int32()), pa.array([packed(flat)], pa.binary())]
+        arrays = [pa.array([run[0]], pa.string()), pa.array([run[1]], pa.int64()), pa.array([at], pa.int64()), pa.array([len(flat)], pa.int32()), pa.array([packed(flat, 6)], pa.binary())]
         return pa.record_batch(arrays, names=["file", "block", "at", "n", "ids"])
 
     for batch in batches:
