@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20240101
 #: Characters that are segmented at once: bounds memory. A longer text is taken in parts that end where stretches do.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 #: A longer stretch is filtered in windows of so many characters, with the sums at their borders kept.
 LONG = 1 << 16
 STRETCH = re.compile(r" *[^ \n]+|\n| +")
