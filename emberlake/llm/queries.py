@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import ctph, licenses, materialise, mixing, oracles, pieces, quality, sharding, simhash, templates, toxicity
+from emberlake.llm import ctph, licenses, manifest_sql, materialise, merkle, mixing, oracles, pieces, quality, sharding, simhash, templates, toxicity
 from emberlake.llm.common import new_path, table, written
 
 
@@ -72,6 +72,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(spark, sf_dir)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": op8_token_shards,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -91,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op6_sharding": oracles.shard_placement(),
     "op7_quality_rules": oracles.quality_rules(),
     "op9_license_scan": oracles.license_scan(),
+    "op11_merkle_manifest": manifest_sql.manifest(),
 }
