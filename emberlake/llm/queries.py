@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import ctph, licenses, manifest_sql, materialise, merkle, mixing, oracles, pieces, quality, sharding, simhash, templates, toxicity
+from emberlake.llm import ctph, importance, licenses, manifest_sql, materialise, merkle, mixing, oracles, pieces, quality, sharding, simhash, templates, toxicity
 from emberlake.llm.common import new_path, table, written
 
 
@@ -76,6 +76,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank", "n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
