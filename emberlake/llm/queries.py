@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import ctph, importance, licenses, manifest_sql, materialise, merkle, mixing, oracles, pieces, quality, sharding, simhash, templates, toxicity
+from emberlake.llm import ctph, importance, licenses, manifest_sql, materialise, merkle, mixing, oracles, pieces, quality, repeats, sharding, simhash, templates, toxicity
 from emberlake.llm.common import new_path, table, written
 
 
@@ -81,6 +81,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank", "n_words")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {
