@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import ctph, importance, licenses, manifest_sql, materialise, merkle, mixing, oracles, pieces, quality, repeats, sharding, simhash, templates, toxicity
+from emberlake.llm import ctph, importance, licenses, manifest_sql, materialise, merkle, mixing, oracles, pieces, quality, repeats, repeats_sql, sharding, simhash, templates, toxicity
 from emberlake.llm.common import new_path, table, written
 
 
@@ -108,4 +108,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": oracles.quality_rules(),
     "op9_license_scan": oracles.license_scan(),
     "op11_merkle_manifest": manifest_sql.manifest(),
+    "op13_suffix_array_dedup": repeats_sql.removal(),
 }
