@@ -43,8 +43,15 @@ def delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def reads(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which still reads ``tables``: whoever discards it discards them too."""
+    df.read_from = tables
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made and that nothing still to be computed reads."""
     for t in tables:
+        discard(*getattr(t, "read_from", ()))
         if (where := getattr(t, "written_to", None)) is not None:
             delete(t.sparkSession, where)
