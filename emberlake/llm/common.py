@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.sources.shared import discard, new_path, shared_dir, written
+from emberlake.sources.shared import discard, new_path, reads, shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "decoded", "discard", "let", "new_path", "partitions", "shared_dir", "small", "table", "words", "written"]
+__all__ = ["BROADCAST_ROWS", "decoded", "discard", "let", "new_path", "partitions", "reads", "shared_dir", "small", "table", "words", "written"]
 
 
 def decoded(column) -> Iterator[str]:

@@ -46,6 +46,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs -> (node, label): label is the least node of the component.
 
     Nodes without an edge to another node have no row; self-loops and repeated edges change nothing; no edges, no rows.
+    The result is a written table, which the caller discards.
     """
     now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
@@ -57,4 +58,6 @@ def component_labels(edges: DataFrame) -> DataFrame:
         if (new := _state(now)) == state:
             break
         state = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    out = written(now.select(F.col("a").alias("node"), F.col("b").alias("label")), "labels")
+    discard(now)
+    return out

@@ -3,11 +3,13 @@
 Candidates come from SimHash balls (``simhash``, over the same shingles) and, as texts at 0.8 mostly lie beyond any ball
 that can be emitted, from bands of least hashes. All of them are compared by their shingles, and only matches are linked.
 
-Every text has 100 least hashes in 20 bands of five; two texts at 0.8 share a band with a probability of 0.9996. Up to
-16 members of a band's key are compared each with each, more with one of them, the hub, always by their shingles
-themselves, and linked where the coefficient suffices. Members that don't match their hub meet again under keys of two
-more hashes, so a key that many unlike texts share falls apart: rows grow with the members, never with their square.
-In a large group two texts that match each other but neither of their hubs may stay unlinked.
+Every text has 100 least hashes in 20 bands of five; two texts at 0.8 share a band with a probability of 0.9996. A pair
+of a band's key is settled once it was compared or its texts are in one group anyway. So each round compares a few pairs
+and then takes the groups of all matches so far; keys whose members are all in one group are done. Keys of up to ALL_PAIRS
+members have all their pairs compared that lie in different groups. In larger keys hubs are drawn, from the key's largest
+group and from all its members, and all others are compared with them: the copies of one text fall to it whichever was
+drawn first. A large key that is still open after HUB_ROUNDS is dealt anew, under SUB_KEYS keys of five more hashes each;
+by then its members are mostly unlike, and fall apart. Rows grow with members, and no link is given up.
 """
 
 from __future__ import annotations
@@ -19,18 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import simhash
-from emberlake.llm.common import discard, written
+from emberlake.llm.common import discard, reads, written
 from emberlake.llm.components import component_labels
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 20, 5
-#: Keys grow by so many hashes a round; members that still don't match their hub after the last round stay unlinked.
-STEP, ROUNDS = 2, 8
-#: A text is compared with the hubs of so many orders at most in a round.
-ORDERS = 4
-#: So many members of a key at most are compared each with each; more are compared with their hub.
-ALL_PAIRS = 16
+#: Keys of so many members at most have all pairs compared; in the first round, of so many.
+ALL_PAIRS, FIRST_PAIRS = 128, 16
+#: Hubs that are drawn for a larger key in a round (expected), from its largest group and as many from all; rounds of it.
+HUBS, HUB_ROUNDS = 4, 3
+SUB_KEYS = 8
+#: Keys that are large and open after so many deals hold texts of equal sketches that are unlike: all pairs are compared.
+DEEPEST = 10
+#: Least hashes that two texts have in common to be compared: at 0.8 fewer have a probability of 1e-9.
+LEAST_COMMON = 55
 SEED = 42
 #: Shingles hashed at once: bounds memory on long texts.
 BLOCK = 4096
@@ -85,27 +90,34 @@ def _sketches(batches: Iterator) -> Iterator:
 def _compared(similarity: float, batches: Iterator) -> Iterator:
     import pyarrow as pa
 
+    last, b = None, set()
     for batch in batches:
         texts = [batch.column(k).cast(pa.binary()) for k in (2, 3)]
         match = []
         for x, y in zip(*texts, strict=True):
-            a, b = shingles(x.as_py() or b""), shingles(y.as_py() or b"")
+            if (y := y.as_py() or b"") != last:  # rows are ordered by it
+                last, b = y, shingles(y)
+            a = shingles(x.as_py() or b"")
             both = len(a & b)
             match.append(both >= similarity * (len(a) + len(b) - both))
         yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(match, pa.bool_()))
 
 
-def _matches(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of row keys those whose texts are near copies; only texts in a pair are moved.
+def _matches(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of row keys those whose texts are near copies.
 
-    The keys in pairs are written first, so that Spark knows their size when it joins them with all texts.
+    Pairs with too few least hashes in common go first, so only texts that are alike are moved. The keys in pairs are
+    written, so that Spark knows their size when it joins them with all texts.
     """
-    paired = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "paired")
+    sketched = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    common = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, one: n + one)
+    alike = written(sketched.filter(common >= LEAST_COMMON).select("a", "b"), "alike")
+    paired = written(alike.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "paired")
     text = written(rows.join(paired, "row", "left_semi"), "compared")
-    left = pairs.join(text.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(text.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    left = alike.join(text.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(text.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("b")
     found = written(both.mapInArrow(functools.partial(_compared, similarity), "a long, b long"), "matches")
-    discard(paired, text)
+    discard(alike, paired, text)
     return found
 
 
@@ -123,53 +135,103 @@ def ball_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs
 
 
-def links(rows: DataFrame, different: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between row keys of near copies; ``rows`` has (row, text), ``different`` (row, fp, sketch) of different texts."""
+def _ordered(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of members of one key that are in different groups; for keys of bounded size."""
+    one, other = (members.select("key", F.col("node").alias(n), F.col("label").alias(f"{n}_label")) for n in ("a", "b"))
+    return one.join(other, "key").filter("a > b and a_label != b_label").select("a", "b")
+
+
+def _counted(members: DataFrame) -> DataFrame:
+    """Members (key, node) of keys that have more than one, with their number ``n``."""
+    n = written(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key-sizes")
+    out = written(members.join(n, "key").select("key", "n", "node"), "members")
+    discard(n)
+    return out
+
+
+def _hub_pairs(large: DataFrame, number: int) -> DataFrame:
+    """Hubs of each key, drawn anew each round, with all its members of other groups."""
+    largest = large.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("best"))
+    drawn = large.join(largest.select("key", "best"), "key").withColumn("draw", F.xxhash64("node", "key", F.lit(number)))
+    inside = (F.col("label") == F.col("best.label")) & (F.pmod("draw", F.col("best.size")) < HUBS)
+    hubs = drawn.filter(inside | (F.pmod(F.shiftright("draw", 7), F.col("n")) < HUBS)).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    met = large.join(hubs, "key").filter("label != hub_label")
+    return met.select(*_ordered("node", "hub"))
+
+
+def _dealt_anew(large: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+    """The members of each key under SUB_KEYS keys of five more hashes; where these begin depends on the key."""
+    each = large.select("key", "node").join(nodes, "node").withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(SUB_KEYS - 1))))
+    begin = F.pmod(F.xxhash64("key", "sub", F.lit(depth)), F.lit(BANDS * BAND_ROWS)).cast("int") + 1
+    return each.select(F.xxhash64("key", "sub", F.slice(F.concat("sketch", "sketch"), begin, F.lit(BAND_ROWS))).alias("key"), "node").distinct()
+
+
+def groups_of(rows: DataFrame, different: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the row keys that have near copies; ``rows`` has (row, text), ``different`` (row, fp, sketch) of different texts.
+
+    ``label`` is the least row key that is reachable by links. The result is written; the caller discards it.
+    """
     nodes = different.select(F.col("row").alias("node"), "sketch")
-    found, members, more = None, None, ball_pairs(different.select("row", "fp"))
-    for k in range(ROUNDS):
-        bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-        keyed = nodes.select("node", "sketch", bands) if members is None else members.join(nodes, "node")
-        hashes = F.slice(F.concat("sketch", "sketch"), F.col("band") * BAND_ROWS + 1, F.lit(BAND_ROWS + STEP * k))
-        keyed = written(keyed.select("node", "band", F.xxhash64("band", hashes).alias("key")), "band-keys")
-        hub = F.min(F.struct(F.xxhash64("node", F.col("band") % ORDERS).alias("order"), F.col("node").alias("hub"))).alias("first")
-        hubs = written(keyed.groupBy("band", "key").agg(hub, F.count("*").alias("n")).filter("n > 1").select("band", "key", "n", F.col("first.hub").alias("hub")), "hubs")
-        shared = written(keyed.join(hubs, ["band", "key"]), "shared")
-        few = shared.filter(F.col("n") <= ALL_PAIRS).select("band", "key", "node")
-        every = few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), ["band", "key"]).filter("a > b").select("a", "b")
-        starred = shared.filter((F.col("n") > ALL_PAIRS) & (F.col("node") != F.col("hub"))).select("node", "band", "hub")
-        drawn = every.unionByName(starred.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")))
-        pairs = written((drawn if more is None else drawn.unionByName(more)).distinct(), "pairs")
-        none = pairs.isEmpty()
-        if not none:
-            matched = _matches(rows, pairs, similarity)
-            found = matched if found is None else found.unionByName(matched)
-            same = (F.greatest("node", "hub") == F.col("a")) & (F.least("node", "hub") == F.col("b"))
-            members = written(starred.join(matched, same, "left_anti").select("node", "band"), "unmatched")
-        discard(keyed, hubs, shared, pairs, *([] if more is None else [more]))
-        more = None
-        if none:
-            break
-    return rows.sparkSession.createDataFrame([], "a long, b long") if found is None else found
+    bands = nodes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    members = _counted(bands.select(F.xxhash64("band", F.slice("sketch", F.col("band") * BAND_ROWS + 1, F.lit(BAND_ROWS))).alias("key"), "node"))
+    balls = ball_pairs(different.select("row", "fp"))
+    # in the first round each text is a group of its own; small keys are settled by it
+    still = members.filter(F.col("n") > FIRST_PAIRS)
+    hub = F.min(F.struct(F.xxhash64("node", "key").alias("draw"), F.col("node").alias("hub"))).alias("first")
+    hubs = still.groupBy("key").agg(hub).select("key", F.col("first.hub").alias("hub"))
+    pairs = _all_pairs(members.filter(F.col("n") <= FIRST_PAIRS).withColumn("label", F.col("node")))
+    pairs = pairs.unionByName(still.join(hubs, "key").filter("node != hub").select(*_ordered("node", "hub"))).unionByName(balls)
+    compared, found, done, number = [], [], [members, balls], 0
+    while True:
+        fresh = pairs.distinct()
+        for old in compared:
+            fresh = fresh.join(old, ["a", "b"], "left_anti")
+        compared.append(written(fresh, "pairs"))
+        found.append(_matches(rows, nodes, compared[-1], similarity))
+        labels = component_labels(functools.reduce(DataFrame.unionByName, found))
+        grouped = written(still.join(labels, still["node"] == labels["node"], "left").select("key", "n", still["node"], F.coalesce("label", still["node"]).alias("label")), "grouped")
+        apart = written(grouped.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key"), "apart")
+        opened = written(grouped.join(apart, "key", "left_semi"), "open-members")
+        discard(*done, grouped, apart)
+        if opened.isEmpty():
+            discard(opened, *compared, *found)
+            return labels
+        discard(labels)
+        number += 1
+        small_keys, large = opened.filter(F.col("n") <= ALL_PAIRS), opened.filter(F.col("n") > ALL_PAIRS)
+        depth, turn = divmod(number, HUB_ROUNDS + 1)
+        if depth > DEEPEST:
+            pairs, still, done = _all_pairs(opened), large.select("key", "n", "node").limit(0), [opened]
+        elif turn:
+            pairs, still, done = _all_pairs(small_keys).unionByName(_hub_pairs(large, number)), large.select("key", "n", "node"), [opened]
+        else:
+            anew = _counted(_dealt_anew(large, nodes, depth))
+            pairs, still, done = _all_pairs(small_keys), anew, [opened, anew]
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near copies: of each group linked by near copies, one row stays.
 
     It is the row of the least id, null ids last; of rows with one id any one, told apart by a row key. Null texts count
-    as empty ones, and blank texts as copies of each other. All columns of ``docs`` are returned unchanged.
+    as empty ones, and blank texts as copies of each other. All columns of ``docs`` are returned unchanged, whatever their
+    names but ``__row``. An empty table gives an empty one.
     """
     whole = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    rows = whole.select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = whole.select(F.col("__row").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     made = written(rows.mapInArrow(_sketches, "row long, same binary, fp long, sketch array<int>"), "sketches")
     # equal texts have equal prints and sketches: the least row stands for them
     least = written(made.groupBy("same").agg(F.min("row").alias("row")), "least")
     different = written(made.join(least.select("row"), "row", "left_semi").select("row", "fp", "sketch"), "different")
-    labels = component_labels(links(rows, different, similarity))
+    labels = groups_of(rows, different, similarity)
     groups = written(least.join(labels, F.col("row") == F.col("node"), "left").select("same", F.coalesce("label", "row").alias("group")), "groups")
-    ids = whole.select(F.col("__row").alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("order"))
+    own_id = F.col(f"`{id_col}`")
+    ids = whole.select(F.col("__row").alias("row"), F.struct(own_id.isNull().alias("none"), own_id.alias("id"), F.col("__row").alias("row")).alias("order"))
     placed = written(made.select("row", "same").join(groups, "same").join(ids, "row").select("group", "row", "order"), "placed")
     first = written(placed.groupBy("group").agg(F.min("order").alias("first")).select("group", F.col("first.row").alias("first")), "first")
     gone = written(placed.join(first, "group").filter("row != first").select(F.col("row").alias("__row")), "gone")
-    discard(made, least, different, groups, placed, first)
-    return whole.join(gone, "__row", "left_anti").select(*docs.columns)
+    discard(made, least, different, labels, groups, placed, first)
+    return reads(whole.join(gone, "__row", "left_anti").drop("__row"), whole, gone)

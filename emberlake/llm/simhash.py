@@ -67,7 +67,8 @@ def _fingerprints(batches: Iterator) -> Iterator:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, fp: the 64 bits as a long) for each row of ``docs``; null and blank texts have fingerprint 0."""
+    """One row (id, fp: the 64 bits as a long) for each row of ``docs``, of null and repeated ids too; null and blank texts
+    have fingerprint 0. An empty table gives an empty one."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprints, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
@@ -108,7 +109,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = written(own.join(labels, own.fp == labels.node, "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label")), "labelled")
     named = written(labelled.groupBy("label").agg(F.min("least_id").alias("component_id")), "named")
     by_print = written(labelled.join(named, "label").select("fp", "component_id"), "by_print")
-    discard(own, labelled, named)
+    discard(labels, own, labelled, named)
     return prints.join(by_print, "fp").select("id", "fp", "component_id")
 
 
