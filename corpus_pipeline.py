@@ -63,7 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         after = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            after = written(after, f"stage{k}")
-            discard(docs)
+            kept = written(after, f"stage{k}")
+            discard(docs, after)  # and what the stage's result was read from
+            after = kept
         docs = after
     return docs
