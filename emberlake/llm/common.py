@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlake.sources.shared import discard, new_path, reads, shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "decoded", "discard", "let", "new_path", "partitions", "reads", "shared_dir", "small", "table", "words", "written"]
+__all__ = ["BROADCAST_ROWS", "decoded", "discard", "let", "new_path", "partitions", "quoted", "reads", "shared_dir", "small", "table", "words", "written"]
 
 
 def decoded(column) -> Iterator[str]:
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, even where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import simhash
-from emberlake.llm.common import discard, reads, written
+from emberlake.llm.common import discard, quoted, reads, written
 from emberlake.llm.components import component_labels
 
 SHINGLE_WORDS = 5
@@ -221,14 +221,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     names but ``__row``. An empty table gives an empty one.
     """
     whole = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    rows = whole.select(F.col("__row").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = whole.select(F.col("__row").alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
     made = written(rows.mapInArrow(_sketches, "row long, same binary, fp long, sketch array<int>"), "sketches")
     # equal texts have equal prints and sketches: the least row stands for them
     least = written(made.groupBy("same").agg(F.min("row").alias("row")), "least")
     different = written(made.join(least.select("row"), "row", "left_semi").select("row", "fp", "sketch"), "different")
     labels = groups_of(rows, different, similarity)
     groups = written(least.join(labels, F.col("row") == F.col("node"), "left").select("same", F.coalesce("label", "row").alias("group")), "groups")
-    own_id = F.col(f"`{id_col}`")
+    own_id = F.col(quoted(id_col))
     ids = whole.select(F.col("__row").alias("row"), F.struct(own_id.isNull().alias("none"), own_id.alias("id"), F.col("__row").alias("row")).alias("order"))
     placed = written(made.select("row", "same").join(groups, "same").join(ids, "row").select("group", "row", "order"), "placed")
     first = written(placed.groupBy("group").agg(F.min("order").alias("first")).select("group", F.col("first.row").alias("first")), "first")

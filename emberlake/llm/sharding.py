@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlake.llm.common import quoted
+
 #: A prime, over a hundred times the production number of shards, so that shares differ by under one per cent.
 TABLE_SIZE = 2039
 SHARDS = tuple(f"shard-{k:02d}" for k in range(16))
@@ -59,7 +61,7 @@ def assign(docs: DataFrame, key_col: str = "doc_id", shards: Sequence[str] = SHA
     """
     spark = docs.sparkSession
     placed = docs.drop("slot", "shard").withColumn("slot", key_slot(F.col(key_col), size))
-    return placed.join(F.broadcast(table_frame(spark, shards, size)), "slot").select(*placed.columns, "shard")
+    return placed.join(F.broadcast(table_frame(spark, shards, size)), "slot").select(*map(quoted, placed.columns), "shard")
 
 
 def shares(placed: DataFrame, weight: Column | None = None) -> DataFrame:
