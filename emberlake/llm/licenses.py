@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from emberlake.llm.common import let
 
 LEAST = 0.8
+#: Licences whose notices come within so much of the best one for a unit are named with it: the unit doesn't tell them apart.
+MARGIN = 0.02
 
 #: Notices by SPDX name (fixed values: the licences' own words).
 TEMPLATES: dict[str, list[str]] = {
@@ -43,19 +45,44 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "GPL-2.0-only": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "0BSD": ["Released under the Zero-Clause BSD License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "BSD-2-Clause": [
         "Released under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     ],
     "BSL-1.0": [
@@ -122,7 +149,7 @@ SENTENCES = 3
 
 
 def notices(text: Column, templates: Mapping[str, list[str]], least: float) -> Column:
-    """An array of structs (dice, license, unit) for the units of a text that match a template by ``least`` or more."""
+    """An array of structs (dice, size, license, unit) for the units of a text that match a template by ``least`` or more."""
     known = template_bigrams(templates)
     sizes = [len(b) for *_, b in known]
     low, high = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
@@ -132,10 +159,15 @@ def notices(text: Column, templates: Mapping[str, list[str]], least: float) -> C
         def compared(b: Column) -> Column:
             n = F.size(b)
             hits = [
-                F.when(n.between(size * least / (2 - least), size * (2 - least) / least), F.struct((2 * F.size(F.array_intersect(b, F.array(*map(F.lit, grams)))) / (n + size)).alias("dice"), F.lit(name).alias("license"), unit.alias("unit")))
+                F.when(n.between(size * least / (2 - least), size * (2 - least) / least), F.struct((2 * F.size(F.array_intersect(b, F.array(*map(F.lit, grams)))) / (n + size)).alias("dice"), F.lit(name).alias("license")))
                 for (name, _, grams), size in zip(known, sizes, strict=True)
             ]
-            return F.array_max(F.filter(F.array(*hits), lambda x: x["dice"] >= least))
+            return let(F.filter(F.array(*hits), lambda x: x["dice"] >= least), lambda hits: named(hits, n))
+
+        def named(hits: Column, n: Column) -> Column:
+            close = lambda top: F.transform(F.filter(hits, lambda x: x["dice"] >= top - MARGIN), lambda x: x["license"])
+            one = lambda top: F.struct(top.alias("dice"), n.alias("size"), F.array_join(F.array_sort(F.array_distinct(close(top))), "/").alias("license"), unit.alias("unit"))
+            return F.when(F.size(hits) > 0, let(F.array_max(hits)["dice"], one))
 
         def bigrams(w: Column) -> Column:
             return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
@@ -152,7 +184,7 @@ def notices(text: Column, templates: Mapping[str, list[str]], least: float) -> C
         able = F.array_distinct(F.filter(units, lambda u: u.rlike("(?i)" + "|".join(hold))))
         return F.filter(F.transform(able, best), lambda x: x.isNotNull())
 
-    none = F.array().cast("array<struct<dice:double,license:string,unit:string>>")
+    none = F.array().cast("array<struct<dice:double,size:int,license:string,unit:string>>")
     anchored = lambda t: let(F.lower(t), lambda x: functools.reduce(Column.__or__, (F.contains(x, F.lit(word)) for word in hold)))
     return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: F.when(anchored(t), found(t)).otherwise(none))
 
@@ -160,8 +192,10 @@ def notices(text: Column, templates: Mapping[str, list[str]], least: float) -> C
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """One row for each row of ``docs``: (id, license, dice, n_notices, unit) of the best match, nulls without one.
 
-    Of equal coefficients the greatest licence name, then the greatest unit, counts. ``n_notices`` is the number of
-    different units that match. Null and empty texts match nothing. Other columns are not read.
+    ``license`` names all licences within MARGIN of the best match of the unit, parted by "/": BSD-2-Clause/BSD-3-Clause for
+    an opening that both have. Of equal coefficients the unit of most bigrams, then the greatest name and unit, counts. ``n_notices`` is the
+    number of different units that match. Null and empty texts match nothing, and bytes that are not UTF-8 part words; rows
+    with null or repeated ids are scanned one by one; an empty table gives none. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), notices(F.col(text_col), templates, least).alias("found"))
     return rows.select("id", F.size("found").cast("long").alias("n_notices"), F.array_max("found").alias("top")).select("id", F.col("top.license").alias("license"), F.round("top.dice", 6).alias("dice"), "n_notices", F.col("top.unit").alias("unit"))

@@ -42,8 +42,10 @@ u AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), string_spli
       UNION SELECT doc_id, array_to_string(s[i:i + k - 1], ' ') FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM p), range(1, {licenses.SENTENCES + 1}) AS r(k)),
 w AS (SELECT doc_id, unit, regexp_extract_all(translate(unit, '{upper}', '{lower}'), '[a-z0-9]+') AS w FROM u),
 b AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) >= 2),
-d AS (SELECT doc_id, unit, license, 2 * len(list_intersect(b, grams)) / (len(b) + size) AS dice FROM b JOIN k ON len(b) BETWEEN size * {least} / (2 - {least}) AND size * (2 - {least}) / {least}),
-h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license DESC, unit DESC) AS place FROM d WHERE dice >= {least}),
+d AS (SELECT doc_id, unit, license, len(b) AS n, 2 * len(list_intersect(b, grams)) / (len(b) + size) AS dice FROM b JOIN k ON len(b) BETWEEN size * {least} / (2 - {least}) AND size * (2 - {least}) / {least}),
+e AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, unit) AS top FROM d WHERE dice >= {least}),
+v AS (SELECT doc_id, unit, n, top AS dice, string_agg(DISTINCT license, '/' ORDER BY license) AS license FROM e WHERE dice >= top - {licenses.MARGIN} GROUP BY doc_id, unit, n, top),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, n DESC, license DESC, unit DESC) AS place FROM v),
 n AS (SELECT doc_id, count(DISTINCT unit) AS n_notices FROM h GROUP BY doc_id)
 SELECT documents.doc_id, h.license, round(h.dice, 6) AS dice, coalesce(n.n_notices, 0) AS n_notices, h.unit
 FROM documents LEFT JOIN h ON documents.doc_id = h.doc_id AND h.place = 1 LEFT JOIN n ON documents.doc_id = n.doc_id"""

@@ -66,11 +66,15 @@ def plain_license(text):
     for unit in units:
         w = licenses._plain_words(unit)
         grams = set(zip(w, w[1:], strict=False))
+        found = []
         for name, _, template in known:
             other = {tuple(g.split(" ")) for g in template}
             if grams and (dice := 2 * len(grams & other) / (len(grams) + len(other))) >= licenses.LEAST:
-                n.add(unit)
-                best = max(best or (0, "", ""), (dice, name, unit))
+                found.append((dice, name))
+        if found:
+            n.add(unit)
+            top = max(found)[0]
+            best = max(best or (0, 0, "", ""), (top, len(grams), "/".join(sorted({name for dice, name in found if dice >= top - licenses.MARGIN})), unit))
     return best, len(n)
 
 
@@ -82,6 +86,35 @@ def test_license_anchors_lose_no_match():
         assert 2 * len(free) / (len(grams) + len(free)) < licenses.LEAST, name
 
 
+def test_each_notice_has_its_own_licence(spark):
+    """Standard notices, with a changed word and a copyright line, under their own names; what two licences share under both."""
+    gnu = lambda what, sign, name, version: f"Copyright (C) 2021 Nobody\n\nThis {what} is free software{sign} you can redistribute it and/or modify\nit under the terms of the GNU {name} as published by\nthe Free Software Foundation{',' if sign == ':' else ';'} either version {version} of the License, or\n(at your option) any later version.\n\nmore"
+    cc = lambda name: f"The text is free. This work is licensed under a Creative Commons {name} 4.0 International License. Enjoy."
+    opening = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    two = opening + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    three = two + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    cases = {
+        gnu("program", ":", "Affero General Public License", 3): "AGPL-3.0",
+        gnu("program", ":", "General Public License", 3): "GPL-3.0",
+        gnu("program", ";", "General Public License", 2): "GPL-2.0",
+        gnu("library", ":", "Lesser General Public License", 3): "LGPL-3.0",
+        gnu("library", ";", "Lesser General Public License", "2.1"): "LGPL-2.1",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "GPL-2.0-only",
+        cc("Attribution-NonCommercial-ShareAlike"): "CC-BY-NC-SA-4.0",
+        cc("Attribution-ShareAlike"): "CC-BY-SA-4.0",
+        cc("Attribution-NoDerivatives"): "CC-BY-ND-4.0",
+        cc("Attribution-NonCommercial-NoDerivatives"): "CC-BY-NC-ND-4.0",
+        cc("Attribution"): "CC-BY-4.0",
+        opening: "BSD-2-Clause/BSD-3-Clause",
+        two: "BSD-2-Clause",
+        three: "BSD-3-Clause",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC",
+    }
+    got = licenses.scan(docs(spark, list(cases))).orderBy("id").collect()
+    assert [r["license"] for r in got] == list(cases.values())
+
+
 def test_license_scan(spark):
     mit = licenses.TEMPLATES["MIT"][2]
     wrapped = "\n".join(re.findall(r".{1,60}(?: |$)", mit))
@@ -93,7 +126,7 @@ def test_license_scan(spark):
     for text, r in zip(texts, got, strict=True):
         best, n = plain_license(text or "")
         assert r["n_notices"] == n
-        assert (r["license"], r["unit"]) == ((best[1], best[2]) if best else (None, None))
+        assert (r["license"], r["unit"]) == ((best[2], best[3]) if best else (None, None))
         assert best is None or r["dice"] == pytest.approx(best[0], abs=1e-6)
     assert [r["license"] for r in got] == [None, None, None, "Apache-2.0", "MIT", "CC-BY-NC-4.0", "CC-BY-4.0", "proprietary", "GPL-2.0", None, "MIT", "MIT", "Apache-2.0", "Apache-2.0", "Apache-2.0"]
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
