@@ -136,7 +136,7 @@ def fit(positive: list, unlabelled: list, n_features: int, prior: float) -> tupl
     theta, first, second = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     theta[-1] = -2.0
     if not p[2] or not u[2]:
-        return theta[:-1].tolist(), float(np.log(max(prior, 1e-3)))
+        return theta[:-1].tolist(), float(np.log(prior / (1 - prior)))
     for t in range(1, STEPS + 1):
         grad = step(theta, p, u, prior) + DECAY * np.append(theta[:-1], 0.0)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
@@ -144,17 +144,24 @@ def fit(positive: list, unlabelled: list, n_features: int, prior: float) -> tupl
     return theta[:-1].tolist(), float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None) -> dict:
     """The model: features, weights and bias. ``usable``: which ids may be learnt from, over a column ``id``.
 
+    ``prior`` is the share of toxic texts, above 0 and below 1; by default that of the usable labels, or, where these are
+    all alike or none, (toxic + 1/2) / (labels + 1).
+
     Rows of ``labels`` with a null id or label count as no label; of several labels of an id, the greatest counts.
-    Without toxic examples the score is the prior alone.
+    Without toxic examples or without texts the score is the prior alone. Of features of one value the smaller number is
+    chosen first.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull() & usable)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("id").isNotNull() & F.col("toxic").isNotNull() & usable)
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    share = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("prior"), F.count("*").alias("n")).first()
-    prior = min(max(share["prior"] or 0.0, 1e-3), 0.5)
+    if prior is None:
+        share = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count("*").alias("n")).first()
+        prior = share["toxic"] / share["n"] if 0 < share["toxic"] < share["n"] else (share["toxic"] + 0.5) / (share["n"] + 1)
+    if not 0 < prior < 1:
+        raise ValueError("prior is above 0 and below 1")
     p_ids = _sampled(known.filter("toxic = 1").select("id"), MOST_POSITIVE)
     u_ids = _sampled(rows.select("id"), MOST_UNLABELLED).distinct()
     picked = p_ids.select("id", F.lit(1).alias("positive")).unionByName(u_ids.select("id", F.lit(0).alias("positive")))
