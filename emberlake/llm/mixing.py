@@ -21,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import small, words, written
+from emberlake.llm.common import BROADCAST_ROWS, discard, quoted, reads, small, words, written
 
 KEY_BITS = 60
 STEP_BITS = 10
@@ -80,7 +80,9 @@ def leaf_budgets(leaves: Mapping[tuple[str, ...], float], weights: Weights, budg
 
 def _filled(nodes: DataFrame) -> DataFrame:
     """(node, given) from (parent, node, w, cap, budget): the parent's budget is poured over its children up to one level."""
-    able = nodes.filter("w > 0 and cap > 0").withColumn("ratio", F.col("cap") / F.col("w"))
+    # by logarithms, as the quotient of a capacity and a tiny weight may have no double
+    ratio = F.log2("cap") - F.log2("w")
+    able = nodes.filter("w > 0 and cap > 0").withColumn("ratio", ratio)
     steps = able.groupBy("parent", "ratio").agg(F.sum("cap").alias("cap"), F.sum("w").alias("w"), F.max("budget").alias("budget"))
     up = Window.partitionBy("parent").orderBy("ratio").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("parent").orderBy(F.desc("ratio")).rowsBetween(Window.unboundedPreceding, 0)
@@ -88,32 +90,38 @@ def _filled(nodes: DataFrame) -> DataFrame:
     # the children below the first that isn't full are full; the others share what is left
     cut = steps.filter("cap > left * (w / open_w)").groupBy("parent").agg(F.min(F.struct("ratio", "left", "open_w")).alias("cut"))
     share = F.least("cap", F.greatest(F.col("cut.left"), F.lit(0.0)) * (F.col("w") / F.col("cut.open_w")))
-    given = F.when((F.col("w") <= 0) | (F.col("cap") <= 0), 0.0).when(F.col("cut").isNull() | (F.col("cap") / F.col("w") < F.col("cut.ratio")), F.col("cap")).otherwise(share)
+    given = F.when((F.col("w") <= 0) | (F.col("cap") <= 0), 0.0).when(F.col("cut").isNull() | (ratio < F.col("cut.ratio")), F.col("cap")).otherwise(share)
     return nodes.join(cut, "parent", "left").select("node", given.alias("given"))
 
 
 def budgets(leaves: DataFrame, weights: Weights, budget: float, max_epochs: float) -> DataFrame:
-    """(leaf, n, given) from (leaf: array of names, n: tokens): the tokens that each leaf is to give."""
-    if any(w != 0 and not 1e-9 <= w <= 1e9 for level in weights for w in level.values()):
-        raise ValueError("a weight is 0, or from 1e-9 to 1e9")
+    """(leaf, n, given) from (leaf: array of names, n: tokens): the tokens that each leaf is to give.
 
-    def weight(level: int) -> Column:
-        if not weights[level]:
-            return F.lit(1.0)
-        known = F.create_map(*(F.lit(x) for name, w in weights[level].items() for x in (name, float(w))))
-        return F.coalesce(F.try_element_at(known, F.col("leaf")[level]), F.lit(1.0))
-
-    own = [weight(k) for k in range(len(weights))]
+    Weights are finite and not negative, of any size; a name without one has 1. They are joined as tables, so there may be
+    as many as there are names. Only weights above 1e290 are scaled, with all of their level.
+    """
+    if any(not 0 <= w < float("inf") for level in weights for w in level.values()):
+        raise ValueError("a weight is finite and not negative")
+    own, spark = [], leaves.sparkSession
+    for k, level in enumerate(weights):
+        if level:
+            scale = 1e290 / max(1e290, *level.values())
+            table = spark.createDataFrame([(name, float(w) * scale) for name, w in level.items()], f"name{k} string, own{k} double")
+            leaves = leaves.join(F.broadcast(table) if len(level) <= BROADCAST_ROWS else table, F.col("leaf")[k] == F.col(f"name{k}"), "left")
+            own.append(F.coalesce(f"own{k}", F.lit(scale)))
+        else:
+            own.append(F.lit(1.0))
     able = F.lit(True)
     for w in own:
         able = able & (w > 0)
     now = leaves.select("leaf", "n", F.when(able, F.col("n") * F.lit(float(max_epochs))).otherwise(0.0).alias("cap"), F.lit(float(budget)).alias("given"), *(w.alias(f"w{k}") for k, w in enumerate(own)))
+    levels = []
     for k in range(len(weights)):
         node = F.slice("leaf", 1, k + 1)
         nodes = now.groupBy(F.slice("leaf", 1, k).alias("parent"), node.alias("node")).agg(F.sum("cap").alias("cap"), F.max(f"w{k}").alias("w"), F.max("given").alias("budget"))
-        poured = written(_filled(nodes), f"mix-level{k}")
-        now = now.drop("given").withColumn("node", node).join(small(poured), "node").drop("node")
-    return now.select("leaf", "n", "given")
+        levels.append(written(_filled(nodes), f"mix-level{k}"))
+        now = now.drop("given").withColumn("node", node).join(small(levels[-1]), "node").drop("node")
+    return reads(now.select("leaf", "n", "given"), *levels)
 
 
 def _row_digest(row_id: Column, text: Column) -> Column:
@@ -150,16 +158,20 @@ def _ends(stats: DataFrame, budget: DataFrame, seed: int) -> DataFrame:
     run = keys.withColumn("upto", F.sum("n").over(Window.partitionBy("leaf").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
     fit = F.floor((F.col("room") - F.col("upto") + F.col("n")) / F.greatest("one", F.lit(1))).alias("fit")
     over = run.filter("upto > room").groupBy("leaf").agg(F.min(F.struct("key", fit)).alias("x"))
-    return written(over.select("leaf", F.col("x.key").alias("over"), F.col("x.fit").alias("fit")), "mix-ends")
+    out = written(over.select("leaf", F.col("x.key").alias("over"), F.col("x.fit").alias("fit")), "mix-ends")
+    discard(first, second)
+    return out
 
 
 def _numbered(rows: DataFrame, by: str) -> DataFrame:
     """Rows with ``__no`` from 1 within ``by``: numbered inside each part of the table and moved on by the parts before."""
-    rows = written(rows.withColumn("__at", F.monotonically_increasing_id()), "mix-tied").withColumn("__part", F.shiftright("__at", 33))
+    table = written(rows.withColumn("__at", F.monotonically_increasing_id()), "mix-tied")
+    rows = table.withColumn("__part", F.shiftright("__at", 33))
     parts = rows.groupBy(by, "__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
     inside = F.row_number().over(Window.partitionBy(by, "__part").orderBy("__at"))
-    return rows.withColumn("__no", inside).join(parts.select(by, "__part", before.alias("__before")), [by, "__part"]).withColumn("__no", F.col("__no") + F.col("__before"))
+    numbered = rows.withColumn("__no", inside).join(parts.select(by, "__part", before.alias("__before")), [by, "__part"])
+    return reads(numbered.withColumn("__no", F.col("__no") + F.col("__before")), table)
 
 
 def choose(docs: DataFrame, levels: Mapping[str, Column], weights: Weights, total: float | None = None, share: float | None = None, max_epochs: float = 1.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,23 +192,24 @@ def choose(docs: DataFrame, levels: Mapping[str, Column], weights: Weights, tota
     amount = (leaves.agg(F.sum("n")).first()[0] or 0) * share if total is None else total
     given = budgets(leaves, weights, amount, max_epochs)
     epochs = F.when(F.col("n") > 0, F.floor(F.col("given") / F.col("n") + SLACK)).otherwise(0).cast("int")
-    given = given.withColumn("epochs", epochs)
-    budget = written(given.select("leaf", "epochs", F.floor(F.col("given") - F.col("epochs") * F.col("n") + SLACK).alias("room")), "mix-budgets")
+    budget = written(given.withColumn("epochs", epochs).select("leaf", "epochs", F.floor(F.col("given") - F.col("epochs") * F.col("n") + SLACK).alias("room")), "mix-budgets")
     ends = _ends(stats, budget, seed)
 
     over = F.when(F.col("room") > 0, F.coalesce("over", F.lit(1 << KEY_BITS))).otherwise(F.lit(-1)).alias("__over")
     plan = written(budget.join(small(ends), "leaf", "left").select(F.col("leaf").alias("__leaf"), F.col("epochs").alias("__whole"), over, F.coalesce("fit", F.lit(0)).alias("__fit")), "mix-plan")
-    kept = [*docs.columns, "__leaf", "__tokens", "__epochs"]
+    discard(stats, leaves, given, budget, ends)
+    kept = [*map(quoted, docs.columns), "__leaf", "__tokens", "__epochs"]
     placed = whole.join(small(plan), "__leaf").withColumn("__key", order_key(F.col("__digest"), F.col("__whole"), seed))
     tied = (F.col("__fit") > 0) & (F.col("__key") == F.col("__over"))
     out = placed.withColumn("__epochs", F.col("__whole") + (F.col("__key") < F.col("__over")).cast("int"))
     if plan.filter("__fit > 0").isEmpty():
-        return out.filter("__epochs > 0").select(*kept)
-    some = _numbered(placed.filter(tied), "__leaf").withColumn("__epochs", F.col("__whole") + (F.col("__no") <= F.col("__fit")).cast("int"))
-    return out.filter(~tied).select(*kept).unionByName(some.select(*kept)).filter("__epochs > 0")
+        return reads(out.filter("__epochs > 0").select(*kept), plan)
+    numbered = _numbered(placed.filter(tied), "__leaf")
+    some = numbered.withColumn("__epochs", F.col("__whole") + (F.col("__no") <= F.col("__fit")).cast("int"))
+    return reads(out.filter(~tied).select(*kept).unionByName(some.select(*kept)).filter("__epochs > 0"), plan, numbered)
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Weights, **how) -> DataFrame:
     """The rows of ``docs``, each as often as it is taken, with the columns of ``docs``; edge cases as in ``choose``."""
     taken = choose(docs, levels, weights, **how)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*docs.columns)
+    return reads(taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs")))).select(*map(quoted, docs.columns)), taken)

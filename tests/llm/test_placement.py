@@ -101,11 +101,24 @@ def test_budgets_of_many_leaves(spark):
 
 def test_budgets_refuse_weights_out_of_bounds(spark):
     leaves = spark.createDataFrame([(["a"], 1)], "leaf array<string>, n long")
-    for w in (-1.0, 1e-12, float("nan")):
+    for w in (-1.0, float("inf"), float("nan")):
         with pytest.raises(ValueError):
             mixing.budgets(leaves, [{"a": w}], 1.0, 1.0)
 
 
+@pytest.mark.parametrize("budget", [10.0, 250.0])
+def test_weights_of_any_size(spark, budget):
+    """The heaviest is filled first, and what it lacks goes to the next, however light."""
+    leaves = spark.createDataFrame([(["a"], 100), (["b"], 100), (["c"], 100), (["d"], 100)], "leaf array<string>, n long")
+    weights = [{"a": 1e300, "b": 1e-300, "c": 1e-12, "d": 0.0}]
+    got = {r["leaf"][0]: r["given"] for r in mixing.budgets(leaves, weights, budget, 1.0).collect()}
+    want = {"a": 10.0, "b": 0.0, "c": 0.0, "d": 0.0} if budget == 10.0 else {"a": 100.0, "b": 50.0, "c": 100.0, "d": 0.0}
+    assert got == pytest.approx(want)
+    many = spark.createDataFrame([([str(k)], 10) for k in range(50)], "leaf array<string>, n long")
+    even = mixing.budgets(many, [{str(k): 1.7e308 for k in range(50)}], 100.0, 1.0).collect()
+    assert all(r["given"] == pytest.approx(2.0) for r in even)
+
+
 @example([(1.0, 1.5), (5e-324, 1.0)], 2.0)
 @given(st.lists(st.tuples(st.floats(0, 5), st.floats(0, 100)), max_size=8), st.floats(0, 500))
 def test_split_budget(children, budget):
