@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlake.llm import ctph, importance, licenses, manifest_sql, materialise, merkle, mixing, oracles, pieces, quality, repeats, repeats_sql, sharding, simhash, templates, toxicity
-from emberlake.llm.common import new_path, table, written
+from emberlake.llm.common import discard, new_path, table, written
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards into a new folder of the shared one and returns a row for each; they are written once, whatever reads the rows."""
-    ordered = materialise.training_order(materialise.token_stream(table(spark, sf_dir, "documents")))
-    return written(materialise.write_shards(ordered, new_path(spark, "shards")), "shards-written")
+    stream = materialise.token_stream(table(spark, sf_dir, "documents"))
+    out = written(materialise.write_shards(materialise.training_order(stream), new_path(spark, "shards")), "shards-written")
+    discard(stream)
+    return out
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import let, small, words, written
+from emberlake.llm.common import discard, let, reads, small, words, written
 
 FIELD = "<*>"
 DEPTH = 3
@@ -77,10 +77,14 @@ def _in_texts(keyed: DataFrame, keys: list[str], lines: DataFrame, min_texts: in
     The greatest n and the sum of n bound the number from both sides; texts are counted only between the two.
     """
     bounds = written(keyed.groupBy(*keys).agg(F.max("n").alias("least"), F.sum("n").alias("most")).filter(F.col("most") >= min_texts), f"{tag}-bounds")
+    # ``lines`` has a row for each line of a text
     doubtful = keyed.join(small(bounds.filter(F.col("least") < min_texts).select(*keys)), keys).select(*keys, "line_id").distinct()
-    texts = lines.select("line_id", "text_id").join(small(written(doubtful, f"{tag}-doubtful")), "line_id").select(*keys, "text_id").distinct()
+    asked = written(doubtful, f"{tag}-doubtful")
+    texts = lines.select("line_id", "text_id").join(small(asked), "line_id").select(*keys, "text_id").distinct()
     counted = texts.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts)
-    return written(bounds.filter(F.col("least") >= min_texts).select(*keys).unionByName(counted.select(*keys)), tag)
+    out = written(bounds.filter(F.col("least") >= min_texts).select(*keys).unionByName(counted.select(*keys)), tag)
+    discard(bounds, asked)
+    return out
 
 
 def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +105,8 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MI
     beyond = named.select("leaf", "line_id", "n", F.posexplode("w").alias("place", "token")).filter(f"place >= {DEPTH}")
     fixed = _in_texts(beyond.filter(F.col("token") != FIELD), ["leaf", "place", "token"], lines, min_texts, "fixed")
     kept = beyond.select("leaf", "place", "token", "line_id").join(fixed, ["leaf", "place", "token"]).groupBy("line_id").agg(F.array_sort(F.collect_list("place")).alias("fixed"))
-    line = named.join(written(kept, "kept"), "line_id", "left")
+    kept = written(kept, "kept")
+    line = named.join(kept, "line_id", "left")
 
     def template(w: Column, places: Column) -> Column:
         # both arrays belong to one line; map look-ups would be as slow as a search, so fields are marked by difference
@@ -120,7 +125,9 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MI
     often = _in_texts(line, ["template"], lines, min_texts, "often")
     equal = lines.filter("raw_id is not null").select("raw_id", "text_id").distinct().groupBy("raw_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_texts)
     equal = equal.select(F.col("raw_id").alias("line_id"), F.lit(None).cast("string").alias("template"))
-    return lines, written(line.join(often, "template").select("line_id", "template").unionByName(equal), "recurring")
+    out = written(line.join(often, "template").select("line_id", "template").unionByName(equal), "recurring")
+    discard(counted, leaves, named, fixed, kept, line, often)
+    return lines, out
 
 
 def marked(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, similarity: float = SIMILARITY) -> DataFrame:
@@ -130,11 +137,11 @@ def marked(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS,
     ``__text``, ``__drop`` or ``__text_id``.
     """
     lines, recurring = recurring_lines(docs, text_col, min_texts, similarity)
-    lines = lines.withColumn("line_id", F.coalesce("raw_id", "line_id"))
-    hits = lines.join(small(recurring.select("line_id")), "line_id")
+    hits = lines.withColumn("line_id", F.coalesce("raw_id", "line_id")).join(small(recurring.select("line_id")), "line_id")
     per_text = written(hits.groupBy(F.col("text_id").alias("__text")).agg(F.collect_list("line_no").alias("__drop")), "drops")
+    discard(lines, recurring)
     keyed = docs.withColumn("__text_id", digest(F.col(text_col).cast("string")))
-    return keyed.join(per_text, F.col("__text_id") == F.col("__text"), "left").drop("__text", "__text_id")
+    return reads(keyed.join(per_text, F.col("__text_id") == F.col("__text"), "left").drop("__text", "__text_id"), per_text)
 
 
 def _without(text: Column, drop: Column) -> Column:
@@ -151,11 +158,11 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", chars_col: str | Non
     ``chars_col`` names a column that holds the length of the text and is set anew. ``docs`` may have columns of any name
     but ``__text``, ``__drop`` and ``__text_id``.
     """
-    rows = marked(docs, text_col, **how)
-    rows = rows.withColumn(text_col, F.when(F.col("__drop").isNotNull(), _without(F.col(text_col), F.col("__drop"))).otherwise(F.col(text_col)))
+    found = marked(docs, text_col, **how)
+    rows = found.withColumn(text_col, F.when(F.col("__drop").isNotNull(), _without(F.col(text_col), F.col("__drop"))).otherwise(F.col(text_col)))
     if chars_col:
         rows = rows.withColumn(chars_col, F.when(F.col("__drop").isNotNull(), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
-    return rows.select(*docs.columns)
+    return reads(rows.drop("__drop"), found)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
