@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import ranges
-from emberlake.llm.common import written
+from emberlake.llm.common import discard, quoted, reads, written
 
 BUCKETS = 10_000
 LONGEST = 3
@@ -275,16 +275,29 @@ def _counted(batches: Iterator) -> Iterator:
 
 
 def head(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], list[int]]:
-    """The HEAD_WORDS most frequent words of all texts, and codes of the HEAD_PAIRS most frequent of the pairs that were counted.
+    """The most frequent words of all texts, HEAD_WORDS at most, and codes of HEAD_PAIRS at most of the pairs that were counted.
 
-    Ties go to the bytewise smaller. What comes to the driver is bounded by these two numbers.
+    A histogram of the counts (classes of an eighth of a power of two) gives the least class that still fits whole, so that
+    no more rows than these come to the driver, from however many tasks.
     """
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(text_col)).cast("string").alias("text"))
     counts = written(rows.mapInArrow(_counted, "first binary, second binary, n long").groupBy("first", "second").agg(F.sum("n").alias("n")), "head-counts")
-    words = [bytes(r["first"]) for r in counts.filter("second is null").orderBy(F.desc("n"), "first").limit(HEAD_WORDS).collect()]
+    size = F.floor(8 * F.log2("n")).cast("int")
+    classes = counts.groupBy(F.col("second").isNull().alias("single"), size.alias("size")).agg(F.count("*").alias("rows")).collect()
+
+    def most(single: bool, bound: int) -> list:
+        least, rows = 1 << 30, 0
+        for r in sorted((r for r in classes if r["single"] == single), key=lambda r: -r["size"]):
+            if (rows := rows + r["rows"]) > bound:
+                break
+            least = r["size"]
+        found = counts.filter((F.col("second").isNull() == single) & (size >= least)).collect()
+        return sorted(found, key=lambda r: (-r["n"], bytes(r["first"]), bytes(r["second"] or b"")))
+
+    words = [bytes(r["first"]) for r in most(True, HEAD_WORDS)]
     number = {w: k for k, w in enumerate(words)}
-    found = counts.filter("second is not null").orderBy(F.desc("n"), "first", "second").limit(HEAD_PAIRS).collect()
-    both = [(number.get(bytes(r["first"])), number.get(bytes(r["second"]))) for r in found]
+    both = [(number.get(bytes(r["first"])), number.get(bytes(r["second"]))) for r in most(False, HEAD_PAIRS)]
+    discard(counts)
     return words, [a * BASE + b for a, b in both if a is not None and b is not None]
 
 
@@ -302,7 +315,7 @@ def _totals(tables, batches: Iterator) -> Iterator:
 
 def totals(docs: DataFrame, tables, text_col: str = "text") -> list[int]:
     """How many features of all texts fall into each bucket; each task sends BUCKETS sums at most."""
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(text_col)).cast("string").alias("text"))
     found = rows.mapInArrow(functools.partial(_totals, tables), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = [0] * BUCKETS
     for r in found.collect():
@@ -340,7 +353,7 @@ def weigh(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     context = docs.sparkSession.sparkContext
     tables = context.broadcast(head(docs, text_col))
     gain = context.broadcast(gains(totals(docs, tables, text_col), totals(target, tables, target_col)))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return rows.mapInArrow(functools.partial(_weighed, tables, gain), f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_features long, weight long")
 
 
@@ -362,10 +375,10 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     able = ranges.placed(scored.filter(F.col("n_words") >= least_words), [("score", False), ("id", True)])
     draw = scored.filter(F.col("n_words") >= least_words).count() * percent // 100
     ranked = able.withColumn("rank", F.when(F.col("place") < draw, F.col("place") + 1).cast("long")).drop("place")
-    return ranked.unionByName(scored.filter(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long")))
+    return reads(ranked.unionByName(scored.filter(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long"))), scored, able)
 
 
 def drawn(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id was drawn, all their columns; null ids are never taken."""
     taken = resample(docs, target, id_col=id_col, **options).filter("rank is not null and id is not null").select(F.col("id").alias("__drawn")).distinct()
-    return docs.join(taken, docs[f"`{id_col}`"] == taken["__drawn"], "left_semi")
+    return docs.join(taken, docs[quoted(id_col)] == taken["__drawn"], "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import ranges
-from emberlake.llm.common import discard, small, written
+from emberlake.llm.common import discard, quoted, reads, small, written
 
 ARITY = 8
 #: Leaves of a partition at most.
@@ -128,13 +128,15 @@ def build(docs: DataFrame, values: Sequence[Column], tree: Column, id_col: str =
     Trees are ordered by name bytewise, the null first; leaves by id, nulls first, rows of one id by their digests, so that
     equal rows have leaves side by side. No rows, no tree and no root. ``also`` are columns kept with the leaves.
     """
-    made = docs.select(tree.cast("string").alias("name"), F.col(f"`{id_col}`").alias("id"), leaf(values).alias("digest"), *(c.alias(k) for k, c in (also or {}).items()))
-    first = written(ranges.placed(made, [("id", True), ("digest", True)], "name").withColumnRenamed("place", "idx"), "leaves")
+    made = docs.select(tree.cast("string").alias("name"), F.col(quoted(id_col)).alias("id"), leaf(values).alias("digest"), *(c.alias(k) for k, c in (also or {}).items()))
+    ranked = ranges.placed(made, [("id", True), ("digest", True)], "name")
+    first = written(ranked.withColumnRenamed("place", "idx"), "leaves")
     counts = written(first.groupBy("name").agg(F.count("*").alias("width")), "widths")
-    trees = written(ranges.placed(counts, [("name", True)]).select(F.col("place").alias("tree"), "name", "width"), "trees")
+    ordered = ranges.placed(counts, [("name", True)])
+    trees = written(ordered.select(F.col("place").alias("tree"), "name", "width"), "trees")
     named = small(trees.select("tree", F.col("name").alias("its_name"), "width"))
     leaves = written(first.join(named, F.col("name").eqNullSafe(F.col("its_name"))).drop("its_name"), "tree-leaves")
-    discard(first, counts)
+    discard(first, counts, ranked, ordered)
     bottom = leaves.select("tree", "idx", "digest", "width")
     above = _levels(bottom, "nodes")
     subroots = bottom.filter("width = 1")
@@ -205,7 +207,7 @@ def prove(manifest: Manifest, opened: DataFrame | None = None, block: int = BLOC
     out = f"id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     root = manifest.root or ""
     mine = leaves.select("tree", "block", "idx", "width", "id", "digest", "changed").withColumn("for_tree", F.col("tree"))
-    return mine.groupBy("for_tree", "block").cogroup(fetched.groupBy("for_tree", "block")).applyInArrow(lambda a, b: _expanded(n_trees, root, a, b), out)
+    return reads(mine.groupBy("for_tree", "block").cogroup(fetched.groupBy("for_tree", "block")).applyInArrow(lambda a, b: _expanded(n_trees, root, a, b), out), fetched)
 
 
 def tampered_manifest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -216,8 +218,9 @@ def tampered_manifest(docs: DataFrame, text_col: str = "text", id_col: str = "do
     """
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     names = [id_col if f == "doc_id" else text_col if f == "text" else f for f in FIELDS]
-    values = [F.col(f"`{n}`") for n in names]
-    lowered = [F.translate(F.col(f"`{n}`").cast("string"), capitals, capitals.lower()) if n == text_col else F.col(f"`{n}`") for n in names]
-    chosen = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 0
+    values = [F.col(quoted(n)) for n in names]
+    lowered = [F.translate(F.col(quoted(n)).cast("string"), capitals, capitals.lower()) if n == text_col else F.col(quoted(n)) for n in names]
+    chosen = F.crc32(F.col(quoted(id_col)).cast("string").cast("binary")) % 3 == 0
     manifest = build(docs, values, F.col("lang"), id_col, {"changed": F.when(chosen, leaf(lowered))})
-    return prove(manifest)
+    proofs = prove(manifest)
+    return reads(proofs, *proofs.read_from, *manifest.tables)

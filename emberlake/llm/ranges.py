@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import written
+from emberlake.llm.common import quoted, reads, written
 
 
 def placed(df: DataFrame, order: Sequence[tuple[str, bool]], group: str | None = None) -> DataFrame:
@@ -18,7 +18,6 @@ def placed(df: DataFrame, order: Sequence[tuple[str, bool]], group: str | None =
     see the same rows. An empty table gives none.
     """
     inside = [group] if group else []
-    names = [*inside, *(name for name, _ in order)]
 
     def columns(own: str) -> list[Column]:
         return [*map(F.asc, inside), *(F.asc(n) if up else F.desc(n) for n, up in order), F.asc(own)]
@@ -34,5 +33,4 @@ def placed(df: DataFrame, order: Sequence[tuple[str, bool]], group: str | None =
     if inside:
         same = same & F.col(group).eqNullSafe(F.col("its_group"))
     numbered = ranges.withColumn("no", no).join(starts, same)
-    assert set(names) <= set(df.columns)
-    return numbered.select(*df.columns, (F.col("before") + F.col("no") - 1).alias("place"))
+    return reads(numbered.select(*map(quoted, df.columns), (F.col("before") + F.col("no") - 1).alias("place")), ranges)

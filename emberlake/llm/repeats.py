@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm import lyndon
-from emberlake.llm.common import discard, small, written
+from emberlake.llm.common import discard, quoted, reads, small, written
 
 LENGTH = 200
 GRAM = 32
@@ -285,7 +285,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _rows(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
 
 
 def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -348,6 +348,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kep
     of a shuffle is to be written first.
     """
     found = spans(docs, text_col)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     kind, last = rows.schema["id"].dataType.simpleString(), "kept binary" if kept_bytes else "kept_sha256 string"
-    return rows.join(found, "row", "left").select("id", "text", "spans").mapInArrow(functools.partial(_kept, kept_bytes), f"id {kind}, n_bytes long, n_removed long, n_spans long, {last}")
+    out = rows.join(found, "row", "left").select("id", "text", "spans").mapInArrow(functools.partial(_kept, kept_bytes), f"id {kind}, n_bytes long, n_removed long, n_spans long, {last}")
+    return reads(out, found)

@@ -222,3 +222,40 @@ def test_toxicity_sample_has_one_text_of_an_id(spark, monkeypatch):
     labels = spark.createDataFrame([(k, int(k == 1 or k % 5 == 0)) for k in range(1, 600)], "doc_id long, toxic int")
     toxicity.train(docs, labels, F.lit(True))
     assert seen == [(120, 599)]
+
+
+def test_names_with_dots_stay(spark):
+    """Operators that return the columns of their input take any names."""
+    rows = [(k, f"text {k} of the day", "en", "src1", 1, k) for k in range(30)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "a.b", "row"])
+    levels = {"lang": F.col("lang")}
+    for out in (templates.drop_recurring(docs), mixing.mix(docs, levels, [{}], share=1.0), quality.keep_good(docs), simhash.keep_one(docs), nearcopies.keep_one(docs)):
+        assert out.columns == docs.columns and {r[4] for r in out.collect()} <= {1}
+    assert sharding.assign(docs).columns == [*docs.columns, "slot", "shard"] and sharding.assign(docs).count() == 30
+
+
+def test_tables_of_done_steps_go(spark, tmp_path):
+    """After a query's result was read and discarded, nothing of it is left."""
+    from pathlib import Path
+
+    folder = Path(shared.shared_dir(spark).removeprefix("file:"))
+    docs = spark.createDataFrame([(k, f"line {k % 3} of all\ntext {k} of the day\nthe same line", "en", "src1") for k in range(60)], "doc_id long, text string, lang string, source string")
+    before = set(folder.iterdir()) if folder.exists() else set()
+    for make in (templates.drop_recurring, lambda d: mixing.mix(d, {"lang": F.col("lang")}, [{"en": 2.0}], share=0.5), nearcopies.keep_one):
+        out = make(docs)
+        assert out.count() > 0
+        shared.discard(out)
+        assert set(folder.iterdir()) == before, make
+
+
+def test_class_prior_is_not_bounded(spark):
+    docs = spark.createDataFrame([(k, f"nasty vile text {k}" if k % 5 else f"kind text {k}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 > 0)) for k in range(200)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, F.lit(True))["prior"] == 0.8
+    assert toxicity.train(docs, labels, F.lit(True), prior=0.3)["prior"] == 0.3
+    every = toxicity.train(docs, labels.filter("toxic = 1"), F.lit(True))
+    assert every["prior"] == 160.5 / 161
+    none = toxicity.train(docs, labels.filter("toxic = 0"), F.lit(True))
+    assert none["prior"] == 0.5 / 41 and all(r["score"] == pytest.approx(none["prior"]) for r in toxicity.score(docs, none).collect())
+    with pytest.raises(ValueError, match="prior"):
+        toxicity.train(docs, labels, F.lit(True), prior=1.0)
