@@ -102,6 +102,8 @@ ORACLES: dict[str, str] = {
         "raw_window": f"{_RAW_WINDOW} LIMIT 50",
         "raw_window_page2": f"{_RAW_WINDOW} LIMIT 50 OFFSET 50",
         "raw_window_stored": f"{_RAW_WINDOW} LIMIT 50",
+        "raw_walk": f"{_RAW_WINDOW} LIMIT 50",
+        "raw_walk_page2": f"{_RAW_WINDOW} LIMIT 50 OFFSET 50",
         "raw_envelopes": "SELECT event_id, project_id, 1 AS schema_version, strftime(date_trunc('millisecond', occurred_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS occurred_at, actor_id, cast(json_extract(payload, '$.k') AS bigint) AS k FROM a",
         "raw_unexpired": f"SELECT * FROM ({_RAW}) WHERE occurred_ms >= epoch_ms(timestamp '2024-01-16')",
         "dedup_first_sight": "SELECT event_id, project_id, attempt, epoch_us(occurred_at) AS occurred_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY attempt) AS place FROM d) WHERE place = 1",
@@ -139,6 +141,12 @@ ORACLES: dict[str, str] = {
             SELECT unnest(['raw', 'counts_minute', 'counts_hour', 'leaderboard', 'funnel', 'retention', 'dead_letters']) AS view,
                    unnest([(SELECT count(*) FROM sa), (SELECT count(*) FROM ({_MINUTE.replace('FROM a', 'FROM sa')})), (SELECT count(*) FROM ({_HOUR.replace('FROM a', 'FROM sa')})), (SELECT count(*) FROM ({_BEST.format(rows='sa')})),
                            (SELECT count(*) FROM ({_STEPS.replace('FROM a ', 'FROM sa ')})), (SELECT count(*) FROM ({_DAYS.replace('FROM a ', 'FROM sa ')})), (SELECT count(*) FROM d WHERE n % 29 = 0 OR n % 31 = 0)]) AS n""",
+        "stream_keyed_counts": f"{_STREAM_A} {_HOUR.replace('FROM a', 'FROM sa')}",
+        "stream_failed_batch": f"{_STREAM_A}, hours AS ({_HOUR.replace('FROM a', 'FROM sa')}) SELECT project_id || '/' || time_bucket || '/' || event_type AS name, count AS n FROM hours UNION ALL SELECT 'attempts/3', count(*) FROM sa WHERE n % 2 = 1",
+        "stream_torn_batch": f"""{_STREAM_A}
+            SELECT w AS moment, v AS view, CASE WHEN w = 'torn' THEN (SELECT count(*) FROM sa WHERE n % 2 = 0) ELSE (SELECT count(*) FROM sa) END AS n
+            FROM unnest(['torn', 'whole']) AS ws(w), unnest(['raw', 'minute', 'hour']) AS vs(v)""",
+        "stream_tumbling": f"sd AS (SELECT * FROM d WHERE n % 29 <> 0 AND n % 31 <> 0) {_HOUR.replace('FROM a', 'FROM sd')}",
         "replay_rebuild": f"{_STREAM_A} {_MINUTE.replace('FROM a', 'FROM sa')}",
         "stream_counts_hour": f"{_STREAM_A} {_HOUR.replace('FROM a', 'FROM sa')}",
         "stream_funnel_conversion": f"{_STREAM_A}, {_FUNNEL.strip().replace('FROM a ', 'FROM sa ').replace('min(occurred_at)', chr(39).join(['min(date_trunc(', 'millisecond', ', occurred_at))']))}",

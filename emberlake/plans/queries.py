@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from emberlake.functions import keys, time
 from emberlake.operators import counts, deadletter, dedup, envelope, funnel, ingest, leaderboard, quota, rawstore, reconcile, registry, retention
+from emberlake.schema import struct
 from emberlake.sources import log, shared, tables
+from emberlake.streaming import windows
+from emberlake.streaming.store import Table
 from emberlake.streaming.views import Views, rebuild
 
 PROJECT = "game-1"
@@ -187,12 +190,12 @@ def raw_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def raw_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw_out(rawstore.page_rows(_raw(spark, sf_dir), PROJECT, *RAW_WINDOW, limit=PAGE))
+    return _raw_out(rawstore.page_rows(rawstore.raw_rows(tables.deliveries(spark, sf_dir)), PROJECT, *RAW_WINDOW, limit=PAGE))
 
 
 @query
 def raw_window_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _raw(spark, sf_dir)
+    raw = rawstore.raw_rows(tables.deliveries(spark, sf_dir))
     _, after = rawstore.read_page(raw, PROJECT, *RAW_WINDOW, limit=PAGE)
     rows = rawstore.page_rows(raw, PROJECT, *RAW_WINDOW, limit=PAGE, after=after)
     return _raw_out(rows if after else rows.limit(0))
@@ -203,9 +206,36 @@ def raw_window_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window read from a stored raw table, by the folders of its hours."""
     views = Views(spark, shared.new_path(spark, "views"), only=("raw",))
     views.raw.put(rawstore.raw_rows(tables.deliveries(spark, sf_dir)), 0)
+    views.commits.mark(0)
     return _raw_out(rawstore.page_rows(views.raw.state(), PROJECT, *RAW_WINDOW, limit=PAGE))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> Views:
+    """The deliveries stored raw by three batches, the second of them written twice."""
+    views = Views(spark, shared.new_path(spark, "views"), only=("raw",))
+    rows = rawstore.raw_rows(tables.deliveries(spark, sf_dir))
+    for k in (0, 1, 2, 1):
+        views.raw.put(rows.filter(F.pmod(F.xxhash64("event_id", "payload"), F.lit(3)) == k), k)
+        views.commits.mark(k)
+    return views
+
+
+@query
+def raw_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a window by walking hours, newest first."""
+    raw = _stored(spark, sf_dir).raw
+    return _raw_out(rawstore.walk_page(raw.folders(), raw.read_folders, PROJECT, *RAW_WINDOW, limit=PAGE)[0])
+
+
+@query
+def raw_walk_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _stored(spark, sf_dir).raw
+    folders = raw.folders()
+    _, after = rawstore.walk_page(folders, raw.read_folders, PROJECT, *RAW_WINDOW, limit=PAGE)
+    rows, _ = rawstore.walk_page(folders, raw.read_folders, PROJECT, *RAW_WINDOW, limit=PAGE, after=after)
+    return _raw_out(rows if after else rows.limit(0))
+
+
 @query
 def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows as event JSON, read back field by field."""
@@ -454,6 +484,96 @@ def stream_all_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, (rows.agg(F.count("*").alias("n")).withColumn("view", F.lit(name)) for name, rows in states.items()))
 
 
+def _in_batches(spark: SparkSession, sf_dir: str, root: str, n: int) -> str:
+    """The log in ``n`` files, which a stream reads one by one; deliveries of an event are mostly in different ones."""
+    rows = _log(spark, sf_dir)
+    for k in range(n):
+        rows.filter(F.pmod(F.xxhash64("offset"), F.lit(n)) == k).coalesce(1).write.mode("append").json(f"{root}/log")
+    return f"{root}/log"
+
+
+@query
+def stream_keyed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by the hour where ids are keyed states: two batches, then a restart from the checkpoint for two more, and the
+    first records once more."""
+    root = shared.new_path(spark, "views")
+    for again in (False, True):
+        path = _in_batches(spark, sf_dir, root, 2) if not again else f"{root}/log"
+        if again:
+            _log(spark, sf_dir).filter("offset % 3 = 0").coalesce(1).write.mode("append").json(path)
+        views = Views(spark, root, only=("counts",))
+        views.run_keyed(log.stream_files(spark, path, files_per_batch=1), f"{root}/checkpoint").awaitTermination()
+    return views.by_hour.state()
+
+
+class _Gone(BaseException):
+    """A writer's end that nothing catches."""
+
+
+@query
+def stream_torn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second batch whose writer dies after one table: how many events readers see in each view then, and after it ran again."""
+    views = Views(spark, shared.new_path(spark, "views"), only=("raw", "counts"))
+    records = _log(spark, sf_dir)
+    first = F.pmod(F.floor(F.col("offset") / 2), F.lit(2)) == 0
+    views.apply(records.filter(first), 0)
+    real = views.by_minute.overwrite
+
+    def dying(*args: object) -> None:
+        real(*args)
+        raise _Gone
+
+    views.by_minute.overwrite = dying
+    try:
+        views.apply(records.filter(~first), 1)
+    except _Gone:
+        views.by_minute.overwrite = real
+
+    def seen(when: str) -> DataFrame:
+        states = views.states()
+        each = {"raw": states["raw"].agg(F.count("*").alias("n")), "minute": states["counts_minute"].agg(F.sum("count").alias("n")), "hour": states["counts_hour"].agg(F.sum("count").alias("n"))}
+        return functools.reduce(DataFrame.unionByName, (n.select(F.lit(when).alias("moment"), F.lit(view).alias("view"), "n") for view, n in each.items()))
+
+    torn = shared.written(seen("torn"), "torn")
+    views.apply(records.filter(~first), 1)
+    return torn.unionByName(seen("whole"))
+
+
+@query
+def stream_failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that a view refuses three times, dead-lettered whole and replayed: the counts by the hour, and the letters' attempts."""
+    views = Views(spark, shared.new_path(spark, "views"), only=("counts", "funnel"), sleep=lambda seconds: None)
+    records = _log(spark, sf_dir)
+    half = F.pmod(F.floor(F.col("offset") / 2), F.lit(2)) == 0
+    views.apply(records.filter(half), 0)
+    real = views.steps.put
+
+    def refused(*args: object) -> None:
+        raise OSError("the store is down")
+
+    views.steps.put = refused
+    views.apply(records.filter(~half), 1)
+    views.steps.put = real
+    letters = views.dead_letters().filter("error.kind = 'persistence'")
+    again = deadletter.replayable(letters).select("key", "value", F.lit("replay").alias("topic"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"))
+    views.apply(shared.written(again, "replay"), 2)
+    attempts = letters.groupBy("attempts").agg(F.count("*").alias("n")).select(F.concat(F.lit("attempts/"), F.col("attempts").cast("string")).alias("name"), "n")
+    return views.by_hour.state().select(F.concat_ws("/", "project_id", "time_bucket", "event_type").alias("name"), F.col("count").alias("n")).unionByName(attempts)
+
+
+@query
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by tumbling windows in update mode, kept as the last update of each window: late events correct theirs."""
+    root = shared.new_path(spark, "tumbling")
+    path = _in_batches(spark, sf_dir, root, 3)
+    events = envelope.parsed(log.stream_files(spark, path, files_per_batch=1)).filter("size(issues) = 0").select("event.*")
+    counted = windows.tumbling_counts(events, "hour", "60 days")
+    kept = Table(spark, root, "windows", struct("project_id string, time_bucket string, event_type string, count long, batch_id long"), ["batch_id"])
+    sink = counted.writeStream.foreachBatch(lambda rows, k: kept.overwrite(rows.withColumn("batch_id", F.lit(k).cast("long")))).outputMode("update")
+    sink.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return dedup.last_write(kept.read(), ["project_id", "time_bucket", "event_type"], ["batch_id"]).drop("batch_id")
+
+
 @query
 def replay_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log replayed into empty views; the counts by minute that come of it."""

@@ -1,15 +1,21 @@
-"""Stateful stream operators: tumbling counts, dedup within a horizon, and quotas."""
+"""Stateful stream operators: tumbling counts, dedup within a horizon or by keyed state that expires, and quotas."""
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from emberlake.functions import time
+from emberlake.schema import struct
+
+#: The state store that keeps states on disk, key by key, and lets them expire.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def tumbling_counts(events: DataFrame, grain: str, lateness: str) -> DataFrame:
@@ -47,6 +53,59 @@ def dedup_with_ttl(events: DataFrame, ttl_ms: int, key: str = "event_id") -> Dat
     return events.groupBy(key).applyInPandasWithState(first, events.schema, "seen_at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their states in RocksDB, and run no batches without data: states expire in the
+    next batch that has some, and a run over what is there comes to an end. Streams started elsewhere keep the session's ways.
+    """
+    ways = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in ways}
+    for name, value in ways.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+class FirstSights(StatefulProcessor):
+    """Of each key the first row; the key is kept until its time to live is over, and duplicates don't extend it."""
+
+    def __init__(self, ttl_ms: int, order: tuple[str, ...], always: str | None):
+        self.ttl_ms, self.order, self.always = ttl_ms, order, always
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", struct("marked int"), self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803  names of the interface
+        first = None
+        for row in rows:
+            if self.always and row[self.always]:
+                yield row
+            elif first is None or tuple(row[c] for c in self.order) < tuple(first[c] for c in self.order):
+                first = row
+        if not self.seen.exists():
+            self.seen.update((1,))
+            if first is not None:
+                yield first
+
+    def close(self) -> None:
+        pass
+
+
+def first_sights(rows: DataFrame, key: Column, ttl_ms: int, order: tuple[str, ...] = ("partition", "offset"), always: Column | None = None) -> DataFrame:
+    """The first row of each key within ``ttl_ms`` of processing time from first sight, by ``order`` inside a batch.
+
+    Each key is one small state in RocksDB that expires by itself (start the stream inside ``rocksdb``): a batch touches
+    the states of its own keys and reads nothing of what came before. Rows where ``always`` holds pass whatever was seen,
+    and mark their key. The state moves on with the checkpoint, so a batch that is run again sees what it saw.
+    """
+    shown = rows.withColumns({"__key": key, "__always": F.lit(False) if always is None else F.coalesce(always, F.lit(False))})
+    kept = shown.groupBy("__key").transformWithState(FirstSights(ttl_ms, order, "__always"), shown.schema, "Append", "ProcessingTime")
+    return kept.drop("__key", "__always")
+
+
 def token_bucket(requests: DataFrame, rate: float = 50, burst: float = 100, key: str = "api_key", received_at: str = "received_at") -> DataFrame:
     """Quotas over a stream: each key's tokens and last time are kept until the bucket would be full again."""
     idle_ms = math.ceil(burst / rate * 1000)
