@@ -6,10 +6,10 @@ that can be emitted, from bands of least hashes. All of them are compared by the
 Every text has 100 least hashes in 20 bands of five; two texts at 0.8 share a band with a probability of 0.9996. A pair
 of a band's key is settled once it was compared or its texts are in one group anyway. So each round compares a few pairs
 and then takes the groups of all matches so far; keys whose members are all in one group are done. Keys of up to ALL_PAIRS
-members have all their pairs compared that lie in different groups. In larger keys hubs are drawn, from the key's largest
-group and from all its members, and all others are compared with them: the copies of one text fall to it whichever was
-drawn first. A large key that is still open after HUB_ROUNDS is dealt anew, under SUB_KEYS keys of five more hashes each;
-by then its members are mostly unlike, and fall apart. Rows grow with members, and no link is given up.
+members have all their pairs compared that lie in different groups. In larger keys others are compared with two hubs: first
+a random one of each key, then the member of most links: whichever copies of one text were drawn first, all are linked to
+that text, so it is the next hub. A large key that is still open is dealt anew, under SUB_KEYS keys of five more hashes each; its members are
+mostly unlike, and fall apart. Rows grow with members, and no link is given up.
 """
 
 from __future__ import annotations
@@ -28,9 +28,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 20, 5
 #: Keys of so many members at most have all pairs compared; in the first round, of so many.
-ALL_PAIRS, FIRST_PAIRS = 128, 16
-#: Hubs that are drawn for a larger key in a round (expected), from its largest group and as many from all; rounds of it.
-HUBS, HUB_ROUNDS = 4, 3
+ALL_PAIRS, FIRST_PAIRS = 32, 16
 SUB_KEYS = 8
 #: Keys that are large and open after so many deals hold texts of equal sketches that are unlike: all pairs are compared.
 DEEPEST = 10
@@ -153,14 +151,14 @@ def _counted(members: DataFrame) -> DataFrame:
     return out
 
 
-def _hub_pairs(large: DataFrame, number: int) -> DataFrame:
-    """Hubs of each key, drawn anew each round, with all its members of other groups."""
-    largest = large.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("best"))
-    drawn = large.join(largest.select("key", "best"), "key").withColumn("draw", F.xxhash64("node", "key", F.lit(number)))
-    inside = (F.col("label") == F.col("best.label")) & (F.pmod("draw", F.col("best.size")) < HUBS)
-    hubs = drawn.filter(inside | (F.pmod(F.shiftright("draw", 7), F.col("n")) < HUBS)).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    met = large.join(hubs, "key").filter("label != hub_label")
-    return met.select(*_ordered("node", "hub"))
+def _hub_pairs(opened: DataFrame, degrees: DataFrame, number: int) -> DataFrame:
+    """Two hubs of each key with all its members of other groups: the member of most links so far, and one drawn anew."""
+    draw = F.xxhash64("node", "key", F.lit(number))
+    linked = opened.join(degrees, "node", "left").withColumns({"degree": F.coalesce("degree", F.lit(0)), "draw": draw})
+    one = lambda first: F.max(F.struct(first, "draw", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
+    hubs = linked.groupBy("key").agg(F.array(one(F.col("degree")), one(F.col("draw").alias("degree"))).alias("hubs"))
+    hubs = hubs.select("key", F.explode("hubs").alias("h")).select("key", "h.hub", "h.hub_label").distinct()
+    return opened.join(hubs, (opened["key"] == hubs["key"]) & (opened["label"] != hubs["hub_label"])).select(*_ordered("node", "hub"))
 
 
 def _dealt_anew(large: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
@@ -185,32 +183,32 @@ def groups_of(rows: DataFrame, different: DataFrame, similarity: float = SIMILAR
     hubs = still.groupBy("key").agg(hub).select("key", F.col("first.hub").alias("hub"))
     pairs = _all_pairs(members.filter(F.col("n") <= FIRST_PAIRS).withColumn("label", F.col("node")))
     pairs = pairs.unionByName(still.join(hubs, "key").filter("node != hub").select(*_ordered("node", "hub"))).unionByName(balls)
-    compared, found, done, number = [], [], [members, balls], 0
+    done, number, labels, links = [members, balls], 0, None, []
     while True:
-        fresh = pairs.distinct()
-        for old in compared:
-            fresh = fresh.join(old, ["a", "b"], "left_anti")
-        compared.append(written(fresh, "pairs"))
-        found.append(_matches(rows, nodes, compared[-1], similarity))
-        labels = component_labels(functools.reduce(DataFrame.unionByName, found))
+        fresh = written(pairs.distinct(), "pairs")
+        found = _matches(rows, nodes, fresh, similarity)
+        # groups so far are stars already, so few steps join them by the new links
+        edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        before, labels = labels, component_labels(edges)
+        links.append(found)
+        discard(fresh, *([] if before is None else [before]))
         grouped = written(still.join(labels, still["node"] == labels["node"], "left").select("key", "n", still["node"], F.coalesce("label", still["node"]).alias("label")), "grouped")
         apart = written(grouped.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key"), "apart")
         opened = written(grouped.join(apart, "key", "left_semi"), "open-members")
         discard(*done, grouped, apart)
         if opened.isEmpty():
-            discard(opened, *compared, *found)
+            discard(opened, *links)
             return labels
-        discard(labels)
         number += 1
         small_keys, large = opened.filter(F.col("n") <= ALL_PAIRS), opened.filter(F.col("n") > ALL_PAIRS)
-        depth, turn = divmod(number, HUB_ROUNDS + 1)
-        if depth > DEEPEST:
+        degrees = functools.reduce(DataFrame.unionByName, links).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        if number == 1:  # the copies of one text mostly end here
+            pairs, still, done = _hub_pairs(opened, degrees, number), opened.select("key", "n", "node"), [opened]
+        elif number > DEEPEST:
             pairs, still, done = _all_pairs(opened), large.select("key", "n", "node").limit(0), [opened]
-        elif turn:
-            pairs, still, done = _all_pairs(small_keys).unionByName(_hub_pairs(large, number)), large.select("key", "n", "node"), [opened]
         else:
-            anew = _counted(_dealt_anew(large, nodes, depth))
-            pairs, still, done = _all_pairs(small_keys), anew, [opened, anew]
+            anew = _counted(_dealt_anew(large, nodes, number))
+            pairs, still, done = _all_pairs(small_keys).unionByName(_hub_pairs(large, degrees, number)), anew, [opened, anew]
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
