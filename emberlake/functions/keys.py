@@ -43,3 +43,40 @@ def uuid_of(*parts: Column) -> Column:
     """A text shaped as a UUID from the coordinates of a record: the same whenever a task is run again."""
     h = F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+#: Of the log's key hash (fixed values: the multiplier, the seed, and the bits that are kept).
+_TIMES, _SEED, _WORD = 0x5BD1E995, 0x9747B28C, 0xFFFFFFFF
+
+
+def _times(x: Column) -> Column:
+    """A 32-bit number times the multiplier, modulo 2 to the 32nd: by halves, as the product has no long."""
+    low, high = _TIMES & 0xFFFF, _TIMES >> 16
+    return (x * F.lit(low) + F.shiftleft((x * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_WORD))
+
+
+def key_hash(key: Column) -> Column:
+    """The 32-bit hash by which the log's producers deal keys: Murmur2 over the UTF-8 bytes."""
+    data = F.hex(key.cast("binary"))
+    n = F.octet_length(key)
+
+    def word(at: Column, width: Column | int) -> Column:
+        """Up to four bytes from a place on, the first the lowest; absent ones are 0."""
+        byte = lambda k: F.coalesce(F.conv(F.nullif(F.substring(data, 2 * (at + k) + 1, F.lit(2)), F.lit("")), 16, 10).cast("long"), F.lit(0).cast("long"))
+        return byte(0) + F.shiftleft(byte(1), 8) + F.shiftleft(byte(2), 16) + F.shiftleft(byte(3), 24)
+
+    def mixed(h: Column, at: Column) -> Column:
+        k = _times(word(at * 4, 4))
+        return _times(h).bitwiseXOR(_times(k.bitwiseXOR(F.shiftright(k, 24))))
+
+    whole = F.floor(n / 4).cast("int")
+    start = F.lit(_SEED).bitwiseXOR(n.cast("long"))
+    h = F.aggregate(F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>")), start, mixed)
+    h = F.when(n % 4 > 0, _times(h.bitwiseXOR(word(whole * 4, 4)))).otherwise(h)
+    h = _times(h.bitwiseXOR(F.shiftright(h, 13)))
+    return h.bitwiseXOR(F.shiftright(h, 15))
+
+
+def key_partition(key: Column, partitions: int) -> Column:
+    """The partition of a key: the hash without its sign, modulo the number of partitions."""
+    return (key_hash(key).bitwiseAND(F.lit(0x7FFFFFFF)) % partitions).cast("int")

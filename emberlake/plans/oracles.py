@@ -47,6 +47,21 @@ _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) ||
 _KEY = "CASE WHEN n % 20 = 3 THEN '' WHEN n % 20 = 5 THEN 'cas_' || project_id || '.wrong' ELSE 'cas_' || project_id || '.s3cret' END"
 
 
+def _murmur(key: str) -> str:
+    """Murmur2 of a key of ASCII characters, as the log's producers hash it."""
+    times = lambda x: f"((({x}) * 1540483477::UBIGINT) & 4294967295)"
+    byte = lambda at: f"coalesce(ascii(nullif({key}[{at}], ''))::UBIGINT, 0)"
+    word = lambda at: f"({byte(f'{at} + 1')} + ({byte(f'{at} + 2')} << 8) + ({byte(f'{at} + 3')} << 16) + ({byte(f'{at} + 4')} << 24))"
+    one = lambda k: times(f"xor({k}, {k} >> 24)")
+    words = f"list_transform(range(length({key}) // 4), lambda i: {times(word('4 * i'))})"
+    start = f"xor(2538058380::UBIGINT, length({key})::UBIGINT)"
+    whole = f"list_reduce({words}, lambda h, k: xor({times('h')}, {one('k')}), {start})"
+    tail = f"(4 * (length({key}) // 4))"
+    ended = f"list_reduce([{whole}], lambda h, x: CASE WHEN length({key}) % 4 > 0 THEN {times(f'xor(x, {word(tail)})')} ELSE x END, 0::UBIGINT)"
+    last = f"list_reduce([{ended}], lambda h, x: {times('xor(x, x >> 13)')}, 0::UBIGINT)"
+    return f"list_reduce([{last}], lambda h, x: xor(x, x >> 15), 0::UBIGINT)"
+
+
 def _bucket(key: str, rate: float, burst: int) -> str:
     """A token bucket for each key, one request after the other."""
     refilled = f"least(cast({burst} AS double), b.tokens + greatest(0, q.ms - b.since) * cast('{rate!r}' AS double) / 1000)"
@@ -132,6 +147,10 @@ ORACLES: dict[str, str] = {
         "reconcile_repeated": "SELECT event_id, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1",
         "replay_equals_original": "SELECT unnest(['leaderboard', 'funnel', 'retention']) AS view, cast(0 AS bigint) AS n_different",
         "keyed_log": "SELECT coalesce(session_id, actor_id, substr(sha256('event|' || n), 1, 8) || '-' || substr(sha256('event|' || n), 9, 4) || '-' || substr(sha256('event|' || n), 13, 4) || '-' || substr(sha256('event|' || n), 17, 4) || '-' || substr(sha256('event|' || n), 21, 12)) AS key, count(*) AS n, cast(1 AS bigint) AS n_files, true AS in_order FROM a GROUP BY 1",
+        "log_offsets": f"""
+            k AS (SELECT coalesce(session_id, actor_id, event_id) AS key FROM a),
+            p AS (SELECT key, {_murmur("key")} & 2147483647 AS h FROM k)
+            SELECT cast(h % 6 AS integer) AS partition, count(*) AS n, cast(0 AS bigint) AS first, count(*) - 1 AS last, count(*) AS n_offsets, count(DISTINCT key) AS n_keys FROM p GROUP BY 1""",
         "stream_raw": f"""{_STREAM_A}
             SELECT project_id, strftime(occurred_at, '%Y-%m-%dT%H') AS time_bucket, epoch_us(occurred_at) // 1000 AS occurred_ms, {_UUID} AS event_id, type, cast(json_extract(payload, '$.k') AS bigint) AS k, session_id, actor_id
             FROM (SELECT *, sha256('event|' || n) AS h FROM sa)""",

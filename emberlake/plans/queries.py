@@ -436,6 +436,18 @@ def keyed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("late", late).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"), (F.count_if("late") == 0).alias("in_order"))
 
 
+@query
+def log_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events produced in two appends and read as a stream's reader would: each partition's offsets and keys."""
+    path = shared.new_path(spark, "log")
+    events = tables.accepted(spark, sf_dir)
+    second = F.col("event_id").cast("long") % 3 == 0
+    for part in (events.filter(~second), events.filter(second)):
+        log.append_log(spark, part, path, 6)
+    read = log.replay_files(spark, path)
+    return read.groupBy("partition").agg(F.count("*").alias("n"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.count_distinct("offset").alias("n_offsets"), F.count_distinct("key").alias("n_keys"))
+
+
 # streams
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from emberlake import schema
 from emberlake.functions import keys
-from emberlake.operators import rawstore
+from emberlake.operators import ranges, rawstore
+from emberlake.sources import shared
 
 
 def _columns(kafka: DataFrame) -> DataFrame:
@@ -41,6 +42,25 @@ def keyed_records(events: DataFrame) -> DataFrame:
     return raw.select(keys.partition_key(F.col("session_id"), F.col("actor_id"), F.col("event_id")).alias("key"), rawstore.envelope().alias("value"), "occurred_at")
 
 
+def append_log(spark: SparkSession, events: DataFrame, path: str, partitions: int, topic: str = "raw-events") -> None:
+    """Adds events to a log of files whose records have a partition and an offset, as a broker gives them.
+
+    A record's partition is that of its key by the log's own hash, so any producer puts it there. Offsets are dense: they go
+    on after the greatest that the partition has, in the order of event time, then of event id. Records are placed by
+    ranges, so a partition that one key fills is numbered by many tasks; only one number of each partition is read before.
+    The log has one writer at a time. ``stream_files`` and ``replay_files`` read it as it stands.
+    """
+    made = keyed_records(events).withColumns({"topic": F.lit(topic), "partition": keys.key_partition(F.col("key"), partitions)})
+    numbered = placed = ranges.placed(made, [("occurred_at", True), ("value", True)], "partition")
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
+        ends = replay_files(spark, path).groupBy(F.col("partition").alias("its_partition")).agg((F.max("offset") + 1).alias("begin"))
+        placed = placed.join(F.broadcast(ends), F.col("partition") == F.col("its_partition"), "left").withColumn("place", F.col("place") + F.coalesce("begin", F.lit(0)))
+    rows = placed.withColumn("offset", F.col("place").cast("long")).select(*schema.LOG.names)
+    rows.sortWithinPartitions("partition", "offset").write.mode("append").json(path)
+    shared.discard(numbered)
+
+
 def write_log(events: DataFrame, path: str, partitions: int, fmt: str = "json") -> None:
     """Records of one key in one file, in the order of event time."""
     records = keyed_records(events).repartition(partitions, "key").sortWithinPartitions("key", "occurred_at")

@@ -100,3 +100,26 @@ def test_argument_checks():
     for bad in ("daily", "2026-13-01"):
         with pytest.raises(ValueError):
             leaderboard.check_period(bad)
+
+
+def test_key_hash_is_that_of_the_log(spark):
+    """Published values of the hash for some keys, as signed numbers."""
+    known = {"21": -973932308, "foobar": -790332482, "a-little-bit-long-string": -985981536, "a-little-bit-longer-string": -1486304829, "abc": 479470107}
+    rows = spark.createDataFrame([(k,) for k in known], "key string").select("key", keys.key_hash(F.col("key")).alias("h"), keys.key_partition(F.col("key"), 6).alias("p")).collect()
+    assert {r["key"]: r["h"] - (1 << 32) * (r["h"] >> 31) for r in rows} == known
+    assert all(r["p"] == (r["h"] & 0x7FFFFFFF) % 6 for r in rows)
+
+
+def test_appended_log_has_dense_offsets(spark, tmp_path):
+    from emberlake.sources import log
+    from emberlake.sources.tables import accepted
+
+    events = accepted(spark, "/root/testdata/sf0.001").withColumn("session_id", F.when(F.col("event_id").cast("long") % 3 == 0, "hot").otherwise(F.col("session_id")))
+    for k in range(3):
+        log.append_log(spark, events.filter(F.col("event_id").cast("long") % 3 == k), f"file://{tmp_path}/log", 4)
+    read = log.replay_files(spark, f"file://{tmp_path}/log")
+    rows = read.groupBy("partition").agg(F.collect_list("offset").alias("o")).collect()
+    assert all(sorted(r["o"]) == list(range(len(r["o"]))) for r in rows) and sum(len(r["o"]) for r in rows) == events.count()
+    assert read.groupBy("key").agg(F.count_distinct("partition").alias("n")).agg(F.max("n")).first()[0] == 1
+    late = read.filter("key = 'hot'").select("offset", F.get_json_object("value", "$.occurredAt").alias("at")).orderBy("offset").collect()
+    assert [r["at"] for r in late] == sorted(r["at"] for r in late)
