@@ -23,8 +23,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm import ranges
 from emberlake.llm.common import discard, quoted, reads, written
+from emberlake.operators import ranges
 
 BUCKETS = 10_000
 LONGEST = 3

@@ -20,8 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm import ranges
 from emberlake.llm.common import discard, quoted, reads, small, written
+from emberlake.operators import ranges
 
 ARITY = 8
 #: Leaves of a partition at most.
