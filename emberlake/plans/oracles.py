@@ -112,6 +112,7 @@ ORACLES: dict[str, str] = {
         "activity_days": _DAYS,
         "retention_cohorts": f"SELECT project_id, actor_id, min(active_period) AS cohort FROM ({_DAYS}) GROUP BY ALL",
         "retention_matrix": f"{_MATRIX} SELECT * FROM m",
+        "retention_bitmaps": f"{_MATRIX} SELECT * FROM m",
         "retention_cohort_sizes": f"{_MATRIX} SELECT cohort, coalesce(max(actors) FILTER (WHERE day_offset = 0), 0) AS size, count(*) AS n_offsets, string_agg(cast(day_offset AS varchar) || ':' || cast(actors AS varchar), ',' ORDER BY day_offset) AS offsets FROM m GROUP BY cohort",
         "raw_upsert": _RAW,
         "raw_window": f"{_RAW_WINDOW} LIMIT 50",

@@ -165,6 +165,15 @@ def retention_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.retention_matrix(retention.active_days(tables.accepted(spark, sf_dir)), PROJECT, "2024-01-01", "2024-01-14")
 
 
+@query
+def retention_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix from bitmaps of days that were merged from two halves of the events, the later days first."""
+    events = tables.accepted(spark, sf_dir)
+    late = F.col("occurred_at") >= F.lit("2024-01-09 00:00:00").cast("timestamp")
+    halves = [retention.day_words(retention.active_days(events.filter(part))) for part in (late, ~late)]
+    return retention.matrix_from_words(retention.merge_words(*halves), PROJECT, "2024-01-01", "2024-01-14")
+
+
 @query
 def retention_cohort_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = retention.nested_cohorts(retention_matrix(spark, sf_dir))

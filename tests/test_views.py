@@ -187,3 +187,18 @@ def test_reconcile(spark):
     assert reconcile.status(ids("a"), ids("a")).first()["status"] == "clean"
     assert rows(reconcile.lost(ids("a", "b"), ids("a")), "event_id") == [("b",)]
     assert rows(reconcile.repeated(ids("a", "a", "b")), "event_id", "n") == [("a", 2)]
+
+
+def test_matrix_from_bitmaps(spark):
+    """The same as from days: over words, before 1970 alike, and with days that come late, twice, or before the first."""
+    import random
+
+    rng = random.Random(9)
+    days = [(f"a{a}", f"{y}-{m:02d}-{rng.randrange(1, 29):02d}") for a in range(60) for y, m in ((1969, 12), (2024, 1), (2024, 2), (2024, 3)) for _ in range(rng.randrange(4)) if y > 2000 or a < 3]
+    made = lambda rows: spark.createDataFrame([("g", a, d) for a, d in rows], "project_id string, actor_id string, day string").select("project_id", "actor_id", F.to_date("day").alias("active_period"))
+    rng.shuffle(days)
+    half = len(days) // 2
+    words = retention.merge_words(retention.day_words(made(days[:half])), retention.day_words(made(days[half // 2 :])))
+    for start, end, most in (("2024-01-01", "2024-03-31", 90), ("2024-01-10", "2024-01-12", 0), ("1969-12-01", "1969-12-31", 7)):
+        want = retention.retention_matrix(made(days).distinct(), "g", start, end, most).collect()
+        assert retention.matrix_from_words(words, "g", start, end, most).collect() == want and want
