@@ -147,6 +147,10 @@ ORACLES: dict[str, str] = {
         "reconcile_lost": "SELECT event_id FROM a WHERE n % 9 = 0",
         "reconcile_repeated": "SELECT event_id, count(*) AS n FROM d GROUP BY 1 HAVING count(*) > 1",
         "replay_equals_original": "SELECT unnest(['leaderboard', 'funnel', 'retention']) AS view, cast(0 AS bigint) AS n_different",
+        "replay_digests": f"""
+            t AS (SELECT * FROM d WHERE n % 990 <> 7 AND (attempt = 0 OR n % 700 = 0)),
+            x AS ({_MINUTE}), y AS ({_MINUTE.replace('FROM a', 'FROM t')})
+            SELECT *, 'left' AS only_in, 'torn' AS against FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL SELECT *, 'right', 'torn' FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)""",
         "keyed_log": "SELECT coalesce(session_id, actor_id, substr(sha256('event|' || n), 1, 8) || '-' || substr(sha256('event|' || n), 9, 4) || '-' || substr(sha256('event|' || n), 13, 4) || '-' || substr(sha256('event|' || n), 17, 4) || '-' || substr(sha256('event|' || n), 21, 12)) AS key, count(*) AS n, cast(1 AS bigint) AS n_files, true AS in_order FROM a GROUP BY 1",
         "log_offsets": f"""
             k AS (SELECT coalesce(session_id, actor_id, event_id) AS key FROM a),

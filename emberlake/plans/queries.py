@@ -435,6 +435,19 @@ def replay_equals_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, out)
 
 
+@query
+def replay_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts by the minute against themselves and against those of a log that lost and repeated some events, by digests."""
+    everything, again = tables.accepted(spark, sf_dir), tables.deliveries(spark, sf_dir)
+    n = F.col("event_id").cast("long")
+    key = ["project_id", "time_bucket", "event_type"]
+    whole = counts.count_events(everything, "minute")
+    torn = counts.count_events(again.filter((n % 990 != 7) & ((F.col("attempt") == 0) | (n % 700 == 0))), "minute")
+    found = reconcile.difference_by_digests(whole, torn, key).withColumn("against", F.lit("torn"))
+    same = reconcile.difference_by_digests(whole, counts.count_events(everything, "minute"), key).withColumn("against", F.lit("itself"))
+    return found.unionByName(same)
+
+
 @query
 def keyed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events written as a log and read again: how many each key has, in how many files, and whether in order of time."""

@@ -202,3 +202,18 @@ def test_matrix_from_bitmaps(spark):
     for start, end, most in (("2024-01-01", "2024-03-31", 90), ("2024-01-10", "2024-01-12", 0), ("1969-12-01", "1969-12-31", 7)):
         want = retention.retention_matrix(made(days).distinct(), "g", start, end, most).collect()
         assert retention.matrix_from_words(words, "g", start, end, most).collect() == want and want
+
+
+def test_difference_by_digests(spark):
+    """As by rows: lost, repeated and changed rows, nulls that change places, and equal states that move no rows."""
+    rows = [(k % 40, None if k % 7 == 0 else str(k), k) for k in range(600)]
+    state = spark.createDataFrame(rows, "key long, text string, n long")
+    other = spark.createDataFrame([*rows[5:], rows[9], rows[9], (3, "new", 1), (None, "3", 3)], "key long, text string, n long")
+    sort = lambda df: sorted(map(str, df.collect()))
+    assert sort(reconcile.difference_by_digests(state, other, ["key"])) == sort(reconcile.difference(state, other))
+    swapped = spark.createDataFrame([(1, None)], "a int, b int"), spark.createDataFrame([(None, 1)], "a int, b int")
+    assert reconcile.difference_by_digests(*swapped, ["a"]).count() == 2
+    assert reconcile.ranges_apart(state, state.repartition(7), ["key"], 10) == []
+    same = reconcile.difference_by_digests(state, state.repartition(7), ["key"])
+    assert same.count() == 0 and "LogicalRDD" not in same._jdf.queryExecution().optimizedPlan().toString()  # nothing is read
+    assert 0 < len(reconcile.ranges_apart(state, other, ["key"], 10)) <= 40
