@@ -8,7 +8,8 @@ of a band's key is settled once it was compared or its texts are in one group an
 and then takes the groups of all matches so far; keys whose members are all in one group are done. Keys of up to ALL_PAIRS
 members have all their pairs compared that lie in different groups. In larger keys others are compared with two hubs: first
 a random one of each key, then the member of most links: whichever copies of one text were drawn first, all are linked to
-that text, so it is the next hub. A large key that is still open is dealt anew, under SUB_KEYS keys of five more hashes each; its members are
+that text, so it is the next hub. Once all pairs that are open are few beside the texts, all of them are compared, whatever
+key they are of, and that is the end. Till then a large key that is still open is dealt anew, under SUB_KEYS keys of five more hashes each; its members are
 mostly unlike, and fall apart. Rows grow with members, and no link is given up.
 """
 
@@ -30,6 +31,8 @@ BANDS, BAND_ROWS = 20, 5
 #: Keys of so many members at most have all pairs compared; in the first round, of so many.
 ALL_PAIRS, FIRST_PAIRS = 32, 16
 SUB_KEYS = 8
+#: All pairs of all open keys are compared when they are this many for each different text at most.
+PAIRS_A_TEXT = 4
 #: Keys that are large and open after so many deals hold texts of equal sketches that are unlike: all pairs are compared.
 DEEPEST = 10
 #: Least hashes that two texts have in common to be compared: at 0.8 fewer have a probability of 1e-9.
@@ -176,7 +179,7 @@ def groups_of(rows: DataFrame, different: DataFrame, similarity: float = SIMILAR
     nodes = different.select(F.col("row").alias("node"), "sketch")
     bands = nodes.select("node", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     members = _counted(bands.select(F.xxhash64("band", F.slice("sketch", F.col("band") * BAND_ROWS + 1, F.lit(BAND_ROWS))).alias("key"), "node"))
-    balls = ball_pairs(different.select("row", "fp"))
+    balls, n_texts = ball_pairs(different.select("row", "fp")), different.count()
     # in the first round each text is a group of its own; small keys are settled by it
     still = members.filter(F.col("n") > FIRST_PAIRS)
     hub = F.min(F.struct(F.xxhash64("node", "key").alias("draw"), F.col("node").alias("hub"))).alias("first")
@@ -204,7 +207,7 @@ def groups_of(rows: DataFrame, different: DataFrame, similarity: float = SIMILAR
         degrees = functools.reduce(DataFrame.unionByName, links).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         if number == 1:  # the copies of one text mostly end here
             pairs, still, done = _hub_pairs(opened, degrees, number), opened.select("key", "n", "node"), [opened]
-        elif number > DEEPEST:
+        elif number > DEEPEST or opened.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * (m - 1) div 2"))).first()[0] <= PAIRS_A_TEXT * n_texts:
             pairs, still, done = _all_pairs(opened), large.select("key", "n", "node").limit(0), [opened]
         else:
             anew = _counted(_dealt_anew(large, nodes, number))

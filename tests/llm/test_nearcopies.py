@@ -110,6 +110,7 @@ def test_hubs_and_new_keys_find_what_all_pairs_find(spark, monkeypatch):
     rng = random.Random(12)
     monkeypatch.setattr(nearcopies, "ALL_PAIRS", 6)
     monkeypatch.setattr(nearcopies, "FIRST_PAIRS", 4)
+    monkeypatch.setattr(nearcopies, "PAIRS_A_TEXT", 0)
     shared = words_of(rng, 150)
     unlike = [shared + words_of(rng, 90) for _ in range(40)]
     kept, want = kept_and_wanted(spark, star(rng, 40) + unlike + chain(rng, 20))
