@@ -32,10 +32,15 @@ def score_events(events: DataFrame) -> DataFrame:
     return found.filter("player_id != '' and score is not null and not isnan(score) and abs(score) < double('Infinity')")
 
 
-def best_scores(scores: DataFrame) -> DataFrame:
-    """(project_id, period, player_id, score): each score feeds the all-time and its day's board in one pass."""
+def board_scores(scores: DataFrame) -> DataFrame:
+    """(project_id, period, player_id, score): each score once for the all-time board and once for its day's."""
     periods = F.explode(F.array(F.lit(ALL_TIME), time.day_period(F.col("occurred_at")))).alias("period")
-    return scores.select("project_id", periods, "player_id", "score").groupBy("project_id", "period", "player_id").agg(F.max("score").alias("score"))
+    return scores.select("project_id", periods, "player_id", "score")
+
+
+def best_scores(scores: DataFrame) -> DataFrame:
+    """The greatest score of each player on each board: each score feeds the all-time and its day's board in one pass."""
+    return best_of(board_scores(scores))
 
 
 def best_of(boards: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from emberlake.functions import keys, time
 from emberlake.operators import counts, deadletter, dedup, envelope, funnel, ingest, leaderboard, quota, rawstore, reconcile, registry, retention
 from emberlake.schema import struct
 from emberlake.sources import log, shared, tables
-from emberlake.streaming import windows
+from emberlake.streaming import ranks, windows
 from emberlake.streaming.store import Table
 from emberlake.streaming.views import Views, rebuild
 
@@ -595,6 +595,20 @@ def stream_failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.by_hour.state().select(F.concat_ws("/", "project_id", "time_bucket", "event_type").alias("name"), F.col("count").alias("n")).unionByName(attempts)
 
 
+@query
+def stream_player_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of some players, all-time and of one day, from an order index that a stream keeps in three batches."""
+    root = shared.new_path(spark, "ranks")
+    rows = _log(spark, sf_dir, True)
+    for k in range(3):
+        rows.filter(F.pmod(F.xxhash64("offset"), F.lit(3)) == k).coalesce(1).write.mode("append").json(f"{root}/log")
+    events = envelope.parsed(log.stream_files(spark, f"{root}/log", files_per_batch=1)).filter("size(issues) = 0").select("event.*")
+    index = ranks.RankIndex(spark, root)
+    index.run(leaderboard.board_scores(leaderboard.score_events(events)), f"{root}/checkpoint").awaitTermination()
+    asked = [(f"game-{user % 4}", f"u{user}", period) for user in (5, 9, 14) for period in (leaderboard.ALL_TIME, "2024-01-10")]
+    return functools.reduce(DataFrame.unionByName, (index.rank(*one) for one in asked))
+
+
 @query
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by tumbling windows in update mode, kept as the last update of each window: late events correct theirs."""
