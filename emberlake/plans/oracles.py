@@ -160,6 +160,7 @@ ORACLES: dict[str, str] = {
             SELECT project_id, strftime(occurred_at, '%Y-%m-%dT%H') AS time_bucket, epoch_us(occurred_at) // 1000 AS occurred_ms, {_UUID} AS event_id, type, cast(json_extract(payload, '$.k') AS bigint) AS k, session_id, actor_id
             FROM (SELECT *, sha256('event|' || n) AS h FROM sa)""",
         "stream_leaderboard": f"{_STREAM_A} {_BEST.format(rows='sa')}",
+        "stream_log_source": f"{_STREAM_A} {_HOUR.replace('FROM a', 'FROM sa')}",
         "stream_player_rank": f"{_STREAM_A} SELECT project_id, period, player_id, cast(rank AS bigint) AS rank, score FROM (SELECT *, {_RANK} AS rank FROM ({_BEST.format(rows='sa')})) WHERE period IN ('alltime', '2024-01-10') AND player_id IN ('u5', 'u9', 'u14')",
         "stream_retention": f"{_STREAM_A} {_DAYS.replace('FROM a ', 'FROM sa ')}",
         "stream_all_views": f"""{_STREAM_A}

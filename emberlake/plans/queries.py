@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from emberlake.functions import keys, time
 from emberlake.operators import counts, deadletter, dedup, envelope, funnel, ingest, leaderboard, quota, rawstore, reconcile, registry, retention
 from emberlake.schema import struct
-from emberlake.sources import log, shared, tables
+from emberlake.sources import log, segments, shared, tables
 from emberlake.streaming import ranks, windows
 from emberlake.streaming.store import Table
 from emberlake.streaming.views import Views, rebuild
@@ -595,6 +595,19 @@ def stream_failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.by_hour.state().select(F.concat_ws("/", "project_id", "time_bucket", "event_type").alias("name"), F.col("count").alias("n")).unionByName(attempts)
 
 
+@query
+def stream_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by the hour from a log read by its offsets: one append, then a restart from the checkpoint after another."""
+    root = shared.new_path(spark, "views")
+    records = _log(spark, sf_dir).withColumnRenamed("offset", "no").drop("partition")
+    for k in range(2):
+        log.append_records(spark, records.filter(F.col("no") % 2 == k), f"{root}/log", 6, [("no", True)])
+        segments.publish(spark, f"{root}/log")
+        views = Views(spark, root, only=("counts",))
+        views.run(segments.stream(spark, f"{root}/log"), f"{root}/checkpoint").awaitTermination()
+    return views.by_hour.state()
+
+
 @query
 def stream_player_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of some players, all-time and of one day, from an order index that a stream keeps in three batches."""

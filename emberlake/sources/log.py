@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,15 +43,20 @@ def keyed_records(events: DataFrame) -> DataFrame:
 
 
 def append_log(spark: SparkSession, events: DataFrame, path: str, partitions: int, topic: str = "raw-events") -> None:
-    """Adds events to a log of files whose records have a partition and an offset, as a broker gives them.
+    """Adds events to a log of files, in the order of event time, then of the record (``append_records``)."""
+    append_records(spark, keyed_records(events).withColumn("topic", F.lit(topic)), path, partitions, [("occurred_at", True), ("value", True)])
+
+
+def append_records(spark: SparkSession, records: DataFrame, path: str, partitions: int, order: Sequence[tuple[str, bool]]) -> None:
+    """Adds records (key, value, topic, and what ``order`` names) to a log of files, with a partition and an offset as a broker gives them.
 
     A record's partition is that of its key by the log's own hash, so any producer puts it there. Offsets are dense: they go
-    on after the greatest that the partition has, in the order of event time, then of event id. Records are placed by
+    on after the greatest that the partition has, in ``order``. Records are placed by
     ranges, so a partition that one key fills is numbered by many tasks; only one number of each partition is read before.
     The log has one writer at a time. ``stream_files`` and ``replay_files`` read it as it stands.
     """
-    made = keyed_records(events).withColumns({"topic": F.lit(topic), "partition": keys.key_partition(F.col("key"), partitions)})
-    numbered = placed = ranges.placed(made, [("occurred_at", True), ("value", True)], "partition")
+    made = records.withColumn("partition", keys.key_partition(F.col("key"), partitions))
+    numbered = placed = ranges.placed(made, order, "partition")
     store = spark._jvm.org.apache.hadoop.fs.Path(path)
     if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
         ends = replay_files(spark, path).groupBy(F.col("partition").alias("its_partition")).agg((F.max("offset") + 1).alias("begin"))
