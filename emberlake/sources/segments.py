@@ -8,14 +8,19 @@ that pyarrow's file systems open, on the driver and on all executors.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from emberlake import schema
+from emberlake.schema import LOG
+
+# the processes that plan a stream's batches see none of the session's Python files, so they are sent this module's code
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NAME, INDEX = "emberlake_log", "_segments"
 #: Records of a log that are handed to Spark at once.
@@ -59,7 +64,7 @@ def publish(spark: SparkSession, path: str) -> int:
     known = {row["file"] for row in index(path)}
     fresh = [name for name in _names(path) if name[0] not in "_." and name not in known]
     if fresh:
-        rows = spark.read.schema(schema.LOG).json([f"{path}/{name}" for name in fresh]).select(F.col("_metadata.file_name").alias("file"), "partition", "offset")
+        rows = spark.read.schema(LOG).json([f"{path}/{name}" for name in fresh]).select(F.col("_metadata.file_name").alias("file"), "partition", "offset")
         spans = rows.groupBy("file", "partition").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
         spans.coalesce(1).write.json(f"{path}/{INDEX}/{len(_names(f'{path}/{INDEX}')):08d}")  # a row for each file and partition
     return len(fresh)
@@ -86,7 +91,7 @@ def _records(span: Span) -> Iterator:
     import pyarrow as pa
 
     store, at = _store(span.path)
-    columns, types = schema.LOG.names, pa.schema([("key", pa.string()), ("value", pa.string()), ("topic", pa.string()), ("partition", pa.int32()), ("offset", pa.int64())])
+    columns, types = LOG.names, pa.schema([("key", pa.string()), ("value", pa.string()), ("topic", pa.string()), ("partition", pa.int32()), ("offset", pa.int64())])
     rows: list[dict] = []
     with store.open_input_stream(at) as f:
         for line in _lines(f):
@@ -181,7 +186,7 @@ class Log(DataSource):
         return NAME
 
     def schema(self) -> StructType:
-        return schema.LOG
+        return LOG
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Whole(self.options["path"])

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import functools
 import operator
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,10 +27,14 @@ from emberlake.sources import shared
 from emberlake.streaming import windows
 from emberlake.streaming.store import Batches, Commits
 
+# processes that start a stream's states see none of the session's Python files, so they are sent this module's code
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEY = ["project_id", "period", "player_id"]
 CHANGES = struct("project_id string, period string, player_id string, old_score double, score double")
 ENTRIES = struct("project_id string, period string, block long, score double, player_id string, n long")
 COUNTS = struct("project_id string, period string, level int, parent long, block long, n long")
+BEST = struct("score double")
 RANK = struct("project_id string, period string, player_id string, rank long, score double")
 
 
@@ -50,7 +56,7 @@ class Risen(StatefulProcessor):
     """Of each player on a board the best score so far; a better one comes out with the one that it replaces."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", struct("score double"))
+        self.best = handle.getValueState("best", BEST)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803  names of the interface
         score = max(row["score"] for row in rows)

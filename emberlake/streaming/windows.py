@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import math
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,6 +16,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from emberlake.functions import time
 from emberlake.schema import struct
 
+# processes that start a stream's states see none of the session's Python files, so they are sent this module's code
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: The state store that keeps states on disk, key by key, and lets them expire.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,6 +74,10 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+#: The state of a key that was seen.
+SEEN = struct("marked int")
+
+
 class FirstSights(StatefulProcessor):
     """Of each key the first row; the key is kept until its time to live is over, and duplicates don't extend it."""
 
@@ -76,7 +85,7 @@ class FirstSights(StatefulProcessor):
         self.ttl_ms, self.order, self.always = ttl_ms, order, always
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", struct("marked int"), self.ttl_ms)
+        self.seen = handle.getValueState("seen", SEEN, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803  names of the interface
         first = None
