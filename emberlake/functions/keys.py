@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberlake.functions.binding import let
+
 
 def actor_key(actor_id: Column, session_id: Column) -> Column:
     """Who did it: the actor, else the session, else null (funnels and retention skip the event)."""
@@ -52,29 +54,35 @@ _TIMES, _SEED, _WORD = 0x5BD1E995, 0x9747B28C, 0xFFFFFFFF
 def _times(x: Column) -> Column:
     """A 32-bit number times the multiplier, modulo 2 to the 32nd: by halves, as the product has no long."""
     low, high = _TIMES & 0xFFFF, _TIMES >> 16
-    return (x * F.lit(low) + F.shiftleft((x * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_WORD))
+    return let(x, lambda x: (x * F.lit(low) + F.shiftleft((x * F.lit(high)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_WORD)))
+
+
+def _folded(x: Column, bits: int) -> Column:
+    return let(x, lambda x: x.bitwiseXOR(F.shiftright(x, bits)))
 
 
 def key_hash(key: Column) -> Column:
-    """The 32-bit hash by which the log's producers deal keys: Murmur2 over the UTF-8 bytes."""
-    data = F.hex(key.cast("binary"))
-    n = F.octet_length(key)
-
-    def word(at: Column, width: Column | int) -> Column:
-        """Up to four bytes from a place on, the first the lowest; absent ones are 0."""
-        byte = lambda k: F.coalesce(F.conv(F.nullif(F.substring(data, 2 * (at + k) + 1, F.lit(2)), F.lit("")), 16, 10).cast("long"), F.lit(0).cast("long"))
-        return byte(0) + F.shiftleft(byte(1), 8) + F.shiftleft(byte(2), 16) + F.shiftleft(byte(3), 24)
-
-    def mixed(h: Column, at: Column) -> Column:
-        k = _times(word(at * 4, 4))
-        return _times(h).bitwiseXOR(_times(k.bitwiseXOR(F.shiftright(k, 24))))
-
-    whole = F.floor(n / 4).cast("int")
-    start = F.lit(_SEED).bitwiseXOR(n.cast("long"))
-    h = F.aggregate(F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>")), start, mixed)
-    h = F.when(n % 4 > 0, _times(h.bitwiseXOR(word(whole * 4, 4)))).otherwise(h)
-    h = _times(h.bitwiseXOR(F.shiftright(h, 13)))
-    return h.bitwiseXOR(F.shiftright(h, 15))
+    """The 32-bit hash by which the log's producers deal keys: Murmur2 over the UTF-8 bytes.
+
+    What a step uses twice is bound first: written out, each step would double all those before it.
+    """
+    start = F.lit(_SEED)
+
+    def word(data: Column, at: Column) -> Column:
+        """The bytes of a place's word that are there, the first the lowest."""
+        byte = lambda k: F.substring(data, 8 * at + (2 * k + 1), F.lit(2))
+        return F.conv(F.concat(*map(byte, (3, 2, 1, 0))), 16, 10).cast("long")
+
+    def hashed(data: Column) -> Column:
+        n = F.length(data) / 2
+        whole = F.floor(n / 4).cast("int")
+        mixed = lambda h, at: _times(h).bitwiseXOR(_times(_folded(_times(word(data, at)), 24)))
+        words = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
+        h = F.aggregate(words, start.bitwiseXOR(n.cast("long")), mixed)
+        h = let(h, lambda h: F.when(n % 4 > 0, _times(h.bitwiseXOR(word(data, whole)))).otherwise(h))
+        return _folded(_times(_folded(h, 13)), 15)
+
+    return let(F.hex(key.cast("binary")), hashed)
 
 
 def key_partition(key: Column, partitions: int) -> Column:
