@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.functions import keys, time
-from emberlake.functions.binding import let
+from emberlake.functions.binding import bound
 from emberlake.schema import SCHEMA_VERSION
 
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -89,24 +89,20 @@ def parsed(rows: DataFrame, value: str = "value", client: bool = False) -> DataF
 
     An envelope with unknown keys is invalid; of a client's input (``client``) unknown keys are ignored.
     """
-
     names = CLIENT_FIELDS if client else FIELDS
-
-    def checked(v: Column, r: Column) -> Column:
-        fields, found = _checked(r, client)
-        if not client:
-            unknown = F.size(F.array_except(F.json_object_keys(value), F.array(*map(F.lit, FIELDS)))) > 0
-            found.append(issue(unknown, "(root)", "Unrecognized key(s) in object"))
-        root = ~F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")
-        none = F.array(F.struct(F.lit("(root)").alias("field"), F.lit("Expected object").alias("reason")))
-        issues = F.when(root, none).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull()))
-        event = F.struct(*(c.alias(n) for n, c in fields.items()))
-        return let(issues, lambda i: F.struct(i.alias("issues"), F.when(F.size(i) == 0, event).alias("event")))
-
-    # each step is bound once: the parsed text, the fields looked up in it, the times among them
-    bound = let(F.try_parse_json(value), lambda v: let(_read(v, names), lambda r: let(_with_times(r, names), lambda t: checked(v, t))))
-    out = rows.withColumn("__checked", bound)
-    return out.withColumns({"issues": F.col("__checked.issues"), "event": F.col("__checked.event")}).drop("__checked")
+    # each step is bound once: the parsed text, the fields looked up in it, the times among them, the issues
+    out = bound(rows, "__v", F.try_parse_json(value))
+    out = bound(out, "__fields", _read(F.col("__v"), names))
+    out = bound(out, "__read", _with_times(F.col("__fields"), names))
+    fields, found = _checked(F.col("__read"), client)
+    if not client:
+        unknown = F.size(F.array_except(F.json_object_keys(value), F.array(*map(F.lit, FIELDS)))) > 0
+        found.append(issue(unknown, "(root)", "Unrecognized key(s) in object"))
+    root = ~F.coalesce(F.schema_of_variant("__v"), F.lit("")).startswith("OBJECT")
+    none = F.array(F.struct(F.lit("(root)").alias("field"), F.lit("Expected object").alias("reason")))
+    out = bound(out, "issues", F.when(root, none).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    out = bound(out, "event", F.when(F.size("issues") == 0, F.struct(*(c.alias(n) for n, c in fields.items()))))
+    return out.drop("__v", "__fields", "__read")
 
 
 def stamped(client_events: DataFrame, project_id: str = "project_id", received_at: str = "received_at", coordinates: tuple[str, ...] = ("topic", "partition", "offset")) -> DataFrame:
@@ -129,6 +125,11 @@ def stamped(client_events: DataFrame, project_id: str = "project_id", received_a
 
 def split(rows: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Valid events (flat, with the record's coordinates) and invalid records with their issues: nothing is blocked."""
-    checked = parsed(rows, value)
-    good = checked.filter("event is not null").select(*(c for c in rows.columns if c != value), "event.*")
+    return parted(parsed(rows, value), value)
+
+
+def parted(checked: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``split`` of rows that were parsed: who reads both sides writes ``checked`` before, as each reads it anew."""
+    kept = (c for c in checked.columns if c not in (value, "issues", "event"))
+    good = checked.filter("event is not null").select(*kept, "event.*")
     return good, checked.filter("event is null").drop("event")

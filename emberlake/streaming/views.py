@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from emberlake import schema
 from emberlake.operators import counts, deadletter, dedup, envelope, funnel, leaderboard, rawstore, retention
+from emberlake.sources import shared
 from emberlake.streaming import windows
 from emberlake.streaming.store import Batches, Commits, Table
 
@@ -112,8 +113,20 @@ class Views:
         return self.seen.read([d for d in days if d >= first]).filter(F.col("batch_id") != batch_id)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch of log records. Invalid ones go to the dead letters at once and stop nothing."""
-        good, bad = envelope.split(batch)
+        """One micro-batch of log records. Invalid ones go to the dead letters at once and stop nothing.
+
+        What comes of parsing is written first, and all that follows reads it: a batch is read, and told from what its
+        stream's states have seen, once.
+        """
+        parsed = envelope.parsed(batch)
+        checked = shared.written(parsed.withColumn("value", F.when(F.col("event").isNull(), F.col("value"))), "batch")
+        try:
+            self._apply(checked, batch_id)
+        finally:
+            shared.discard(checked)
+
+    def _apply(self, checked: DataFrame, batch_id: int) -> None:
+        good, bad = envelope.parted(checked)
         stamp = F.current_timestamp()
         self.letters.overwrite(deadletter.of_invalid(bad, stamp).withColumns({"batch_id": F.lit(batch_id), "stage": F.lit("validation")}))
         fresh = dedup.first_sight(good)

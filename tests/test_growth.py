@@ -42,3 +42,23 @@ def test_key_hash_has_each_step_once(spark):
 
     for row in names.select("k", keys.key_hash(F.col("k")).alias("h")).collect():
         assert row["h"] == (None if row["k"] is None else murmur(row["k"].encode()))
+
+
+def test_filters_do_not_parse_again(spark):
+    text = _plan(envelope.split(queries._log(spark, SF).drop("offset").select("key", "value"))[0])
+    assert text.count("json_object_keys(") == 1
+
+
+def test_a_batch_is_read_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            reads.add(len(frame))
+            yield frame
+
+    records = queries._log(spark, SF).limit(200)
+    views = Views(spark, f"file://{tmp_path}/views", only=("counts",))
+    views.apply(records.mapInPandas(counted, records.schema), 0)
+    assert reads.value == 200
+    assert views.by_hour.state().agg(F.sum("count")).scalar() is not None and views.letters.read().count() > 0
