@@ -518,11 +518,19 @@ def stream_all_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, (rows.agg(F.count("*").alias("n")).withColumn("view", F.lit(name)) for name, rows in states.items()))
 
 
-def _in_batches(spark: SparkSession, sf_dir: str, root: str, n: int) -> str:
-    """The log in ``n`` files, which a stream reads one by one; deliveries of an event are mostly in different ones."""
-    rows = _log(spark, sf_dir)
+#: Files of one batch of a log, so that its writing is shared by as many tasks.
+FILES = 16
+
+
+def _append(rows: DataFrame, path: str) -> None:
+    """Adds a batch to a log: FILES of them, or fewer if it has fewer rows."""
+    rows.repartition(FILES).write.mode("append").json(path)
+
+
+def _in_batches(rows: DataFrame, root: str, n: int) -> str:
+    """The log in ``n`` batches of FILES, which a stream reads one by one; deliveries of an event are mostly in different ones."""
     for k in range(n):
-        rows.filter(F.pmod(F.xxhash64("offset"), F.lit(n)) == k).coalesce(1).write.mode("append").json(f"{root}/log")
+        _append(rows.filter(F.pmod(F.xxhash64("offset"), F.lit(n)) == k), f"{root}/log")
     return f"{root}/log"
 
 
@@ -532,11 +540,11 @@ def stream_keyed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first records once more."""
     root = shared.new_path(spark, "views")
     for again in (False, True):
-        path = _in_batches(spark, sf_dir, root, 2) if not again else f"{root}/log"
+        path = _in_batches(_log(spark, sf_dir), root, 2) if not again else f"{root}/log"
         if again:
-            _log(spark, sf_dir).filter("offset % 3 = 0").coalesce(1).write.mode("append").json(path)
+            _append(_log(spark, sf_dir).filter("offset % 3 = 0"), path)
         views = Views(spark, root, only=("counts",))
-        views.run_keyed(log.stream_files(spark, path, files_per_batch=1), f"{root}/checkpoint").awaitTermination()
+        views.run_keyed(log.stream_files(spark, path, files_per_batch=FILES), f"{root}/checkpoint").awaitTermination()
     return views.by_hour.state()
 
 
@@ -612,10 +620,8 @@ def stream_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_player_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of some players, all-time and of one day, from an order index that a stream keeps in three batches."""
     root = shared.new_path(spark, "ranks")
-    rows = _log(spark, sf_dir, True)
-    for k in range(3):
-        rows.filter(F.pmod(F.xxhash64("offset"), F.lit(3)) == k).coalesce(1).write.mode("append").json(f"{root}/log")
-    events = envelope.parsed(log.stream_files(spark, f"{root}/log", files_per_batch=1)).filter("size(issues) = 0").select("event.*")
+    path = _in_batches(_log(spark, sf_dir, True), root, 3)
+    events = envelope.parsed(log.stream_files(spark, path, files_per_batch=FILES)).filter("size(issues) = 0").select("event.*")
     index = ranks.RankIndex(spark, root)
     index.run(leaderboard.board_scores(leaderboard.score_events(events)), f"{root}/checkpoint").awaitTermination()
     asked = [(f"game-{user % 4}", f"u{user}", period) for user in (5, 9, 14) for period in (leaderboard.ALL_TIME, "2024-01-10")]
@@ -626,8 +632,8 @@ def stream_player_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by tumbling windows in update mode, kept as the last update of each window: late events correct theirs."""
     root = shared.new_path(spark, "tumbling")
-    path = _in_batches(spark, sf_dir, root, 3)
-    events = envelope.parsed(log.stream_files(spark, path, files_per_batch=1)).filter("size(issues) = 0").select("event.*")
+    path = _in_batches(_log(spark, sf_dir), root, 3)
+    events = envelope.parsed(log.stream_files(spark, path, files_per_batch=FILES)).filter("size(issues) = 0").select("event.*")
     counted = windows.tumbling_counts(events, "hour", "60 days")
     kept = Table(spark, root, "windows", struct("project_id string, time_bucket string, event_type string, count long, batch_id long"), ["batch_id"])
     sink = counted.writeStream.foreachBatch(lambda rows, k: kept.overwrite(rows.withColumn("batch_id", F.lit(k).cast("long")))).outputMode("update")

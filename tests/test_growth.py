@@ -62,3 +62,8 @@ def test_a_batch_is_read_once(spark, tmp_path):
     views.apply(records.mapInPandas(counted, records.schema), 0)
     assert reads.value == 200
     assert views.by_hour.state().agg(F.sum("count")).scalar() is not None and views.letters.read().count() > 0
+
+
+def test_batches_are_written_by_many_tasks(spark, tmp_path):
+    path = queries._in_batches(queries._log(spark, SF), str(tmp_path), 2)
+    assert len(glob.glob(f"{path}/*.json")) == 2 * queries.FILES
