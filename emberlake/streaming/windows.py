@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import json
 import math
 import sys
 from collections.abc import Iterator
@@ -74,45 +75,60 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-#: The state of a key that was seen.
-SEEN = struct("marked int")
+#: Of each key of a bucket the time of its first sight in milliseconds, as JSON.
+SEEN = struct("sights string")
+#: Into how many states the keys are dealt by their hash.
+BUCKETS = 1 << 16
 
 
 class FirstSights(StatefulProcessor):
-    """Of each key the first row; the key is kept until its time to live is over, and duplicates don't extend it."""
+    """Of each key in a bucket the first row; a key is kept until its time to live is over, and duplicates don't extend it."""
 
     def __init__(self, ttl_ms: int, order: tuple[str, ...], always: str | None):
         self.ttl_ms, self.order, self.always = ttl_ms, order, always
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        # what was written last lives longest: a state that is as old holds no living key
         self.seen = handle.getValueState("seen", SEEN, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803  names of the interface
-        first = None
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = self.seen.get()
+        sights = {k: at for k, at in json.loads(held[0]).items() if now < at + self.ttl_ms} if held else {}
+        fresh: dict = {}
         for row in rows:
+            # JSON has text keys alone, so a null key is apart from any text
+            own = "null" if row["__key"] is None else f"/{row['__key']}"
+            known = own in sights
             if self.always and row[self.always]:
                 yield row
-            elif first is None or tuple(row[c] for c in self.order) < tuple(first[c] for c in self.order):
-                first = row
-        if not self.seen.exists():
-            self.seen.update((1,))
-            if first is not None:
-                yield first
+                if not known:
+                    fresh.setdefault(own, None)
+            elif not known:
+                first = fresh.get(own)
+                if first is None or tuple(row[c] for c in self.order) < tuple(first[c] for c in self.order):
+                    fresh[own] = row
+        if fresh:
+            self.seen.update((json.dumps(sights | dict.fromkeys(fresh, now), separators=(",", ":")),))
+            yield from (row for row in fresh.values() if row is not None)
 
     def close(self) -> None:
         pass
 
 
-def first_sights(rows: DataFrame, key: Column, ttl_ms: int, order: tuple[str, ...] = ("partition", "offset"), always: Column | None = None) -> DataFrame:
+def first_sights(rows: DataFrame, key: Column, ttl_ms: int, order: tuple[str, ...] = ("partition", "offset"), always: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The first row of each key within ``ttl_ms`` of processing time from first sight, by ``order`` inside a batch.
 
-    Each key is one small state in RocksDB that expires by itself (start the stream inside ``rocksdb``): a batch touches
-    the states of its own keys and reads nothing of what came before. Rows where ``always`` holds pass whatever was seen,
-    and mark their key. The state moves on with the checkpoint, so a batch that is run again sees what it saw.
+    Keys are dealt to ``buckets`` states in RocksDB by their hash, and each expires by itself (start the stream inside
+    ``rocksdb``): a batch touches the buckets of its own keys, each once, as asking for a state costs far more than reading a
+    hundred keys in it. Nothing else of what came before is read. Rows where ``always`` holds pass whatever was seen, and mark
+    their key. The state moves on with the checkpoint, so a batch that is run again sees what it saw. The number of buckets
+    is fixed for a checkpoint.
     """
-    shown = rows.withColumns({"__key": key, "__always": F.lit(False) if always is None else F.coalesce(always, F.lit(False))})
-    kept = shown.groupBy("__key").transformWithState(FirstSights(ttl_ms, order, "__always"), shown.schema, "Append", "ProcessingTime")
-    return kept.drop("__key", "__always")
+    shown = rows.withColumns({"__key": key.cast("string"), "__always": F.lit(False) if always is None else F.coalesce(always, F.lit(False))})
+    dealt = shown.withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)))
+    kept = dealt.groupBy("__bucket").transformWithState(FirstSights(ttl_ms, order, "__always"), dealt.schema, "Append", "ProcessingTime")
+    return kept.drop("__key", "__always", "__bucket")
 
 
 def token_bucket(requests: DataFrame, rate: float = 50, burst: float = 100, key: str = "api_key", received_at: str = "received_at") -> DataFrame:

@@ -64,6 +64,23 @@ def test_a_batch_is_read_once(spark, tmp_path):
     assert views.by_hour.state().agg(F.sum("count")).scalar() is not None and views.letters.read().count() > 0
 
 
+def test_keys_share_states(spark, tmp_path):
+    """Many keys in few states: over two batches and a restart each key comes once, the least by offset, and null is a key."""
+    rows = [(None if k == 7 else f"k{k % 50}", "v", "t", 0, 1000 - k) for k in range(200)]
+    got = []
+    for part in (rows[:120], rows[80:]):
+        spark.createDataFrame(part, "key string, value string, topic string, partition int, offset long").write.mode("append").json(f"{tmp_path}/log")
+        fresh = windows.first_sights(log.stream_files(spark, f"{tmp_path}/log"), F.col("key"), 3_600_000, buckets=4)
+        with windows.rocksdb(spark):
+            run = fresh.writeStream.foreachBatch(lambda df, k: got.extend(df.select("key", "offset").collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8  # a value and its expiry of each state
+    first = {}
+    for key, *_, offset in rows[:120]:
+        first[key] = min(offset, first.get(key, offset))
+    assert {r["key"]: r["offset"] for r in got} == first and len(got) == len(first) == 51
+
+
 def test_batches_are_written_by_many_tasks(spark, tmp_path):
     path = queries._in_batches(queries._log(spark, SF), str(tmp_path), 2)
     assert len(glob.glob(f"{path}/*.json")) == 2 * queries.FILES
