@@ -46,7 +46,7 @@ def test_key_hash_has_each_step_once(spark):
 
 def test_filters_do_not_parse_again(spark):
     text = _plan(envelope.split(queries._log(spark, SF).drop("offset").select("key", "value"))[0])
-    assert text.count("json_object_keys(") == 1
+    assert text.count("jsonObjectKeys(") == 1
 
 
 def test_a_batch_is_read_once(spark, tmp_path):
