@@ -37,6 +37,8 @@ BLOCKS = (16, 1)
 #: Bytes of texts whose anchors are found at once, and of strings whose suffixes are sorted at once: both bound memory.
 TEXT_BLOCK = 1 << 20
 SORT_BLOCK = 1 << 20
+#: More than the bytes of any stretch.
+SPAN = 2 * LENGTH
 #: Strings of up to this many stretches are sorted together, as rounds go by the longest string.
 FEW = 4
 SEED = 42
@@ -273,15 +275,30 @@ def _solve(parts: DataFrame, fetch, blocks: tuple[int, ...]) -> DataFrame:
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans (begin, end) as maximal ones, in order; those that touch are one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merged(batches: Iterator) -> Iterator:
+    """(row, spans) with the maximal spans (begin, end) of each row, in order; those that touch are one.
+
+    Batches have (row, list), where a span is begin * SPAN + its length.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        lists = batch.column(1)
+        packed = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        order = np.lexsort((packed, owner))
+        packed, owner = packed[order], owner[order]
+        begin, length = packed // SPAN, packed % SPAN
+        # rows one after the other on one line, so that the furthest end so far is never beyond a later row's begin
+        base = owner * (int((begin + length).max(initial=0)) + 1)
+        reach = np.maximum.accumulate(base + begin + length)
+        heads = np.flatnonzero(np.append(True, (base + begin)[1:] > reach[:-1])[: len(packed)])
+        tails = np.append(heads[1:], len(packed))[: len(heads)] - 1
+        spans = pa.StructArray.from_arrays([pa.array(begin[heads]), pa.array((reach - base)[tails])], names=["a", "b"])
+        many = np.bincount(owner[heads], minlength=len(lists))
+        offsets = pa.array(np.append(0, np.cumsum(many)), pa.int32())
+        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, spans)], names=["row", "spans"])
 
 
 def _rows(docs: DataFrame, text_col: str) -> DataFrame:
@@ -289,7 +306,7 @@ def _rows(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, spans) of the texts that have repeated bytes: arrays of (begin, end), several of them may overlap."""
+    """(row, spans) of the texts that have repeated bytes: arrays of the maximal (begin, end), in order."""
     rows = _rows(docs, text_col)
     every = written(rows.mapInArrow(_anchored, "row long, key long, same long, at long, more short, off short"), "stretches")
     twice = written(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "twice")
@@ -305,8 +322,10 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return texts.mapInArrow(_cut_out, "key long, same long, copies long, different int, more short, off short, data binary")
 
     found = _solve(parts, fetch, BLOCKS)
-    where = some.select("row", "at", "key", "same").join(found, ["key", "same"]).select("row", F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") + LENGTH).alias("b")).alias("span"))
-    out = written(where.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")
+    packed = (F.col("at") + F.col("first")) * SPAN + (F.col("last") - F.col("first") + LENGTH)
+    where = some.select("row", "at", "key", "same").join(found, ["key", "same"]).select("row", packed.alias("span"))
+    lists = where.groupBy("row").agg(F.collect_list("span").alias("spans"))
+    out = written(lists.mapInArrow(merged, "row long, spans array<struct<a: long, b: long>>"), "spans")
     discard(some, found)
     return out
 
@@ -318,7 +337,7 @@ def _kept(whole: bool, batches: Iterator) -> Iterator:
         n_bytes, removed, n_spans, digests, texts = [], [], [], [], []
         for text, own in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
             data, at, kept = text.as_py() or b"", 0, []
-            gone = merged([(s["a"], s["b"]) for s in own.as_py() or ()])
+            gone = [(s["a"], s["b"]) for s in own.as_py() or ()]
             for a, b in gone:
                 kept.append(data[at:a])
                 at = b

@@ -130,6 +130,35 @@ def test_no_texts_and_bytes_that_are_not_utf8(spark, tmp_path):
     assert kept[1] == raw[0][1][:32] + b" a" and kept[3] == raw[2][1]
 
 
+def test_spans_merged_against_plain():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    lists = [[(rng.randrange(3000), rng.randrange(N, repeats.SPAN)) for _ in range(rng.choice((0, 1, 2, 5, 20)))] for _ in range(200)]
+    lists += [[(0, N), (N, N)], [(2**31 - N - 1, N)], [(0, N + 1), (0, N)], [(N + 1, N), (0, N)]]
+    want = []
+    for spans in lists:
+        gone = sorted({p for a, n in spans for p in (range(a, a + n) if a < 10_000 else ())})
+        plain = [(a, b + 1) for a, b in repeats.runs(gone)]
+        want.append(plain + [(a, a + n) for a, n in spans if a >= 10_000])
+    kind = pa.list_(pa.int64())
+    packed = pa.array([[a * repeats.SPAN + n for a, n in spans] for spans in lists], kind)
+    whole = pa.record_batch([pa.array(range(len(lists))), packed], names=["row", "spans"])
+    batches = [whole.slice(0, 50), whole.slice(50, 1), whole.slice(51), whole.slice(0, 0)]
+    got = [(r["row"], [(s["a"], s["b"]) for s in r["spans"]]) for b in repeats.merged(iter(batches)) for r in b.to_pylist()]
+    assert got == list(enumerate(want))
+
+
+def test_a_copy_has_one_span(spark, tmp_path):
+    rng = random.Random(9)
+    copy = "".join(rng.choices("abcdefgh ", k=5000))
+    rows = [(1, copy), (2, copy), (3, copy[:2000] + "#" * 150 + copy[3000:]), (4, "".join(rng.choices("abcdefgh ", k=900)))]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    found = repeats.spans(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    got = sorted(sorted((s["a"], s["b"]) for s in r["spans"]) for r in found)
+    assert got == sorted([[(0, 5000)], [(0, 5000)], [(0, 2000), (2150, 4150)]])
+
+
 def test_long_texts_are_taken_in_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "TEXT_BLOCK", 1000)
     import pyarrow as pa
