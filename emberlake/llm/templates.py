@@ -15,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlake.functions.binding import bound
 from emberlake.llm.common import discard, let, reads, small, words, written
 
 FIELD = "<*>"
+#: What a line must hold to differ from its masked form or to have fields, but for spaces; listed one by one, as Java looks single characters up in a table.
+ODD = r"[0123456789<\t\x0B\f\r]"
 DEPTH = 3
 MIN_TEXTS = 10
 SIMILARITY = 0.6
@@ -41,11 +44,11 @@ def masked(line: Column) -> Column:
 
 def n_tokens(line: Column) -> Column:
     """The number of words of a masked line that isn't empty."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1
 
 
-def _leaf(line: Column) -> Column:
-    return F.xxhash64(n_tokens(line), F.substring_index(line, " ", DEPTH))
+def _leaf(line: Column, n_words: Column) -> Column:
+    return F.xxhash64(n_words, F.substring_index(line, " ", DEPTH))
 
 
 def text_lines(text: Column) -> Column:
@@ -53,22 +56,29 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
 
 
-def line_keys(docs: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """(text_id, line_no, leaf, line_id, n_words, raw_id) of every line with a word, once for each different text.
+def masked_lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """(text_id, line_no, line, odd, x) of every line with a word: ``x`` is the masked line, itself where the line isn't ``odd``.
 
-    ``raw_id`` is set for lines of mostly variable fields: it stands for the line's words as they are.
+    Lines become rows before anything is worked out of them, so that Spark compiles the steps, which it can't inside arrays.
     """
+    text, line = F.col(text_col).cast("string"), F.col("line")
+    texts = docs.filter(F.col(text_col).isNotNull()).select(digest(text).alias("text_id"), text.alias("text"))
+    lines = texts.select("text_id", F.posexplode(text_lines(F.col("text"))).alias("line_no", "line"))
+    lines = bound(lines, "odd", line.rlike(ODD) | line.contains("  ") | line.startswith(" ") | line.endswith(" "))
+    return bound(lines, "x", F.when(F.col("odd"), masked(line)).otherwise(line)).filter("x != ''")
 
-    def raw_id(line: Column, x: Column) -> Column:
-        fixed = F.size(F.filter(F.split(x, " "), lambda w: w != FIELD))
-        return F.when(x.contains(FIELD), F.when(fixed < similarity * n_tokens(x), digest(F.array_join(words(line), " "))))
 
-    def keys(line: Column, no: Column) -> Column:
-        return let(masked(line), lambda x: F.when(x != "", F.struct(no.alias("line_no"), _leaf(x).alias("leaf"), digest(x).alias("line_id"), n_tokens(x).alias("n_words"), raw_id(line, x).alias("raw_id"))))
+def line_keys(docs: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(text_id, line_no, leaf, line_id, n_words, raw_id) of every line with a word, once for each different text.
 
-    text = F.col(text_col).cast("string")
-    found = docs.filter(F.col(text_col).isNotNull()).select(digest(text).alias("text_id"), F.explode(F.filter(F.transform(text_lines(text), keys), lambda x: x.isNotNull())).alias("x"))
-    return written(found.select("text_id", "x.*").distinct(), "line-keys")
+    ``raw_id`` is set for lines of mostly variable fields: it stands for the line's words as they are.
+    """
+    x = F.col("x")
+    fixed = F.size(F.filter(F.split(x, " "), lambda w: w != FIELD))
+    raw_id = F.when(F.col("odd") & x.contains(FIELD), F.when(fixed < similarity * F.col("n_words"), digest(F.array_join(words(F.col("line")), " "))))
+    found = bound(masked_lines(docs, text_col), "n_words", n_tokens(x))
+    found = found.select("text_id", "line_no", _leaf(x, F.col("n_words")).alias("leaf"), digest(x).alias("line_id"), "n_words", raw_id.alias("raw_id"))
+    return written(found.distinct(), "line-keys")
 
 
 def _in_texts(keyed: DataFrame, keys: list[str], lines: DataFrame, min_texts: int, tag: str) -> DataFrame:
@@ -98,8 +108,8 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MI
     leaves = _in_texts(counted, ["leaf"], lines, min_texts, "leaves")
     candidates = counted.join(small(leaves), "leaf")
     # only lines of leaves that recur go on; equal lines meet in the aggregation before it shuffles
-    every = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.transform(text_lines(F.col(text_col)), lambda x: let(masked(x), lambda w: F.struct(_leaf(w).alias("leaf"), w.alias("line"))))).alias("x")).select("x.*")
-    spelt = every.filter("line != ''").join(small(leaves), "leaf", "left_semi").groupBy("line").agg(F.lit(1).alias("one")).select(digest(F.col("line")).alias("line_id"), "line")
+    every = masked_lines(docs, text_col).select(_leaf(F.col("x"), n_tokens(F.col("x"))).alias("leaf"), F.col("x").alias("line"))
+    spelt = every.join(small(leaves), "leaf", "left_semi").groupBy("line").agg(F.lit(1).alias("one")).select(digest(F.col("line")).alias("line_id"), "line")
     named = written(candidates.join(spelt, "line_id").select("leaf", "line_id", "n", F.split("line", " ").alias("w")), "named")
 
     beyond = named.select("leaf", "line_id", "n", F.posexplode("w").alias("place", "token")).filter(f"place >= {DEPTH}")
