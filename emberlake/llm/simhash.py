@@ -90,7 +90,7 @@ def ball_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     nodes = prints.select("fp").filter("fp is not null").distinct()
     if not radius:
         return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("a != b")
-    variants = nodes.select("fp", F.explode(F.transform(_masks(radius // 2), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    variants = nodes.select("fp", F.explode(_masks(radius // 2)).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     stars = variants.select("fp", F.expr("min(fp) over (partition by variant)").alias("hub")).filter("fp != hub")
     return stars.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct().filter(f"bit_count(a ^ b) <= {radius}")
 
