@@ -529,8 +529,10 @@ def _append(rows: DataFrame, path: str) -> None:
 
 def _in_batches(rows: DataFrame, root: str, n: int) -> str:
     """The log in ``n`` batches of FILES, which a stream reads one by one; deliveries of an event are mostly in different ones."""
+    made = shared.written(rows, "records")  # made once, not for each batch
     for k in range(n):
-        _append(rows.filter(F.pmod(F.xxhash64("offset"), F.lit(n)) == k), f"{root}/log")
+        _append(made.filter(F.pmod(F.xxhash64("offset"), F.lit(n)) == k), f"{root}/log")
+    shared.discard(made)
     return f"{root}/log"
 
 

@@ -11,6 +11,7 @@ changes of its own players, and parts can be read and folded in any order.
 from __future__ import annotations
 
 import functools
+import json
 import operator
 import sys
 from collections.abc import Iterator
@@ -34,7 +35,8 @@ KEY = ["project_id", "period", "player_id"]
 CHANGES = struct("project_id string, period string, player_id string, old_score double, score double")
 ENTRIES = struct("project_id string, period string, block long, score double, player_id string, n long")
 COUNTS = struct("project_id string, period string, level int, parent long, block long, n long")
-BEST = struct("score double")
+#: Of each player of a board in a bucket the best score, as JSON: floats are read as they were written.
+BEST = struct("scores string")
 RANK = struct("project_id string, period string, player_id string, rank long, score double")
 
 
@@ -53,25 +55,40 @@ def changes(board: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 class Risen(StatefulProcessor):
-    """Of each player on a board the best score so far; a better one comes out with the one that it replaces."""
+    """Of each player in a bucket of boards the best score so far; a better one comes out with the one that it replaces."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.best = handle.getValueState("best", BEST)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803  names of the interface
-        score = max(row["score"] for row in rows)
-        old = self.best.get()[0] if self.best.exists() else None
-        if old is None or score > old:
-            self.best.update((score,))
-            yield Row(**dict(zip(KEY, key, strict=True)), old_score=old, score=score)
+        found: dict = {}
+        for row in rows:
+            own, score = row["__key"], row["score"]
+            if own not in found or score > found[own]["score"]:
+                found[own] = row
+        held = self.best.get()
+        best = json.loads(held[0]) if held else {}
+        better = {own: row for own, row in found.items() if own not in best or row["score"] > best[own]}
+        if better:
+            old = {own: best.get(own) for own in better}
+            best.update((own, row["score"]) for own, row in better.items())
+            self.best.update((json.dumps(best, separators=(",", ":")),))
+            for own, row in better.items():
+                yield Row(**{c: row[c] for c in KEY}, old_score=old[own], score=row["score"])
 
     def close(self) -> None:
         pass
 
 
-def risen(scores: DataFrame) -> DataFrame:
-    """A stream of board scores as a stream of CHANGES, from one small state for each player of a board; nothing of history is read."""
-    return scores.groupBy(*KEY).transformWithState(Risen(), CHANGES, "Append", "ProcessingTime")
+def risen(scores: DataFrame, buckets: int = windows.BUCKETS) -> DataFrame:
+    """A stream of board scores as a stream of CHANGES; nothing of history but the states of a batch's own players is read.
+
+    Players are dealt to ``buckets`` states by the hash of board and player: a batch asks once for each state of its own
+    players, as asking costs far more than reading some hundred scores. The number is fixed for a checkpoint.
+    """
+    shown = scores.select(*KEY, "score", F.to_json(F.array(*KEY)).alias("__key"))
+    dealt = shown.withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)))
+    return dealt.groupBy("__bucket").transformWithState(Risen(), CHANGES, "Append", "ProcessingTime")
 
 
 def _summed(rows: DataFrame) -> DataFrame:
